@@ -13,7 +13,8 @@ from textpanel.plans.panel import formation_date, return_records
 from textpanel.sources.tables import table
 
 from . import percentiles as P
-from . import terms, topn
+from . import linkage, terms, topn
+from .storage import stored
 
 RARE_BELOW, COMMON_ABOVE = 5, 50  # fewer records than this; more than one in this many records
 
@@ -85,6 +86,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(F.broadcast(read), "month_id").filter(far).select("permno", "month_id")
 
 
+# 3: share lines of two vendors
+
+
+def p3_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate pair with its votes and the confidence."""
+    t = {name: table(spark, sf_dir, name) for name in ("panel_ric", "crsp_returns_monthly", "crsp_names", "exchange_region")}
+    return linkage.confident_pairs(stored(linkage.voted_pairs(t["panel_ric"], t["crsp_returns_monthly"], t["crsp_names"], t["exchange_region"])))
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.matches(p3_votes(spark, sf_dir)).select("ticker", "permno", F.round("confidence", 6).alias("confidence"), "agree")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("ticker", "permno").distinct()
+
+
 # 4: the three securities with the highest risk, by month and industry
 
 HOLD_FROM, HOLD_MONTHS, BEST = 3, 3, 3
@@ -109,4 +127,4 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_bigrams, p1_found, p2_percentiles, p2_rank_bound, p2_found, p4_top_risk, p4_found)}
+    return {f.__name__: f for f in (p1_bigrams, p1_found, p2_percentiles, p2_rank_bound, p2_found, p3_votes, p3_matches, p3_found, p4_top_risk, p4_found)}

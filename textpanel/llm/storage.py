@@ -1,0 +1,17 @@
+"""Where results that are read more than once are kept."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that the session's spark.checkpoint.dir names, which all executors share; where the
+    session names none (tests, a single machine), a temporary folder is set. Losing an executor loses nothing of it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="textpanel-"))
+    return df.checkpoint(eager=True)
