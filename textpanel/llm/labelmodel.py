@@ -4,7 +4,7 @@ Each function looks at a candidate pair and votes 1 (same), -1 (different) or 0
 holds a hidden truth behind the votes and learns, by expectation maximisation, how often each function votes which way for true and
 for false pairs, and which functions repeat each other: after a first round with independent votes, the strongest dependencies given
 the truth (conditional mutual information) form a tree, and each vote is then modelled given its parent's vote. The posterior of a
-pair's votes is its confidence.
+pair's votes is its confidence. Abstaining carries no evidence: an unnamed line is not a wrong one.
 
 Only the counts of the vote patterns are needed: at most 3 ** functions rows, however many pairs there are.
 """
@@ -16,14 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 
 VOTES = 3  # -1, 0, 1
-SMOOTHING = 0.5
+ABSTAIN = 1  # index of vote 0
+SMOOTHING, BACK_OFF = 0.5, 20.0
 
 
 @dataclass
 class LabelModel:
     prior: float
     parent: list[int]  # -1: none
-    tables: np.ndarray  # (class, function, parent's vote, vote): probability; the row of parent's vote 0 if there is no parent
+    tables: np.ndarray  # (class, function, parent's vote, vote): probability of the vote if it is one; the first row if there is no parent
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Of rows of votes (-1, 0, 1), the probability that the pair is a true one."""
@@ -31,21 +32,32 @@ class LabelModel:
         logs = np.tile(np.log([1 - self.prior, self.prior])[:, None], (1, len(v)))
         for i, p in enumerate(self.parent):
             given = v[:, p] if p >= 0 else np.zeros(len(v), dtype=int)
-            logs += np.log(self.tables[:, i][:, given, v[:, i]])
+            logs += np.where(v[:, i] == ABSTAIN, 0, np.log(self.tables[:, i][:, given, v[:, i]]))
         top = logs.max(axis=0)
         e = np.exp(logs - top)
         return e[1] / e.sum(axis=0)
 
 
 def _tables(v: np.ndarray, weight: np.ndarray, parent: list[int]) -> np.ndarray:
-    """weight: (class, pattern)."""
+    """weight: (class, pattern). A row for each vote of the parent, drawn towards the function's own distribution as if BACK_OFF pairs
+    had been seen there; where the parent abstains, that distribution itself."""
     n = v.shape[1]
-    out = np.full((2, n, VOTES, VOTES), SMOOTHING)
+    out = np.zeros((2, n, VOTES, VOTES))
     for y in range(2):
         for i, p in enumerate(parent):
-            given = v[:, p] if p >= 0 else np.zeros(len(v), dtype=int)
-            np.add.at(out[y, i], (given, v[:, i]), weight[y])
-    return out / out.sum(axis=3, keepdims=True)
+            own = np.full(VOTES, SMOOTHING)
+            np.add.at(own, v[:, i], weight[y])
+            own[ABSTAIN] = 0  # whether a function can tell at all says nothing about the truth
+            own /= own.sum()
+            out[y, i] = BACK_OFF * own
+            if p >= 0:
+                seen = np.zeros((VOTES, VOTES))
+                np.add.at(seen, (v[:, p], v[:, i]), weight[y])
+                seen[ABSTAIN] = seen[:, ABSTAIN] = 0
+                out[y, i] += seen
+    out /= out.sum(axis=3, keepdims=True)
+    out[..., ABSTAIN] = 1
+    return out
 
 
 def _tree(v: np.ndarray, weight: np.ndarray) -> list[int]:

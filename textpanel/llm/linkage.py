@@ -35,7 +35,7 @@ SHORT = {
 }
 LEGAL = ("INCORPORATED", "CORPORATION", "LIMITED", "COMPANY", "TRUST", "GROUP", "HOLDINGS")
 UNIT = math.log(1000)
-CAP_BIN, CAP_NEAR, RET_NEAR = 0.1, 0.08, 0.05
+CAP_BIN, CAP_NEAR, RET_NEAR, TRACE = 0.1, 0.08, 0.05, 6
 VOTERS = ("name", "trade", "legal", "share_class", "industry", "exchange", "caps", "returns", "trace", "period")
 MISSING = -32768
 
@@ -187,7 +187,7 @@ def voted_pairs(panel: DataFrame, returns: DataFrame, names: DataFrame, exchange
     s = judged.mapInPandas(_agreement, schema)
     caps = _ternary((F.col("n_c") > 0) & (F.col("ok_c") >= 0.6 * F.col("n_c")), (F.col("n_c") > 0) & (F.col("ok_c") < 0.4 * F.col("n_c")))
     rets = _ternary((F.col("n_r") > 0) & (F.col("ok_r") >= 0.6 * F.col("n_r")), (F.col("n_r") > 0) & (F.col("ok_r") < 0.4 * F.col("n_r")))
-    trace = _ternary((F.col("ok_c") >= 3) & (F.col("ok_c") >= 0.6 * F.col("n_c")), (F.col("n_c") >= 3) & (F.col("ok_c") < 0.6 * F.col("n_c")))
+    trace = _ternary((F.col("ok_c") >= TRACE) & (F.col("ok_c") >= 0.6 * F.col("n_c")), (F.col("n_c") >= 3) & (F.col("ok_c") < 0.6 * F.col("n_c")))
     return s.select("ticker", "permno", "name", "trade", "legal", "share_class", "industry", "exchange", caps.alias("caps"), rets.alias("returns"), trace.alias("trace"), "period", (F.col("ok_c") + F.col("ok_r")).cast("int").alias("agree"), F.col("from_q").cast("int").alias("from_q"), F.col("to_q").cast("int").alias("to_q"))
 
 
@@ -209,7 +209,7 @@ def _unrivalled(pairs: DataFrame, line: str, other: str) -> DataFrame:
     return ranked.filter((F.col("_r") == 1) | (F.col("to_q") < F.col("_f")) | (F.col("from_q") > F.col("_t"))).drop("_r", "_f", "_t")
 
 
-def matches(confident: DataFrame, least: float = 0.5) -> DataFrame:
+def matches(confident: DataFrame, least: float = 0.8) -> DataFrame:
     """(ticker, permno, confidence, agree, ...) of the pairs with at least that confidence, each line with one partner at a time."""
     kept = confident.filter(F.col("confidence") >= least)
     return _unrivalled(_unrivalled(kept, "ticker", "permno"), "permno", "ticker")
