@@ -33,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_rank_bound": f"SELECT DISTINCT month_id, CAST(prob AS DOUBLE) AS prob, true AS within FROM {RECORDS}, (VALUES (0.25), (0.5), (0.75)) AS q(prob)",
         "p2_found": f"WITH r AS {RECORDS}, q AS (SELECT month_id, quantile_cont(RetM, 0.25) AS p25, quantile_cont(RetM, 0.5) AS p50, quantile_cont(RetM, 0.75) AS p75 FROM r GROUP BY 1) SELECT permno, month_id FROM r JOIN q USING (month_id) WHERE abs(RetM - p50) > 10 * (p75 - p25)",
         "p4_top_risk": TOP,
+        "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
         "p4_found": f"SELECT month_id, siccd, permno FROM ({TOP})",
     }

@@ -13,7 +13,7 @@ from textpanel.plans.panel import formation_date, return_records
 from textpanel.sources.tables import table
 
 from . import percentiles as P
-from . import linkage, terms, topn
+from . import linkage, packing, reading, terms, tokenizer, topn
 from .storage import stored
 
 RARE_BELOW, COMMON_ABOVE = 5, 50  # fewer records than this; more than one in this many records
@@ -126,5 +126,55 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_top_risk(spark, sf_dir).select("month_id", "siccd", "permno")
 
 
+# 6: token ids of every document
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode_column(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], "text")
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's ids, decoded, give its text again."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    ids = tokenizer.encode_column(docs.select("doc_id", "text", F.col("text").alias("t")), ["doc_id", "text"], "t")
+    back = tokenizer.decode_column(ids.select("doc_id", F.col("text").alias("was"), "ids"), ["doc_id", "was"], "ids")
+    return back.select("doc_id", (F.coalesce("was", F.lit("")) == F.col("text")).alias("same"))
+
+
+# 7: windows of 2,048 tokens
+
+WINDOW = 2048
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_windows(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", WINDOW)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the windows are: number, tokens, share of the room that is used, least and median fill."""
+    w = p7_windows(spark, sf_dir).filter("window_id IS NOT NULL").groupBy("window_id").agg(F.sum("n_tokens").alias("t"))
+    return w.agg(F.count("*").alias("windows"), F.sum("t").alias("tokens"), (F.sum("t") / (F.count("*") * WINDOW)).alias("used"), F.min("t").alias("least"), F.median("t").alias("median"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the packing split."""
+    return p7_windows(spark, sf_dir).filter("pieces > 1").select("doc_id").distinct()
+
+
+# 8: reading level
+
+DEMANDING = 13
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    models = reading.fit(docs, table(spark, sf_dir, "reading_labels", "doc_id", "rater_id", "grade"))
+    return reading.levels(docs, models)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).filter(F.col("english") & (F.col("n_words") >= reading.PROSE_LEAST) & (F.col("grade") >= DEMANDING)).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_bigrams, p1_found, p2_percentiles, p2_rank_bound, p2_found, p3_votes, p3_matches, p3_found, p4_top_risk, p4_found)}
+    return {f.__name__: f for f in (p1_bigrams, p1_found, p2_percentiles, p2_rank_bound, p2_found, p3_votes, p3_matches, p3_found, p4_top_risk, p4_found, p6_ids, p6_round_trip, p7_windows, p7_fill, p7_found, p8_levels, p8_found)}
