@@ -28,7 +28,7 @@ GRADES = 20
 #: many documents fit the driver; more would not change unigram models.
 LABELLED_MOST, SEEDED_MOST = 20_000, 2_000
 #: With this many labelled documents no others are added.
-LABELLED_ENOUGH = 400
+LABELLED_ENOUGH = 40
 SEED_WEIGHT = 0.1
 #: Share of the weight of a grade's model that lies on the whole training set, and the spread of a document's grade over its neighbours.
 BACKGROUND, SPREAD = 0.2, 1.5
@@ -36,7 +36,7 @@ PROSE_LEAST = 30
 
 #: Frequent function words that tell the languages of the collection apart.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that for it as with was on are by this be at from or an have not which we our they will you has",
+    "en": "the of and to in is that for it as with was on are by this be at from or an have not which we our they will you has its their these but if when",
     "de": "der die das und ist nicht wir von mit den auf für im ein eine zu des sich dem bei aus hat sind werden an über wird einer",
     "fr": "le la les des et est que pour dans une du sur avec nous au aux ne pas par plus ce cette sont ont nos qui un de",
     "es": "el la los las del y es que para en una con por se no más su al sobre nuestra nuestro lo hay esta un de",
@@ -81,7 +81,7 @@ def is_english(words: list[str]) -> bool:
         for lang in _LANGUAGES.get(w, ()):
             found[lang] += 1
     other = max((n for lang, n in found.items() if lang != "en"), default=0)
-    return found["en"] >= 0.04 * len(words) and found["en"] > 1.5 * other
+    return found["en"] >= 0.01 * len(words) and found["en"] > 1.5 * other
 
 
 def formula_grade(text: str) -> int:
