@@ -46,10 +46,20 @@ def clean_ticker(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def _plain(c: Column) -> Column:
+    """Upper case without accents (Latin letters)."""
+    return F.translate(F.upper(c), "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑÝ", "AAAAAAEEEEIIIIOOOOOUUUUCNY")
+
+
+def first_word(c: Column) -> Column:
+    """The first word of a company name, without a leading article; null if there is none."""
+    w = F.regexp_extract(_plain(c), r"^[^A-Z0-9]*(?:THE[^A-Z0-9]+)?([A-Z0-9]+)", 1)
+    return F.when(w != "", w)
+
+
 def name_words(c: Column) -> Column:
-    """Words of a company name in upper case without accents (Latin letters), leading article and punctuation; known short forms in full."""
-    plain = F.translate(F.upper(c), "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑÝ", "AAAAAAEEEEIIIIOOOOOUUUUCNY")
-    words = F.filter(F.split(F.regexp_replace(plain, r"[^A-Z0-9]+", " "), " "), lambda w: (w != "") & (w != "THE"))
+    """Words of a company name in upper case without accents, leading article and punctuation; known short forms in full."""
+    words = F.filter(F.split(F.regexp_replace(_plain(c), r"[^A-Z0-9]+", " "), " "), lambda w: (w != "") & (w != "THE"))
     full = F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(full, w), w))
 
@@ -93,7 +103,8 @@ def vendor_lines(panel: DataFrame, exchanges: DataFrame) -> tuple[DataFrame, Dat
 def security_quarters(returns: DataFrame) -> DataFrame:
     """(permno, q, ret, cap): compounded return of quarters with three months, market value (million) at the last month."""
     ok = returns.filter("permno IS NOT NULL AND Month IS NOT NULL").select("permno", (F.year("Month") * 12 + F.month("Month") - 1).cast("int").alias("t"), F.when(is_finite("RetM") & (F.col("RetM") > -1), F.col("RetM")).alias("r"), F.when(is_finite("MCap_MEnd") & (F.col("MCap_MEnd") > 0), F.col("MCap_MEnd")).alias("m"))
-    month = ok.groupBy("permno", "t").agg(F.min("r").alias("r"), F.min("m").alias("m"))
+    # After the first aggregate a security has no more rows than there are months, so it may be one task's: no later step shuffles again.
+    month = ok.groupBy("permno", "t").agg(F.min("r").alias("r"), F.min("m").alias("m")).repartition("permno")
     q = F.floor(F.col("t") / 3).cast("int")
     g = month.groupBy("permno", q.alias("q")).agg(F.count("r").alias("n"), F.sum(F.log1p("r")).alias("s"), F.max_by("m", F.when(F.col("m").isNotNull(), F.col("t"))).alias("m"))
     return g.select("permno", "q", F.when(F.col("n") == 3, F.expm1("s")).alias("ret"), F.ln(F.col("m") / 1000).alias("cap"))
@@ -110,9 +121,9 @@ BINS = math.floor(UNIT / CAP_BIN) + 1
 def candidates(a: DataFrame, b: DataFrame, b_names: DataFrame) -> DataFrame:
     """Distinct (ticker, permno) from both blocking rules. a: vendor rows; b: security quarters; b_names: (permno, first)."""
     near = F.array(*[F.pmod(_bin(F.col("cap")) + i, F.lit(BINS)) for i in (-1, 0, 1)])
-    left = a.filter("companyName IS NOT NULL AND cap IS NOT NULL").select("ticker", "q", F.try_element_at(name_words(F.col("companyName")), F.lit(1)).alias("first"), F.explode(near).alias("bin"))
+    left = a.filter("companyName IS NOT NULL AND cap IS NOT NULL").select("ticker", "q", first_word(F.col("companyName")).alias("first"), F.explode(near).alias("bin"))
     right = b.filter("cap IS NOT NULL").join(b_names, "permno").select("permno", "q", "first", _bin(F.col("cap")).alias("bin"))
-    by_name = left.filter("first IS NOT NULL").distinct().join(right, ["q", "first", "bin"]).select("ticker", "permno")
+    by_name = left.filter("first IS NOT NULL").join(right, ["q", "first", "bin"]).select("ticker", "permno")
 
     def runs(x: DataFrame, key: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy("q")
@@ -153,14 +164,13 @@ def voted_pairs(panel: DataFrame, returns: DataFrame, names: DataFrame, exchange
     if span[0] is None:
         span = (0, 0)
     lo, hi = span
-    nb = names.filter("permno IS NOT NULL").select("permno", name_words(F.col("comnam")).alias("w"), "siccd", "primaryexch")
-    firsts = nb.select("permno", F.try_element_at("w", F.lit(1)).alias("first")).filter("first IS NOT NULL").distinct()
+    nb = names.filter("permno IS NOT NULL").select("permno", "comnam", "siccd", "primaryexch")
+    firsts = nb.select("permno", first_word(F.col("comnam")).alias("first")).filter("first IS NOT NULL").distinct()
     pairs = candidates(a, b.filter(F.col("q").between(lo, hi)), firsts)
 
-    gathered = lambda w: [F.collect_set(F.when(F.size(w) > 0, F.struct(_named(w).alias("v")))).alias("v")]
-    a_forms = a.select("ticker", "companyName", "siccd", "exch").distinct().withColumn("w", name_words(F.col("companyName")))
-    a_desc = a_forms.groupBy("ticker").agg(*gathered(F.col("w")), F.collect_set("siccd").alias("sic"), F.collect_set("exch").alias("ex"))
-    b_desc = nb.groupBy("permno").agg(*gathered(F.col("w")), F.collect_set("siccd").alias("sic"), F.collect_set("primaryexch").alias("ex"))
+    forms = lambda names: F.transform(F.filter(F.transform(names, name_words), lambda w: F.size(w) > 0), lambda w: F.struct(_named(w).alias("v")))
+    a_desc = a.groupBy("ticker").agg(F.collect_set("companyName").alias("v"), F.collect_set("siccd").alias("sic"), F.collect_set("exch").alias("ex")).withColumn("v", forms("v"))
+    b_desc = nb.groupBy("permno").agg(F.collect_set("comnam").alias("v"), F.collect_set("siccd").alias("sic"), F.collect_set("primaryexch").alias("ex")).withColumn("v", forms("v"))
 
     def flat(d: DataFrame, key: str, s: str) -> DataFrame:
         v = F.col("v")
