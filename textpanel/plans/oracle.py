@@ -11,4 +11,7 @@ QUALIFY row_number() OVER (PARTITION BY permno, m ORDER BY form DESC, known_ts D
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5}
+    from . import queries  # noqa: F401
+    from .registry import SQL
+
+    return {"p5_found": P5, **SQL}

@@ -1,13 +1,10 @@
-"""The queries of the library itself: each takes (spark, folder of tables)."""
+"""All queries of the library itself: each takes (spark, folder of tables)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import econ_queries, identity_queries, known_exposure, panel_queries, text_queries  # noqa: F401
+from .registry import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-from .known_exposure import p5_found
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+def queries() -> dict[str, Query]:
+    return {"p5_found": known_exposure.p5_found, **QUERIES}
