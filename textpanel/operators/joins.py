@@ -34,6 +34,8 @@ def asof_forward_unbounded(events: DataFrame, rows: DataFrame, key: str, at: str
 def offset_window(anchors: DataFrame, rows: DataFrame, key: str, index: str, lo: int, hi: int) -> DataFrame:
     """Each anchor with the rows of its key whose index is its own plus k, for k from lo to hi; adds `k`. An equi-join on key and index:
     the anchors are opened, since a range join would compare all pairs of a key."""
+    if "k" in {*anchors.columns, *rows.columns}:
+        raise ValueError("k is the name of the offset: rename the column")
     opened = anchors.withColumn("k", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("_i", F.col(index) + F.col("k")).drop(index)
     return opened.join(rows.withColumnRenamed(index, "_i"), [key, "_i"], "inner").drop("_i")
 
