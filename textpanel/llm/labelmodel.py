@@ -2,9 +2,8 @@
 
 Each function looks at a candidate pair and votes 1 (same), -1 (different) or 0 (can't tell). Nobody has labelled a pair. The model
 holds a hidden truth behind the votes and learns, by expectation maximisation, how often each function votes which way for true and
-for false pairs, and which functions repeat each other: after a first round with independent votes, the strongest dependencies given
-the truth (conditional mutual information) form a tree, and each vote is then modelled given its parent's vote. The posterior of a
-pair's votes is its confidence. Abstaining carries no evidence: an unnamed line is not a wrong one.
+for false pairs, and which functions repeat each other: from the first round on, the strongest dependencies given the truth (conditional
+mutual information) form a tree, and each vote is modelled given its parent's vote. The posterior of a pair's votes is its confidence. Abstaining carries no evidence: an unnamed line is not a wrong one.
 
 Only the counts of the vote patterns are needed: at most 3 ** functions rows, however many pairs there are.
 """
@@ -18,6 +17,8 @@ import numpy as np
 VOTES = 3  # -1, 0, 1
 ABSTAIN = 1  # index of vote 0
 SMOOTHING, BACK_OFF = 0.5, 20.0
+#: Rounds after which the dependencies are learned anew.
+RELEARN = 10
 
 
 @dataclass
@@ -82,8 +83,19 @@ def _tree(v: np.ndarray, weight: np.ndarray) -> list[int]:
     return parent
 
 
+def _shares(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Weights of the functions for the start, n in all: a function that others agree with beyond chance shares its weight with them."""
+    n = patterns.shape[1]
+    both = (patterns != 0).astype(float)
+    cross, seen = (patterns * counts[:, None]).T @ patterns, (both * counts[:, None]).T @ both
+    agree = np.where(seen > 0, cross / np.maximum(seen, 1), 0.0)
+    w = 1 / np.maximum((np.clip(agree, 0, 1) ** 4).sum(axis=1), 1.0)
+    return w * n / w.sum()
+
+
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
-    """patterns: rows of votes (-1, 0, 1); counts: pairs with that pattern. The start is each pattern's balance of votes; the result
+    """patterns: rows of votes (-1, 0, 1); counts: pairs with that pattern. The start is each pattern's balance of votes, repeated ones sharing
+    their weight; the result
     doesn't depend on the order of the rows. Without rows the model knows nothing: posterior one half."""
     patterns = np.asarray(patterns, dtype=int)
     n = patterns.shape[1]
@@ -92,12 +104,12 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelMode
     order = np.lexsort(patterns.T)
     patterns, counts = patterns[order], np.asarray(counts, dtype=float)[order]
     v = patterns + 1
-    truth = 1 / (1 + np.exp(-1.5 * (patterns.sum(axis=1) - 1)))
+    truth = 1 / (1 + np.exp(-1.5 * (patterns @ _shares(patterns, counts) - 1)))
     parent = [-1] * n
     model = None
     for k in range(rounds):
         weight = np.stack([(1 - truth) * counts, truth * counts])
-        if k == rounds // 2:
+        if k % RELEARN == 0:
             parent = _tree(v, weight)
         prior = (weight[1].sum() + SMOOTHING) / (counts.sum() + 2 * SMOOTHING)
         model = LabelModel(float(prior), parent, _tables(v, weight, parent))
