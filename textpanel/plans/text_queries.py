@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import MARKERS, RISK_WORDS, SAFE_HARBOR, SAFE_HARBOR_ENDS, SAFE_HARBOR_SENTENCE, STOPWORDS
 from ..operators import corpus, discovery, scoring, tokens, validate
 from ..sources.tables import table
+from . import pipeline
 from .registry import query, r6, rounded
 from .storage import stored
 
@@ -61,6 +62,12 @@ def concat_turns(spark: SparkSession, d: str) -> DataFrame:
     return corpus.concat_turns(k, "doc_id", "secIdx", "speech", ["companyTicker"]).select("doc_id", F.md5("text").alias("text_md5"), "companyTicker")
 
 
+@query(f"WITH {TURNS} SELECT eventYear, count(*) AS n_rows_raw, count(DISTINCT doc_id) AS n_calls_raw, count(*) FILTER (speakerGroup IS NULL OR speakerGroup <> 'Operator') AS n_rows_after_operator_drop, count(*) FILTER ((speakerGroup IS NULL OR speakerGroup <> 'Operator') AND length(speech) > 0) AS n_rows_after_na_drop, count(DISTINCT doc_id) FILTER ((speakerGroup IS NULL OR speakerGroup <> 'Operator') AND length(speech) > 0) AS n_calls, CAST(coalesce(sum(length(speech)) FILTER ((speakerGroup IS NULL OR speakerGroup <> 'Operator') AND length(speech) > 0), 0) AS BIGINT) AS n_chars FROM t GROUP BY 1")
+def corpus_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and calls after each step, by year."""
+    return pipeline.funnel(turns(spark, d), key="doc_id")
+
+
 STRIPPED = rf"trim(regexp_replace(regexp_replace(text, '(?i){_q(MARKERS)}', ' ', 'g'), '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 
 
