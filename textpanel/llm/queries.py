@@ -24,7 +24,7 @@ RARE_BELOW, COMMON_ABOVE = 5, 50  # fewer records than this; more than one in th
 
 def distinct_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Id, sentence_id, text): one row per sentence; deliveries that differ in case or spacing count once, the least text stays."""
-    s = table(spark, sf_dir, "sentences", "Id", "sentence_id", "text").filter("Id IS NOT NULL AND sentence_id IS NOT NULL AND text IS NOT NULL")
+    s = table(spark, sf_dir, "sentences", "Id", "sentence_id", "text").filter("Id IS NOT NULL AND text IS NOT NULL")
     return s.groupBy("Id", "sentence_id").agg(F.min("text").alias("text"))
 
 
@@ -38,7 +38,7 @@ def earlier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_total(spark: SparkSession, sf_dir: str) -> int:
     """Number of sentences of the text and of the earlier batches."""
-    s = table(spark, sf_dir, "sentences", "Id", "sentence_id", "text").filter("Id IS NOT NULL AND sentence_id IS NOT NULL AND text IS NOT NULL").select("Id", "sentence_id").distinct().agg(F.count("*").alias("n"))
+    s = table(spark, sf_dir, "sentences", "Id", "sentence_id", "text").filter("Id IS NOT NULL AND text IS NOT NULL").select("Id", "sentence_id").distinct().agg(F.count("*").alias("n"))
     b = table(spark, sf_dir, "feat_freq", "year", "batch", "n_sentences").groupBy("year", "batch").agg(F.max("n_sentences").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
     return sum(r["n"] for r in s.unionAll(b).collect())
 

@@ -112,8 +112,8 @@ class GradeModels:
         return x / x.sum()
 
 
-def train(rows: list[tuple[int, float, list[str]]]) -> GradeModels:
-    """rows: (grade, weight, words of the prose). Without rows every grade is as likely for every text."""
+def train(rows: list[tuple[int, float, list[str] | Counter[str]]]) -> GradeModels:
+    """rows: (grade, weight, words of the prose, as a list or counted). Without rows every grade is as likely for every text."""
     words: dict[str, int] = {}
     for _, _, ws in rows:
         for w in ws:
@@ -145,12 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     for r in chosen.join(docs.select(id, text), id).select("g", text).toLocalIterator():
         ws = prose(r[1])
         if is_english(ws):
-            rows.append((int(math.floor(r[0] + 0.5)), 1.0, ws))
+            rows.append((int(math.floor(r[0] + 0.5)), 1.0, Counter(ws)))
     if len(rows) < LABELLED_ENOUGH:
         for r in docs.filter(F.length(text) > 0).orderBy(F.xxhash64(id), id).select(text).limit(SEEDED_MOST).toLocalIterator():
             ws = prose(r[0])
             if is_english(ws) and len(ws) >= PROSE_LEAST:
-                rows.append((formula_grade(r[0]), SEED_WEIGHT, ws))
+                rows.append((formula_grade(r[0]), SEED_WEIGHT, Counter(ws)))
     return train(rows)
 
 
