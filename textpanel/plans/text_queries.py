@@ -242,7 +242,7 @@ SELECT r.Id, r.sentence_id, round(1 / (1 + exp(-(coalesce(sx, 0) + base))), 6) +
 )
 def nb_probability(spark: SparkSession, d: str) -> DataFrame:
     """L4: naive Bayes as plain aggregates and joins."""
-    c = counts(spark, d)
+    c = hub(spark, d)
     labels = discovery.label_reference(c, seeds(spark), KEYS).withColumnRenamed("in_R", "y")
     return rounded(discovery.naive_bayes(c, labels, discovery.model_vocabulary(c, seeds(spark), 1000), KEYS), "p_nb")
 
@@ -250,7 +250,7 @@ def nb_probability(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def klr_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Three classifiers and their vote."""
-    c = stored(counts(spark, d))
+    c = hub(spark, d)
     labels = stored(discovery.label_reference(c, seeds(spark), KEYS))
     sample = discovery.sample_search(labels.withColumn("key", F.expr(SAMPLE_KEY)), "key", 2000).select(*KEYS).unionByName(labels.filter("in_R = 1").select(*KEYS))
     p = discovery.ensemble(c, labels.withColumnRenamed("in_R", "y"), discovery.model_vocabulary(c, seeds(spark), 1000), KEYS, sample, trees=10, features=1 << 9)
@@ -270,8 +270,13 @@ tot AS (SELECT CAST(sum(a) AS DOUBLE) AS ta, CAST(sum(c) AS DOUBLE) AS tc FROM p
 key AS (SELECT bigram, round({_g2("CAST(a AS DOUBLE)", "CAST(c AS DOUBLE)", "ta", "tc")}, 6) + 0.0 AS G2, a AS target_freq, c AS nontarget_freq, d AS target_docfreq, round(a / (a + c), 6) + 0.0 AS target_share FROM per, tot WHERE a > 0)"""
 
 
-def key_table(spark: SparkSession, d: str) -> DataFrame:
-    c = counts(spark, d)
+def hub(spark: SparkSession, d: str) -> DataFrame:
+    """counts, stored: for queries that read them more than once, so that texts are tokenised once."""
+    return stored(counts(spark, d))
+
+
+def key_table(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    c = hub(spark, d) if c is None else c
     target = discovery.label_reference(c, seeds(spark), KEYS).withColumnRenamed("in_R", "in_T")
     return rounded(discovery.keyness(c, target, KEYS), "G2", "target_share")
 
@@ -311,8 +316,8 @@ g AS (SELECT vintage, bigram, round({_g2("a", "c", "ta", "tc")}, 6) AS G2 FROM c
 vin AS (SELECT vintage, bigram FROM g ANTI JOIN seed USING (bigram) QUALIFY row_number() OVER (PARTITION BY vintage ORDER BY G2 DESC, bigram) <= 50 UNION ALL SELECT vintage, bigram FROM seed, u)"""
 
 
-def vintage_table(spark: SparkSession, d: str) -> DataFrame:
-    c = counts(spark, d)
+def vintage_table(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    c = hub(spark, d) if c is None else c
     return discovery.vintages(c, discovery.label_reference(c, seeds(spark), KEYS), seeds(spark), KEYS, "year", CUTOFFS, 50)
 
 
@@ -343,7 +348,7 @@ SELECT dropped, bigram FROM z ANTI JOIN seed USING (bigram) QUALIFY row_number()
 )
 def leave_one_seed_out(spark: SparkSession, d: str) -> DataFrame:
     """What is found without each seed."""
-    return discovery.leave_one_out(counts(spark, d), SEEDS, KEYS, 30, spark)
+    return discovery.leave_one_out(hub(spark, d), SEEDS, KEYS, 30, spark)
 
 
 def _theme(words: tuple[str, ...]) -> str:
@@ -373,10 +378,10 @@ sc AS (SELECT Id, sum(B) AS B, sum(h) AS h, sum(h * risk) AS hr, sum(h * pos) AS
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    s = sentences(spark, d)
+    s, c = sentences(spark, d), hub(spark, d)
     f = scoring.flags(s, KEYS, "text", {"risk": RISK_WORDS, "pos": POSITIVE, "neg": NEGATIVE})
-    dic = discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP)
-    return scoring.exposure(counts(spark, d), dic, f, "Id", "sentence_id")
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP)
+    return scoring.exposure(c, dic, f, "Id", "sentence_id")
 
 
 @query(f"WITH {SCORE} SELECT Id, CAST(B AS BIGINT) AS B, CAST(h AS BIGINT) AS h, round(h / B, 6) + 0.0 AS exposure, round(hr / B, 6) + 0.0 AS risk, round(hp / B - hn / B, 6) + 0.0 AS sentiment FROM sc")
@@ -397,7 +402,7 @@ IDF = "nt AS (SELECT count(DISTINCT Id) AS nt FROM c), idf AS (SELECT bigram, co
 @query(f"WITH {BIG}, {IDF} SELECT bigram, docfreq, round(ln(nt / docfreq), 6) + 0.0 AS w FROM idf, nt")
 def idf_weights(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency over calls and its weight."""
-    return rounded(scoring.idf(counts(spark, d), "Id"), "w")
+    return rounded(scoring.idf(hub(spark, d), "Id"), "w")
 
 
 @query(
@@ -405,8 +410,8 @@ def idf_weights(spark: SparkSession, d: str) -> DataFrame:
 )
 def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
     """TF-IDF of each call by two dictionaries in one pass."""
-    c = counts(spark, d)
-    dic = discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP).select(F.lit("full").alias("dictionary"), "bigram")
+    c = hub(spark, d)
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP).select(F.lit("full").alias("dictionary"), "bigram")
     both = dic.unionByName(seeds(spark).select(F.lit("seeds").alias("dictionary"), "bigram"))
     return rounded(scoring.tfidf(tokens.group(c, ["Id"]), scoring.idf(c, "Id"), both, "Id"), "tfidf", "exposure")
 
@@ -426,7 +431,8 @@ def period_mean(spark: SparkSession, d: str) -> DataFrame:
 )
 def realtime_scores(spark: SparkSession, d: str) -> DataFrame:
     """Each year scored with the dictionary of the year before."""
-    return rounded(scoring.realtime(counts(spark, d), vintage_table(spark, d), "Id", "year"), "exposure")
+    c = hub(spark, d)
+    return rounded(scoring.realtime(c, vintage_table(spark, d, c), "Id", "year"), "exposure")
 
 
 HITS = "ht AS (SELECT Id, sentence_id, bigram, n FROM c SEMI JOIN dic USING (bigram))"
@@ -440,6 +446,7 @@ SELECT bs.Id, start, md5(string_agg(text, ' ' ORDER BY sentence_id)) AS text_md5
 )
 def audit_snippets(spark: SparkSession, d: str) -> DataFrame:
     """V5: ten sentences around the densest use of a call's most frequent dictionary bigram."""
-    dic = discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP)
-    x = validate.snippets(sentences(spark, d), tokens.match(counts(spark, d), dic).select(*KEYS, "bigram", "n"), "Id", "sentence_id", "text")
+    c = hub(spark, d)
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP)
+    x = validate.snippets(sentences(spark, d), tokens.match(c, dic).select(*KEYS, "bigram", "n"), "Id", "sentence_id", "text")
     return x.select("Id", "start", F.md5("snippet").alias("text_md5"))
