@@ -216,26 +216,26 @@ def _wide(src: str, keys: str, mean: str, n: int = 5) -> str:
     return f"br AS (SELECT {keys}, bin, {mean} AS r FROM {src} GROUP BY ALL), ls AS (SELECT {keys}, {cells}, max(r) FILTER (bin = {n}) - max(r) FILTER (bin = 1) AS LS FROM br GROUP BY ALL)"
 
 
-_CELLS = ", ".join(f"round(ret_{i}, 6) + 0.0 AS ret_{i}" for i in range(1, 6))
+_CELLS = ", ".join(f"round(ret_{i}, 12) + 0.0 AS ret_{i}" for i in range(1, 6))
 VW = "sum(ret * cap) FILTER (cap > 0) / sum(cap) FILTER (cap > 0)"
 
 
-@query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')} SELECT Month, {_CELLS}, round(LS, 6) + 0.0 AS LS FROM ls")
+@query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')} SELECT Month, {_CELLS}, round(LS, 12) + 0.0 AS LS FROM ls")
 def ls_equal_weight(spark: SparkSession, d: str) -> DataFrame:
     """Quintile returns and long-short, equal weights."""
-    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno"), *[f"ret_{i}" for i in range(1, 6)], "LS")
+    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno"), *[f"ret_{i}" for i in range(1, 6)], "LS", digits=12)
 
 
-@query(f"WITH {SORT}, {_wide('bn', 'Month', VW)} SELECT Month, round(LS, 6) + 0.0 AS LS FROM ls")
+@query(f"WITH {SORT}, {_wide('bn', 'Month', VW)} SELECT Month, round(LS, 12) + 0.0 AS LS FROM ls")
 def ls_value_weight(spark: SparkSession, d: str) -> DataFrame:
     """The same, value weights."""
-    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", weight="cap").select("Month", "LS"), "LS")
+    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", weight="cap").select("Month", "LS"), "LS", digits=12)
 
 
-@query(f"WITH {SORT.replace('* 5 +', '* 10 +')}, {_wide('bn', 'Month', 'avg(ret)', 10)} SELECT Month, round(LS, 6) + 0.0 AS LS FROM ls")
+@query(f"WITH {SORT.replace('* 5 +', '* 10 +')}, {_wide('bn', 'Month', 'avg(ret)', 10)} SELECT Month, round(LS, 12) + 0.0 AS LS FROM ls")
 def ls_decile(spark: SparkSession, d: str) -> DataFrame:
     """Deciles."""
-    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", n=10).select("Month", "LS"), "LS")
+    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", n=10).select("Month", "LS"), "LS", digits=12)
 
 
 def _bin(n: int, part: str, col: str) -> str:
@@ -243,43 +243,43 @@ def _bin(n: int, part: str, col: str) -> str:
 
 
 @query(
-    f"WITH {HELD}, ok AS (SELECT * FROM he WHERE isfinite({MEAS}) AND isfinite(cap)), sb AS (SELECT *, {_bin(5, 'Month', 'cap')} AS size_bin FROM ok), b2 AS (SELECT *, {_bin(5, 'Month, size_bin', MEAS)} AS bin FROM sb), {_wide('b2', 'Month, size_bin', 'avg(ret)')} SELECT Month, round(avg(LS), 6) + 0.0 AS LS, count(LS) AS n_size_bins FROM ls GROUP BY 1"
+    f"WITH {HELD}, ok AS (SELECT * FROM he WHERE isfinite({MEAS}) AND isfinite(cap)), sb AS (SELECT *, {_bin(5, 'Month', 'cap')} AS size_bin FROM ok), b2 AS (SELECT *, {_bin(5, 'Month, size_bin', MEAS)} AS bin FROM sb), {_wide('b2', 'Month, size_bin', 'avg(ret)')} SELECT Month, round(avg(LS), 12) + 0.0 AS LS, count(LS) AS n_size_bins FROM ls GROUP BY 1"
 )
 def size_neutral_double_sort(spark: SparkSession, d: str) -> DataFrame:
     """Bins within size bins."""
-    return rounded(sorts.size_neutral(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS")
+    return rounded(sorts.size_neutral(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
 
 
 @query(
-    f"WITH {HELD}, ok AS (SELECT * FROM he WHERE isfinite({MEAS}) AND isfinite(cap)), b2 AS (SELECT *, {_bin(3, 'Month', 'cap')}::INTEGER AS char_bin, {_bin(5, 'Month', MEAS)} AS bin FROM ok), {_wide('b2', 'Month, char_bin', 'avg(ret)')} SELECT Month, char_bin, round(LS, 6) + 0.0 AS LS FROM ls"
+    f"WITH {HELD}, ok AS (SELECT * FROM he WHERE isfinite({MEAS}) AND isfinite(cap)), b2 AS (SELECT *, {_bin(3, 'Month', 'cap')}::INTEGER AS char_bin, {_bin(5, 'Month', MEAS)} AS bin FROM ok), {_wide('b2', 'Month, char_bin', 'avg(ret)')} SELECT Month, char_bin, round(LS, 12) + 0.0 AS LS FROM ls"
 )
 def tercile_quintile_double_sort(spark: SparkSession, d: str) -> DataFrame:
     """Independent double sort."""
-    return rounded(sorts.double_sort(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS")
+    return rounded(sorts.double_sort(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
 
 
 @query(
-    f"WITH {HELD}, ok AS (SELECT *, round({MEAS} - avg({MEAS}) OVER (PARTITION BY Month, siccd), 9) + 0.0 AS m2 FROM he WHERE isfinite({MEAS}) AND siccd IS NOT NULL), b2 AS (SELECT *, {_bin(5, 'Month', 'm2')} AS bin FROM ok), {_wide('b2', 'Month', 'avg(ret)')} SELECT Month, round(LS, 6) + 0.0 AS LS FROM ls"
+    f"WITH {HELD}, ok AS (SELECT *, round({MEAS} - avg({MEAS}) OVER (PARTITION BY Month, siccd), 9) + 0.0 AS m2 FROM he WHERE isfinite({MEAS}) AND siccd IS NOT NULL), b2 AS (SELECT *, {_bin(5, 'Month', 'm2')} AS bin FROM ok), {_wide('b2', 'Month', 'avg(ret)')} SELECT Month, round(LS, 12) + 0.0 AS LS FROM ls"
 )
 def industry_neutral_ls(spark: SparkSession, d: str) -> DataFrame:
     """The measure net of its industry. Rounded before ranking, so that sums in another order make the same ties."""
     h = held(spark, d).filter(F.col("siccd").isNotNull() & is_finite(MEAS))
     x = panel.demean(h, ["Month", "siccd"], MEAS, "m2").withColumn("m2", F.round("m2", 9) + F.lit(0.0))
-    return rounded(sorts.quantile_sort(x, ["Month"], "m2", "ret", "permno").select("Month", "LS"), "LS")
+    return rounded(sorts.quantile_sort(x, ["Month"], "m2", "ret", "permno").select("Month", "LS"), "LS", digits=12)
 
 
 @query(
-    f"WITH {HELD}, q AS (SELECT Month, quantile_cont(cap, 0.5) AS m FROM he WHERE isfinite(cap) GROUP BY 1), ok AS (SELECT he.*, (cap > m)::INTEGER AS above FROM he JOIN q USING (Month) WHERE isfinite(cap) AND isfinite({MEAS})), b2 AS (SELECT *, {_bin(5, 'Month, above', MEAS)} AS bin FROM ok), {_wide('b2', 'Month, above', 'avg(ret)')} SELECT Month, above, round(LS, 6) + 0.0 AS LS FROM ls"
+    f"WITH {HELD}, q AS (SELECT Month, quantile_cont(cap, 0.5) AS m FROM he WHERE isfinite(cap) GROUP BY 1), ok AS (SELECT he.*, (cap > m)::INTEGER AS above FROM he JOIN q USING (Month) WHERE isfinite(cap) AND isfinite({MEAS})), b2 AS (SELECT *, {_bin(5, 'Month, above', MEAS)} AS bin FROM ok), {_wide('b2', 'Month, above', 'avg(ret)')} SELECT Month, above, round(LS, 12) + 0.0 AS LS FROM ls"
 )
 def split_sample(spark: SparkSession, d: str) -> DataFrame:
     """Long-short of large and of small securities."""
-    return rounded(sorts.split_sample(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS")
+    return rounded(sorts.split_sample(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
 
 
 @query()
 def seed_averaged(spark: SparkSession, d: str) -> DataFrame:
     """Random ties, averaged over five seeds."""
-    return rounded(sorts.seed_averaged(held(spark, d), ["Month"], MEAS, "ret", "permno", seeds=5), "LS")
+    return rounded(sorts.seed_averaged(held(spark, d), ["Month"], MEAS, "ret", "permno", seeds=5), "LS", digits=12)
 
 
 RP = f"rp AS (SELECT DISTINCT {RIC} AS ric, CAST(Quarter AS DATE) AS Quarter, QuarterlyRet AS r, Beta_CAPM AS b, MCap_QEnd AS cap FROM panel_ric WHERE {RIC} IS NOT NULL AND isfinite(QuarterlyRet) AND isfinite(Beta_CAPM)), rr AS (SELECT rp.*, CASE WHEN Region = 'North America' THEN 'NorthAmerica' WHEN Region = 'Europe' THEN 'Europe' ELSE 'Other' END AS region FROM rp JOIN exchange_region e ON e.suffix = split_part(ric, '.', 2))"
@@ -292,11 +292,11 @@ def ric_panel(spark: SparkSession, d: str) -> DataFrame:
     return met.withColumn("region", F.when(F.col("_reg") == "North America", "NorthAmerica").when(F.col("_reg") == "Europe", "Europe").otherwise("Other")).drop("_reg", "suffix")
 
 
-@query(f"WITH {RP}, x AS (SELECT Quarter, region, avg(r) AS LS FROM rr GROUP BY 1, 2) SELECT Quarter, round(avg(LS), 6) + 0.0 AS LS FROM x GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT region) FROM x)")
+@query(f"WITH {RP}, x AS (SELECT Quarter, region, avg(r) AS LS FROM rr GROUP BY 1, 2) SELECT Quarter, round(avg(LS), 12) + 0.0 AS LS FROM x GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT region) FROM x)")
 def region_composite(spark: SparkSession, d: str) -> DataFrame:
     """Composite over regions, in quarters that have them all."""
     x = ric_panel(spark, d).groupBy("Quarter", "region").agg(F.avg("r").alias("LS"))
-    return rounded(sorts.composite(x, "Quarter", "region", "LS"), "LS")
+    return rounded(sorts.composite(x, "Quarter", "region", "LS"), "LS", digits=12)
 
 
 TURN = f"{SORT}, me AS (SELECT DISTINCT Month, permno FROM bn WHERE bin = 5), pm AS (SELECT Month, lag(Month) OVER (ORDER BY Month) AS prev FROM (SELECT DISTINCT Month FROM me)), tu AS (SELECT me.Month, count(*) AS n, count(*) FILTER (m2.permno IS NULL) AS n_new, any_value(prev) AS prev FROM me JOIN pm USING (Month) LEFT JOIN me m2 ON m2.Month = prev AND m2.permno = me.permno GROUP BY 1)"
@@ -309,14 +309,14 @@ def turnover_prev_month(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel.turnover(b, "Month", "permno"), "turnover")
 
 
-@query(f"WITH {TURN}, {_wide('bn', 'Month', 'avg(ret)')} SELECT Month, round(LS - 2 * n_new / n * 10 / 10000, 6) + 0.0 AS net_10, round(LS - 2 * n_new / n * 25 / 10000, 6) + 0.0 AS net_25, round(LS - 2 * n_new / n * 50 / 10000, 6) + 0.0 AS net_50, CASE WHEN n_new > 0 THEN round(LS * 10000 / (2 * n_new / n), 4) + 0.0 END AS breakeven_bps FROM ls JOIN tu USING (Month) WHERE prev IS NOT NULL")
+@query(f"WITH {TURN}, {_wide('bn', 'Month', 'avg(ret)')} SELECT Month, round(LS - 2 * n_new / n * 10 / 10000, 12) + 0.0 AS net_10, round(LS - 2 * n_new / n * 25 / 10000, 12) + 0.0 AS net_25, round(LS - 2 * n_new / n * 50 / 10000, 12) + 0.0 AS net_50, CASE WHEN n_new > 0 THEN round(LS * 10000 / (2 * n_new / n), 8) + 0.0 END AS breakeven_bps FROM ls JOIN tu USING (Month) WHERE prev IS NOT NULL")
 def cost_net_returns(spark: SparkSession, d: str) -> DataFrame:
     """Returns after a grid of costs, and the break-even cost."""
     h = held(spark, d)
     ls = sorts.quantile_sort(h, ["Month"], MEAS, "ret", "permno").select("Month", "LS")
     b = panel.bins(h.filter(is_finite(MEAS)), ["Month"], MEAS, 5, "first", "permno").filter("bin = 5")
     x = sorts.net_of_costs(ls.join(panel.turnover(b, "Month", "permno").filter("turnover IS NOT NULL"), "Month"), "LS", "turnover")
-    return rounded(x.select("Month", "net_10", "net_25", "net_50", "breakeven_bps"), "net_10", "net_25", "net_50").withColumn("breakeven_bps", F.round("breakeven_bps", 4) + F.lit(0.0))
+    return rounded(x.select("Month", "net_10", "net_25", "net_50", "breakeven_bps"), "net_10", "net_25", "net_50", digits=12).withColumn("breakeven_bps", F.round("breakeven_bps", 8) + F.lit(0.0))
 
 
 @query(f"WITH {MRET}, x AS (SELECT *, row_number() OVER (PARTITION BY Month ORDER BY cap DESC NULLS LAST) AS k FROM mr WHERE cap > 0), q AS (SELECT Month, quantile_cont(cap, 0.5) AS ref FROM x WHERE k <= 500 GROUP BY 1) SELECT permno, Month, CASE WHEN cap > 0 THEN round(least(5 + 5 * sqrt(ref / cap), 150), 6) + 0.0 END AS cost_bps FROM mr LEFT JOIN q USING (Month) WHERE cap > 0")

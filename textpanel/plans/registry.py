@@ -27,5 +27,6 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r6(c) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """12 digits for plain means of decimals: with 6, a mean may lie just between two roundings, and the order of its sum would decide."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
