@@ -28,7 +28,11 @@ def weighted_mean(x: Column | str, w: Column | str) -> Column:
 
 def with_period_stats(df: DataFrame, period: Sequence[str], stats: dict[str, Column]) -> DataFrame:
     """df with one column per aggregate over its period, by a partial aggregate and a join: a period with a third of all rows is no single
-    task's. Null periods match themselves."""
+    task's. Null periods match themselves. Without a period the statistics are those of all rows, computed at once and put in as values."""
+    if not period:
+        row = df.agg(*[c.alias(n) for n, c in stats.items()]).first()
+        value = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v).cast("double")
+        return df.withColumns({n: value(row[n]) for n in stats})
     keys = [F.col(p).alias(f"_g{i}") for i, p in enumerate(period)]
     agg = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     on = [F.col(p).eqNullSafe(F.col(f"_g{i}")) for i, p in enumerate(period)]

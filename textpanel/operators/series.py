@@ -79,9 +79,9 @@ def mean_newey_west(df: DataFrame, groups: Sequence[str], order: str, value: str
     """
     x = finite(value)
     d = df.filter(x.isNotNull()).select(*groups, order, x.alias("_x"))
-    m = d.groupBy(*groups).agg(F.avg("_x").alias("_m"), F.count("*").alias("n")) if groups else d.agg(F.avg("_x").alias("_m"), F.count("*").alias("n"))
-    e = (d.join(m, list(groups)) if groups else d.join(F.broadcast(m))).withColumn("_e", F.col("_x") - F.col("_m"))
-    w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))).orderBy(order)
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))  # a series has some hundred rows
+    e = d.withColumns({"_m": F.avg("_x").over(whole), "n": F.count("*").over(whole)}).withColumn("_e", F.col("_x") - F.col("_m"))
+    w = whole.orderBy(order)
     lagged = [F.sum(F.col("_e") * F.col(f"_e{k}")).alias(f"_g{k}") for k in range(1, lags + 1)]
     e = e.select(*groups, "_m", "n", "_e", *[F.lag("_e", k).over(w).alias(f"_e{k}") for k in range(1, lags + 1)])
     s = e.groupBy(*groups).agg(F.max("_m").alias("mean"), F.max("n").alias("n"), F.sum(F.col("_e") ** 2).alias("_g0"), *lagged)

@@ -140,7 +140,7 @@ def funnel(df: DataFrame, steps: Sequence[tuple[str, Column]], firm: str) -> Dat
 
 def standardize(series: DataFrame, columns: Sequence[str], period: str) -> DataFrame:
     """Whole series to mean 0 and sd 1, in long form (period, series, z)."""
-    s = with_period_stats(series.withColumn("_all", F.lit(1)), ["_all"], {f"_m{i}": F.avg(finite(c)) for i, c in enumerate(columns)} | {f"_s{i}": F.stddev_samp(finite(c)) for i, c in enumerate(columns)})
+    s = with_period_stats(series, [], {f"_m{i}": F.avg(finite(c)) for i, c in enumerate(columns)} | {f"_s{i}": F.stddev_samp(finite(c)) for i, c in enumerate(columns)})
     z = [F.struct(F.lit(c).alias("series"), F.when(F.col(f"_s{i}") > 0, (finite(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias("z")) for i, c in enumerate(columns)]
     return s.select(period, F.explode(F.array(*z)).alias("x")).select(period, "x.series", "x.z")
 
