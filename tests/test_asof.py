@@ -75,3 +75,11 @@ def test_known_strictly_before_the_month(spark, tmp_path):
     x.write.parquet(f"{tmp_path}/exposure_firmquarter_crsp.parquet")
     got = {(a.permno, a.month_id, a.fq_id) for a in p5_found(spark, str(tmp_path)).collect()}
     assert got == {(1, 202007, 10), (1, 202008, 10), (2, 202007, 20)}
+
+
+def test_query_on_empty_tables(spark, tmp_path):
+    from textpanel.plans.known_exposure import p5_found
+
+    spark.createDataFrame([], "permno int, Month date, RetM double").write.parquet(f"{tmp_path}/crsp_returns_monthly.parquet")
+    spark.createDataFrame([], "permno int, year int, quarter int, form_q date, known_ts timestamp, fq_id long").write.parquet(f"{tmp_path}/exposure_firmquarter_crsp.parquet")
+    assert p5_found(spark, str(tmp_path)).count() == 0

@@ -9,7 +9,7 @@ from ..functions.numeric import is_finite
 from ..operators import events, regress, series, sorts, validate
 from ..sources.tables import table
 from .panel_queries import EVM, FQ, HELD, MRET, SORT, _wide, daily, firm_quarters, held, monthly
-from .registry import query, r6, rounded
+from .registry import SQL, query, r6, rounded
 from .text_queries import detected_language
 
 LEAST = 30
@@ -204,7 +204,7 @@ def pairwise_agreement(spark: SparkSession, d: str) -> DataFrame:
     return rounded(validate.pairwise_agreement(table(spark, d, "reading_labels"), "doc_id", "rater_id", "grade", 2), "agree")
 
 
-@query("WITH l AS ({lang}), x AS (SELECT source, (lower(substring(d.lang, 1, 2)) = 'en')::INTEGER AS t, (l.lang = 'en')::INTEGER AS p FROM documents d JOIN l USING (doc_id)), c AS (SELECT source, count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn, count(*) FILTER (t = 0 AND p = 0) AS tn FROM x WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY 1) SELECT source, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) + 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) + 0.0 END AS recall, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS agreement FROM c".replace("{lang}", __import__("textpanel.plans.registry", fromlist=["SQL"]).SQL["detected_language"]))
+@query("WITH l AS ({lang}), x AS (SELECT source, (lower(substring(d.lang, 1, 2)) = 'en')::INTEGER AS t, (l.lang = 'en')::INTEGER AS p FROM documents d JOIN l USING (doc_id)), c AS (SELECT source, count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn, count(*) FILTER (t = 0 AND p = 0) AS tn FROM x WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY 1) SELECT source, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) + 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) + 0.0 END AS recall, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS agreement FROM c".replace("{lang}", SQL["detected_language"]))
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Given against detected language, by source."""
     x = table(spark, d, "documents", "doc_id", "source", "lang").withColumn("t", (F.lower(F.substring("lang", 1, 2)) == "en").cast("int")).drop("lang")
