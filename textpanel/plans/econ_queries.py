@@ -237,15 +237,15 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(validate.bh_fdr(g, "p", ["Month"]), "q")
 
 
-@query(f"WITH {HELD}, a AS (SELECT Month, avg(ret) AS v FROM he WHERE isfinite(GeoRisk) GROUP BY 1), b AS (SELECT Month, avg(ret) AS v FROM he WHERE isfinite(GeoExposure) AND siccd < 4000 GROUP BY 1) SELECT Month, round(a.v, 13) + 0.0 AS old, round(b.v, 13) + 0.0 AS new, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' WHEN abs(round(b.v - a.v, 6)) <= 0.005 THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (Month)")
+@query(f"WITH {HELD}, a AS (SELECT Month, sum(ret) AS v FROM he WHERE isfinite(GeoRisk) GROUP BY 1), b AS (SELECT Month, sum(ret) AS v FROM he WHERE isfinite(GeoExposure) AND siccd < 4000 GROUP BY 1) SELECT Month, round(a.v, 9) + 0.0 AS old, round(b.v, 9) + 0.0 AS new, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' WHEN abs(round(b.v - a.v, 6)) <= 0.005 THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (Month)")
 def results_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of a table of results, row by row."""
+    """Two versions of a table of results (here sums, which are decimals that round alike), row by row."""
     h = held(spark, d)
-    a = h.filter(is_finite("GeoRisk")).groupBy("Month").agg(F.avg("ret").alias("v"))
-    b = h.filter(is_finite("GeoExposure") & (F.col("siccd") < 4000)).groupBy("Month").agg(F.avg("ret").alias("v"))
+    a = h.filter(is_finite("GeoRisk")).groupBy("Month").agg(F.sum("ret").alias("v"))
+    b = h.filter(is_finite("GeoExposure") & (F.col("siccd") < 4000)).groupBy("Month").agg(F.sum("ret").alias("v"))
     x = validate.compare(a, b, ["Month"], "v", 1e9)
     status = F.when(F.col("status").isin("added", "removed"), F.col("status")).when(F.abs(F.round(F.col("new") - F.col("old"), 6)) <= 0.005, "same").otherwise("changed")
-    return rounded(x.withColumn("status", status).select("Month", "old", "new", "status"), "old", "new", digits=13)
+    return rounded(x.withColumn("status", status).select("Month", "old", "new", "status"), "old", "new", digits=9)
 
 
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')}, {_nw('ls', 'Month', 'LS', 6)}, w AS (SELECT round(mean, 6) + 0.0 AS value, round(t, 4) + 0.0 AS t, n FROM nw) SELECT 'price' AS question, 'GeoRisk' AS measure, 'all' AS sample, 'monthly' AS freq, 'ls_mean' AS stat, value, t, n::DOUBLE AS n FROM w")
