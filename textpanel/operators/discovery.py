@@ -148,7 +148,7 @@ def vintages(counts: DataFrame, labels: DataFrame, seeds: DataFrame, keys: Seque
     cutoff sums the years up to its own."""
     x = counts.join(labels.select(*keys, F.col("in_R").alias("in_T")), list(keys))
     per = x.groupBy(year, "bigram").agg(F.sum(F.when(F.col("in_T") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("in_T") == 0, F.col("n")).otherwise(0)).alias("c"))
-    cut = F.explode(F.filter(F.array(*[F.lit(y) for y in cutoffs]), lambda y: y >= F.col(year)))
+    cut = F.explode(F.filter(F.array(*[F.lit(y) for y in cutoffs]).cast("array<int>"), lambda y: y >= F.col(year)))
     cum = per.select(cut.alias("vintage"), "bigram", "a", "c").groupBy("vintage", "bigram").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     tot = cum.groupBy("vintage").agg(F.sum("a").cast("double").alias("ta"), F.sum("c").cast("double").alias("tc"))  # a row per cutoff
     n, w = F.col("ta") + F.col("tc"), F.col("a") + F.col("c")
@@ -158,7 +158,7 @@ def vintages(counts: DataFrame, labels: DataFrame, seeds: DataFrame, keys: Seque
     from pyspark.sql import Window
 
     ranked = g.join(seeds.select("bigram").distinct(), "bigram", "left_anti").withColumn("_r", F.row_number().over(Window.partitionBy("vintage").orderBy(F.round("G2", 6).desc(), "bigram"))).filter(F.col("_r") <= k).select("vintage", "bigram")
-    seeded = seeds.select("bigram").distinct().withColumn("vintage", F.explode(F.array(*[F.lit(y) for y in cutoffs]))).select("vintage", "bigram")
+    seeded = seeds.select("bigram").distinct().withColumn("vintage", F.explode(F.array(*[F.lit(y) for y in cutoffs]).cast("array<int>"))).select("vintage", "bigram")
     return ranked.unionByName(seeded)
 
 

@@ -61,6 +61,9 @@ def audit(scores: DataFrame, groups: Sequence[str], measure: str) -> DataFrame:
 
 
 def realtime(counts: DataFrame, vintages: DataFrame, document: str, year: str) -> DataFrame:
-    """Scores documents of year Y with the dictionary of vintage Y - 1: vintages has (vintage, bigram). All years in one join."""
+    """Scores documents of year Y with the dictionary of vintage Y - 1: vintages has (vintage, bigram). All years in one join; null where
+    there is no such vintage."""
     v = vintages.select((F.col("vintage") + 1).alias(year), "bigram").distinct().withColumn("_d", F.lit(1))
-    return counts.join(v, [year, "bigram"], "left").groupBy(document, year).agg(safe_div(F.sum(F.when(F.col("_d") == 1, F.col("n")).otherwise(0)), F.sum("n")).alias("exposure"))
+    s = counts.join(v, [year, "bigram"], "left").groupBy(document, year).agg(safe_div(F.sum(F.when(F.col("_d") == 1, F.col("n")).otherwise(0)), F.sum("n")).alias("exposure"))
+    known = v.select(year).distinct().withColumn("_k", F.lit(1))  # a row per vintage
+    return s.join(F.broadcast(known), year, "left").select(document, year, F.when(F.col("_k") == 1, F.col("exposure")).alias("exposure"))
