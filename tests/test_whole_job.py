@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textpanel.operators import scoring
+from textpanel.operators import discovery, scoring
 from textpanel.plans import text_queries
 
 
@@ -19,3 +19,16 @@ def test_no_vintage_is_null_and_no_hit_is_zero(spark):
     c = spark.createDataFrame([("a", 2014, "x y", 1), ("b", 2014, "p q", 1), ("c", 2015, "x y", 1)], "Id string, year int, bigram string, n long")
     v = spark.createDataFrame([(2013, "x y")], "vintage int, bigram string")
     assert {r.Id: r.exposure for r in scoring.realtime(c, v, "Id", "year").collect()} == {"a": 1.0, "b": 0.0, "c": None}
+
+
+def test_vintages_are_all_significant_bigrams(spark):
+    rows = [(f"t{i}", 2012 + i % 2, b, 2) for i in range(20) for b in ("import quota", *(f"told {k}" for k in range(80)), "mixed word")]
+    rows += [(f"o{i}", 2012 + i % 2, b, 30) for i in range(200) for b in ("mixed word", "other word")]
+    c = spark.createDataFrame(rows, "Id string, year int, bigram string, n long")
+    seeds = spark.createDataFrame([("import quota",), ("never seen",)], "bigram string")
+    labels = discovery.label_reference(c, seeds, ["Id"])
+    got = discovery.vintages(discovery.vintage_counts(c, labels, ["Id"], "year"), seeds, "year", [2012, 2013]).collect()
+    for y in (2012, 2013):
+        key = discovery.keyness(c.filter(c.year <= y), labels.withColumnRenamed("in_R", "in_T"), ["Id"])
+        want = {r.bigram for r in discovery.significant_dictionary(key, seeds).collect()}
+        assert sorted(r.bigram for r in got if r.vintage == y) == sorted(want) and len(want) == 82 and "mixed word" not in want

@@ -143,23 +143,27 @@ def significant_dictionary(key: DataFrame, seeds: DataFrame, alpha: float = 0.05
     return bonferroni(key, alpha).filter("significant = 1 AND G2 > 0").select("bigram").unionByName(seeds.select("bigram")).distinct()
 
 
-def vintages(counts: DataFrame, labels: DataFrame, seeds: DataFrame, keys: Sequence[str], year: str, cutoffs: Sequence[int], k: int) -> DataFrame:
-    """(vintage, bigram): for each cutoff the top-k dictionary of text up to that year. Counts by year and bigram are made once, and each
-    cutoff sums the years up to its own."""
+def vintage_counts(counts: DataFrame, labels: DataFrame, keys: Sequence[str], year: str) -> DataFrame:
+    """(year, bigram, a, c): counts in sentences with a seed and in the others."""
     x = counts.join(labels.select(*keys, F.col("in_R").alias("in_T")), list(keys))
-    per = x.groupBy(year, "bigram").agg(F.sum(F.when(F.col("in_T") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("in_T") == 0, F.col("n")).otherwise(0)).alias("c"))
+    return x.groupBy(year, "bigram").agg(F.sum(F.when(F.col("in_T") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("in_T") == 0, F.col("n")).otherwise(0)).alias("c"))
+
+
+def vintages(per: DataFrame, seeds: DataFrame, year: str, cutoffs: Sequence[int], alpha: float = 0.05) -> DataFrame:
+    """(vintage, bigram): for each cutoff the significant_dictionary of text up to that year. per: vintage_counts, which should be stored, as
+    it is read twice; each cutoff sums the years up to its own."""
     cut = F.explode(F.filter(F.array(*[F.lit(y) for y in cutoffs]).cast("array<int>"), lambda y: y >= F.col(year)))
     cum = per.select(cut.alias("vintage"), "bigram", "a", "c").groupBy("vintage", "bigram").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
-    tot = cum.groupBy("vintage").agg(F.sum("a").cast("double").alias("ta"), F.sum("c").cast("double").alias("tc"))  # a row per cutoff
+    tot = cum.groupBy("vintage").agg(F.sum("a").cast("double").alias("ta"), F.sum("c").cast("double").alias("tc"), F.count_if(F.col("a") > 0).alias("m")).collect()  # a row per cutoff
+    known = per.sparkSession.createDataFrame([(r.vintage, r.ta, r.tc, chi2_critical(alpha / max(r.m, 1))) for r in tot], "vintage int, ta double, tc double, crit double")
     n, w = F.col("ta") + F.col("tc"), F.col("a") + F.col("c")
     terms = [(F.col("a"), w * F.col("ta") / n), (F.col("ta") - F.col("a"), (n - w) * F.col("ta") / n), (F.col("c"), w * F.col("tc") / n), (F.col("tc") - F.col("c"), (n - w) * F.col("tc") / n)]
     g2 = 2 * sum((F.when((o > 0) & (e > 0), o * F.ln(o / e)).otherwise(0.0) for o, e in terms), F.lit(0.0))
-    g = cum.filter("a > 0").join(F.broadcast(tot), "vintage").withColumn("G2", F.when(F.col("a") * F.col("tc") >= F.col("c") * F.col("ta"), g2).otherwise(-g2))
-    from pyspark.sql import Window
-
-    ranked = g.join(seeds.select("bigram").distinct(), "bigram", "left_anti").withColumn("_r", F.row_number().over(Window.partitionBy("vintage").orderBy(F.round("G2", 6).desc(), "bigram"))).filter(F.col("_r") <= k).select("vintage", "bigram")
-    seeded = seeds.select("bigram").distinct().withColumn("vintage", F.explode(F.array(*[F.lit(y) for y in cutoffs]).cast("array<int>"))).select("vintage", "bigram")
-    return ranked.unionByName(seeded)
+    over = F.col("a") * F.col("tc") >= F.col("c") * F.col("ta")
+    found = cum.filter("a > 0").join(F.broadcast(known), "vintage").filter(over & (F.round(g2, 6) > F.col("crit"))).select("vintage", "bigram")
+    s = seeds.select("bigram").distinct()
+    seeded = s.withColumn("vintage", F.explode(F.array(*[F.lit(y) for y in cutoffs]).cast("array<int>"))).select("vintage", "bigram")
+    return found.join(s, "bigram", "left_anti").select("vintage", "bigram").unionByName(seeded)
 
 
 def leave_one_out(counts: DataFrame, seeds: Sequence[str], keys: Sequence[str], k: int, spark) -> DataFrame:

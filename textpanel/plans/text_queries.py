@@ -308,7 +308,7 @@ def locked_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP)
 
 
-CUTOFFS = (2013, 2016, 2019, 2022)  # of the SQL only: the queries have a vintage for every year
+CUTOFFS = (2013, 2016, 2019, 2022)  # of the SQL only, like its top 50: the queries have a vintage for every year, of all significant bigrams
 VINT = f"""{REF}, y AS (SELECT c.*, in_R FROM c JOIN r USING (Id, sentence_id)),
 u AS (SELECT unnest([{", ".join(map(str, CUTOFFS))}]) AS vintage), cum AS (SELECT vintage, bigram, coalesce(sum(n) FILTER (in_R = 1), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (in_R = 0), 0)::DOUBLE AS c FROM u JOIN y ON year <= vintage GROUP BY 1, 2),
 tot AS (SELECT vintage, sum(a) AS ta, sum(c) AS tc FROM cum GROUP BY 1),
@@ -324,12 +324,13 @@ def cutoffs(c: DataFrame) -> list[int]:
 
 def vintage_table(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
     c = hub(spark, d) if c is None else c
-    return discovery.vintages(c, discovery.label_reference(c, seeds(spark), KEYS), seeds(spark), KEYS, "year", cutoffs(c), 50)
+    per = stored(discovery.vintage_counts(c, discovery.label_reference(c, seeds(spark), KEYS), KEYS, "year"))
+    return discovery.vintages(per, seeds(spark), "year", cutoffs(c))
 
 
 @query(f"WITH {VINT} SELECT vintage, bigram FROM vin")
 def vintage_dictionaries(spark: SparkSession, d: str) -> DataFrame:
-    """Dictionaries of the text up to each year. The SQL has four cutoffs only."""
+    """Seeds and all significant bigrams of the text up to each year. The SQL has four cutoffs and their top 50 only."""
     return vintage_table(spark, d)
 
 
@@ -337,7 +338,7 @@ def vintage_dictionaries(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {VINT}, e AS (SELECT vintage, CASE vintage {' '.join(f'WHEN {b} THEN {a}' for a, b in zip(CUTOFFS, CUTOFFS[1:], strict=False))} END AS prev, bigram FROM vin), j AS (SELECT e.vintage, count(*) AS n_a, count(p.bigram) AS n_both FROM e LEFT JOIN vin p ON p.vintage = e.prev AND p.bigram = e.bigram WHERE prev IS NOT NULL GROUP BY 1), q AS (SELECT vintage, count(*) AS n FROM vin GROUP BY 1) SELECT j.vintage, n_both, round(n_both / (n_a + q.n - n_both), 6) + 0.0 AS jaccard FROM j JOIN q ON q.vintage = (CASE j.vintage {' '.join(f'WHEN {b} THEN {a}' for a, b in zip(CUTOFFS, CUTOFFS[1:], strict=False))} END)"
 )
 def vintage_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of each dictionary with the one before. The SQL has four cutoffs only."""
+    """Overlap of each dictionary with the one before. The SQL has four cutoffs and their top 50 only."""
     c = hub(spark, d)
     v, years = stored(vintage_table(spark, d, c)), cutoffs(c)
     later = {a: b for a, b in zip(years, years[1:], strict=False)}
@@ -437,7 +438,7 @@ def period_mean(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {VINT}, fl AS (SELECT c.Id, c.year, sum(n) AS B, coalesce(sum(n) FILTER (vin.bigram IS NOT NULL), 0) AS h FROM c LEFT JOIN vin ON vin.vintage + 1 = c.year AND vin.bigram = c.bigram GROUP BY 1, 2) SELECT Id, year, round(h / B, 6) + 0.0 AS exposure FROM fl"
 )
 def realtime_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Each year scored with the dictionary of the year before; null in the first, which has none. The SQL has four cutoffs only."""
+    """Each year scored with the dictionary of the year before; null in the first, which has none. The SQL has four cutoffs and their top 50 only."""
     c = hub(spark, d)
     return rounded(scoring.realtime(c, stored(vintage_table(spark, d, c)), "Id", "year"), "exposure")
 
