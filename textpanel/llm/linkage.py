@@ -2,10 +2,11 @@
 
 1. Both sides become lines: one row per Ticker or permno with its names, industries, exchange and a series by quarter of return and
    market value. A line has at most one entry per quarter of the calendar, however many rows were delivered.
-2. Candidate pairs come from equi-joins that need several attributes at once: the first word of a name, in the same quarter, with a
-   market value in the same or the next bin of a tenth; or, for lines without a name, a run of three market values in the same
-   bins. So a frequent name doesn't pair all its bearers. Values in another unit, a thousand times off, fall into the same bin:
-   bins are of the logarithm modulo ln 1000.
+2. Candidate pairs come from equi-joins that need several attributes at once: the first word of a name, give or take a letter on either
+   side, in the same quarter, with a market value in the same or the next bin of a tenth, or, where one side has no market value, a
+   return in the same or the next bin; or, whatever the names, a run of three market values and returns in the same bins; for lines
+   without a name, of three market values. So a frequent name doesn't pair all its bearers. Values in another unit, a thousand times
+   off, fall into the same bin: bins are of the logarithm modulo ln 1000.
 3. Each pair is judged by the functions VOTERS, each of which may abstain; labelmodel learns their accuracies and dependencies from
    the counts of their vote patterns (at most 3 ** len(VOTERS) rows, so the driver's share is bounded) and gives each pattern its
    posterior, the confidence.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from textpanel.functions.numeric import is_finite
 
 from . import labelmodel
+from .storage import stored
 
 #: How the vendors shorten words of names.
 SHORT = {
@@ -114,26 +116,57 @@ def _bin(cap: Column) -> Column:
     return F.floor(F.pmod(cap, F.lit(UNIT)) / CAP_BIN).cast("int")
 
 
+def _step(ret: Column) -> Column:
+    return F.floor(F.least(ret, F.lit(1000.0)) / RET_NEAR).cast("int")
+
+
 #: Bins on the circle modulo ln 1000; the last is a part of one.
 BINS = math.floor(UNIT / CAP_BIN) + 1
 
 
+def near_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(near, first): words of a and of b, each in a column `first`, that are equal after one letter less on either side or both. Only the
+    two vocabularies meet, not the lines."""
+
+    def forms(x: DataFrame, name: str) -> DataFrame:
+        less = F.transform(F.sequence(F.lit(1), F.length("first")), lambda i: F.concat(F.col("first").substr(F.lit(1), i - 1), F.col("first").substr(i + 1, F.length("first"))))
+        return x.select("first").distinct().select("first", F.explode(F.array_distinct(F.concat(F.array("first"), less))).alias("form")).filter("form != ''").withColumnRenamed("first", name)
+
+    return forms(a, "near").join(forms(b, "first"), "form").select("near", "first").distinct()
+
+
 def candidates(a: DataFrame, b: DataFrame, b_names: DataFrame) -> DataFrame:
-    """Distinct (ticker, permno) from both blocking rules. a: vendor rows; b: security quarters; b_names: (permno, first)."""
-    near = F.array(*[F.pmod(_bin(F.col("cap")) + i, F.lit(BINS)) for i in (-1, 0, 1)])
-    left = a.filter("companyName IS NOT NULL AND cap IS NOT NULL").select("ticker", "q", first_word(F.col("companyName")).alias("first"), F.explode(near).alias("bin"))
-    right = b.filter("cap IS NOT NULL").join(b_names, "permno").select("permno", "q", "first", _bin(F.col("cap")).alias("bin"))
-    by_name = left.filter("first IS NOT NULL").join(right, ["q", "first", "bin"]).select("ticker", "permno")
+    """Distinct (ticker, permno) from all blocking rules. a: vendor rows; b: security quarters; b_names: (permno, first)."""
+    named = a.select("ticker", "q", "cap", "ret", first_word(F.col("companyName")).alias("first")).filter("first IS NOT NULL")
+    called = b_names.join(near_words(named, b_names), "first").select("permno", F.col("near").alias("first")).distinct()
+    around = lambda x, n: F.array(*[F.pmod(x + i, F.lit(n)) if n else x + i for i in (-1, 0, 1)])
+    # A value's kind: 0 market value; 1 return where the vendor has no market value; 2 return where the other side has none.
+    value = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("bin"))
+    some = lambda has, values: F.when(has, values).otherwise(F.array().cast("array<struct<kind:int,bin:int>>"))
+    cap, ret = F.col("cap").isNotNull(), F.col("ret").isNotNull()
+    lacking = b.filter("cap IS NULL AND ret IS NOT NULL").join(called, "permno").select("q", "first").distinct()
+
+    left = named.withColumn("v", F.explode(F.concat(some(cap, F.transform(around(_bin(F.col("cap")), BINS), lambda x: value(0, x))), some(~cap & ret, F.transform(around(_step(F.col("ret")), 0), lambda x: value(1, x))))))
+    two = named.filter(ret).join(lacking, ["q", "first"], "left_semi").withColumn("v", F.explode(F.transform(around(_step(F.col("ret")), 0), lambda x: value(2, x))))
+    left = left.unionByName(two).select("ticker", "q", "first", "v.kind", "v.bin")
+    unvalued = named.filter(~cap & ret).select("q", "first").distinct()
+    right = b.join(called, "permno")
+    valued = right.filter(cap).select("permno", "q", "first", F.lit(0).alias("kind"), _bin(F.col("cap")).alias("bin"))
+    one = right.filter(ret).join(unvalued, ["q", "first"], "left_semi").select("permno", "q", "first", F.lit(1).alias("kind"), _step(F.col("ret")).alias("bin"))
+    none = right.filter(~cap & ret).select("permno", "q", "first", F.lit(2).alias("kind"), _step(F.col("ret")).alias("bin"))
+    by_name = left.join(valued.unionByName(one).unionByName(none), ["q", "first", "kind", "bin"]).select("ticker", "permno")
 
     def runs(x: DataFrame, key: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy("q")
-        y = x.filter("cap IS NOT NULL").groupBy(key, "q").agg(_bin(F.min("cap")).alias("b0"))  # bounded by the calendar
-        y = y.select(key, "q", "b0", F.lead("q", 2).over(w).alias("q2"), F.lead("b0", 1).over(w).alias("b1"), F.lead("b0", 2).over(w).alias("b2"))
-        return y.filter("q2 = q + 2").select(key, "q", "b0", "b1", "b2")
+        y = x.filter("cap IS NOT NULL").groupBy(key, "q").agg(_bin(F.min("cap")).alias("b0"), _step(F.min("ret")).alias("r0"))  # bounded by the calendar
+        y = y.select(key, "q", "b0", "r0", F.lead("q", 2).over(w).alias("q2"), *[F.lead(f"{c}0", i).over(w).alias(f"{c}{i}") for c in "br" for i in (1, 2)])
+        return y.filter("q2 = q + 2").select(key, "q", "b0", "b1", "b2", "r0", "r1", "r2")
 
-    nameless = b.join(b_names, "permno", "left_anti")
-    by_run = runs(a, "ticker").join(runs(nameless, "permno"), ["q", "b0", "b1", "b2"]).select("ticker", "permno")
-    return by_name.unionAll(by_run).distinct()
+    run_a, run_b = runs(a, "ticker"), runs(b, "permno")
+    nameless = run_b.join(b_names, "permno", "left_anti")
+    by_run = run_a.join(nameless, ["q", "b0", "b1", "b2"]).select("ticker", "permno")
+    by_both = run_a.join(run_b, ["q", "b0", "b1", "b2", "r0", "r1", "r2"]).select("ticker", "permno")
+    return by_name.unionAll(by_run).unionAll(by_both).distinct()
 
 
 def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +192,7 @@ def _ternary(yes: Column, no: Column) -> Column:
 
 def voted_pairs(panel: DataFrame, returns: DataFrame, names: DataFrame, exchanges: DataFrame) -> DataFrame:
     """(ticker, permno, one column per voter, agree, from_q, to_q) of every candidate pair."""
-    a, b = vendor_lines(panel, exchanges), security_quarters(returns)
+    a, b = stored(vendor_lines(panel, exchanges)), stored(security_quarters(returns))  # the blocking rules read them many times
     span = a.agg(F.min("q"), F.max("q")).first()
     if span[0] is None:
         span = (0, 0)
