@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textpanel.operators import discovery, scoring
-from textpanel.plans import text_queries
+from textpanel.plans import panel_queries, text_queries
 
 
 def test_every_year_has_its_vintage(spark, tmp_path):
@@ -32,3 +32,9 @@ def test_vintages_are_all_significant_bigrams(spark):
         key = discovery.keyness(c.filter(c.year <= y), labels.withColumnRenamed("in_R", "in_T"), ["Id"])
         want = {r.bigram for r in discovery.significant_dictionary(key, seeds).collect()}
         assert sorted(r.bigram for r in got if r.vintage == y) == sorted(want) and len(want) == 82 and "mixed word" not in want
+
+
+def test_every_day_is_an_anchor(spark, tmp_path):
+    spark.sql("SELECT i AS event_id, 1 AS user_id, 'view' AS event_type, TIMESTAMP'2020-01-01 10:00:00' + make_interval(0, 0, 0, i) AS ts, CAST(i AS DOUBLE) AS value FROM (SELECT explode(sequence(1, 9)) AS i)").write.parquet(str(tmp_path / "events.parquet"))
+    got = panel_queries.offset_window(spark, str(tmp_path)).collect()
+    assert sorted((r.anchor, r.k) for r in got) == [(i, k) for i in range(1, 10) for k in range(-3, 4) if 1 <= i + k <= 9]
