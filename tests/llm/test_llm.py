@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textpanel.functions.text import clean_ric
 from textpanel.llm import labelmodel, linkage, packing, percentiles, reading, terms, tokenizer, topn
 
 NAN, INF = float("nan"), float("inf")
@@ -90,7 +91,7 @@ def test_label_model_learns_accuracies():
 
 def test_names_and_tickers(spark):
     df = spark.createDataFrame([("The Lóvi Ther. Hldg. - B", " abc.n^K21 "), (None, "^"), ("...", None)], "n string, t string")
-    got = df.select(linkage.first_word(F.col("n")), linkage.name_words(F.col("n")), linkage.clean_ticker(F.col("t"))).collect()
+    got = df.select(F.get(linkage.name_words(F.col("n")), F.lit(0)), linkage.name_words(F.col("n")), clean_ric(F.col("t"))).collect()
     assert list(got[0]) == ["LOVI", ["LOVI", "THER", "HOLDINGS", "B"], "ABC.N"]
     assert [r[2] for r in got[1:]] == [None, None] and got[2][0] is None
 

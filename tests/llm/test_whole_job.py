@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textpanel.llm import linkage
 
-A = "ticker string, q int, exch string, companyName string, siccd int, ret double, cap double"
-B = "permno long, q int, ret double, cap double"
+NAN = float("nan")
+
+
+def lines(spark, rows, key, kind):
+    """rows (line, q, name, ret, cap) as lines of the linkage."""
+    by = {}
+    for line, q, name, r, c in rows:
+        quarters, firsts = by.setdefault(line, ({}, set()))
+        quarters[q] = (q, NAN if r is None else r, NAN if c is None else c)
+        firsts.add(name)
+    data = [(line, [v for _, v in sorted(quarters.items())], list(firsts), [1]) for line, (quarters, firsts) in by.items()]
+    df = spark.createDataFrame(data, f"{key} {kind}, s array<struct<q:int,r:float,c:float>>, names array<string>, sic array<int>")
+    return df.withColumn("firsts", F.array_distinct(F.transform("names", lambda n: F.get(linkage.name_words(n), F.lit(0)))))
 
 
 def pairs(spark, a, b, names):
-    a = spark.createDataFrame([(t, q, "N", n, 1, r, c) for t, q, n, r, c in a], A)
-    got = linkage.candidates(a, spark.createDataFrame(b, B), spark.createDataFrame(names, "permno long, first string")).collect()
+    named = dict(names)
+    right = lines(spark, [(p, q, named[p], r, c) for p, q, r, c in b], "permno", "long")
+    got = linkage.candidates(lines(spark, [(t, q, n, r, c) for t, q, n, r, c in a], "ticker", "string"), right).collect()
     return {(r.ticker, r.permno) for r in got}
 
 

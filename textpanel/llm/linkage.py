@@ -1,12 +1,12 @@
 """Matching of share lines of two vendors that have no key in common.
 
-1. Both sides become lines: one row per Ticker or permno with its names, industries, exchange and a series by quarter of return and
-   market value. A line has at most one entry per quarter of the calendar, however many rows were delivered.
-2. Candidate pairs come from equi-joins that need several attributes at once: the first word of a name, give or take a letter on either
-   side, in the same quarter, with a market value in the same or the next bin of a tenth, or, where one side has no market value, a
-   return in the same or the next bin; or, whatever the names, a run of three market values and returns in the same bins; for lines
-   without a name, of three market values. So a frequent name doesn't pair all its bearers. Values in another unit, a thousand times
-   off, fall into the same bin: bins are of the logarithm modulo ln 1000.
+1. Both sides become lines: one row per Ticker or permno with its names, industries, exchanges and its quarters in order, each with
+   return and market value. A line has at most one entry per quarter of the calendar, however many rows were delivered; quarters that
+   it lacks take no room.
+2. Candidate pairs come from one equi-join on hashed blocking keys. Every key needs several attributes of the same quarter at once, so
+   that neither a frequent name nor a frequent value pairs all its bearers (BLOCKS says which). Market values are binned by the logarithm
+   modulo ln 1000, so values in another unit, a thousand times off, fall into the same bin. A line has some keys for each of its quarters
+   and needs one of them in common with its partner; a value that just misses its bin in one quarter meets in another.
 3. Each pair is judged by the functions VOTERS, each of which may abstain; labelmodel learns their accuracies and dependencies from
    the counts of their vote patterns (at most 3 ** len(VOTERS) rows, so the driver's share is bounded) and gives each pattern its
    posterior, the confidence.
@@ -17,17 +17,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpanel.functions.numeric import is_finite
+from textpanel.functions.text import clean_ric
 
 from . import labelmodel
-from .storage import stored
+from textpanel.plans.storage import stored
 
 #: How the vendors shorten words of names.
 SHORT = {
@@ -37,15 +38,14 @@ SHORT = {
 }
 LEGAL = ("INCORPORATED", "CORPORATION", "LIMITED", "COMPANY", "TRUST", "GROUP", "HOLDINGS")
 UNIT = math.log(1000)
-CAP_BIN, CAP_NEAR, RET_NEAR, TRACE = 0.1, 0.08, 0.05, 6
+CAP_NEAR, RET_NEAR, TRACE = 0.08, 0.05, 6
 VOTERS = ("name", "trade", "legal", "share_class", "industry", "exchange", "caps", "returns", "trace", "period")
-MISSING = -32768
-
-
-def clean_ticker(c: Column) -> Column:
-    """Upper case, cut at the first ^, without outer blanks; null if nothing is left."""
-    t = F.trim(F.substring_index(F.upper(F.trim(c)), "^", 1))
-    return F.when(t != "", t)
+#: What a blocking key is made of: attributes, and the width of the bin of the market value's logarithm and of the returns (of how many
+#: quarters in a row). The narrower the bins, the fewer strangers meet; the wider, the more partners do. A `form` is the first word with at
+#: most one letter left out, on lines with less than SHORT_LINE full quarters, which have few chances to meet otherwise. `nameless` is for
+#: lines of the second side that have no name at all.
+BLOCKS = {"value": ("first", 0.03, None, 0), "both": ("first", 0.1, 0.05, 1), "returns": ("first", None, 0.01, 2), "industry": ("sic", 0.2, 0.01, 2), "run": (None, 0.2, 0.005, 3), "nameless": (None, 0.2, 0.02, 3), "near": ("form", 0.2, 0.02, 1), "near value": ("form", 0.05, None, 0), "near return": ("form", None, 0.05, 1)}
+SHORT_LINE = 6
 
 
 def _plain(c: Column) -> Column:
@@ -53,12 +53,6 @@ def _plain(c: Column) -> Column:
     return F.translate(F.upper(c), "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑÝ", "AAAAAAEEEEIIIIOOOOOUUUUCNY")
 
 
-def first_word(c: Column) -> Column:
-    """The first word of a company name, without a leading article; null if there is none."""
-    w = F.regexp_extract(_plain(c), r"^[^A-Z0-9]*(?:THE[^A-Z0-9]+)?([A-Z0-9]+)", 1)
-    return F.when(w != "", w)
-
-
 def name_words(c: Column) -> Column:
     """Words of a company name in upper case without accents, leading article and punctuation; known short forms in full."""
     words = F.filter(F.split(F.regexp_replace(_plain(c), r"[^A-Z0-9]+", " "), " "), lambda w: (w != "") & (w != "THE"))
@@ -73,33 +67,46 @@ def _class_of(words: Column) -> Column:
 
 
 def _named(words: Column) -> Column:
-    """What is kept of one form of a name: first word, other words cut to 4 letters, legal form, class."""
+    """What is kept of one form of a name: first word, the other words of its trade, legal form, class."""
     legal = F.array(*[F.lit(x) for x in LEGAL])
     rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     trade = F.filter(rest, lambda w: ~F.array_contains(legal, w) & (F.length(w) > 1) & ~w.isin("CL", "CLASS"))
-    return F.struct(F.try_element_at(words, F.lit(1)).alias("first"), F.transform(trade, lambda w: F.substring(w, 1, 4)).alias("trade"), F.array_intersect(rest, legal).alias("legal"), _class_of(words).alias("cls"))
+    return F.struct(F.try_element_at(words, F.lit(1)).alias("first"), trade.alias("trade"), F.array_intersect(rest, legal).alias("legal"), _class_of(words).alias("cls"))
 
 
-def _lines(rows: DataFrame, key: str, quarters: tuple[int, int]) -> DataFrame:
-    """rows (key, q, ret, cap): one per key, with dense arrays rets and caps over the quarters, in ten-thousandths and thousandths of
-    the logarithm, MISSING where there is none, and the first and last quarter."""
-    lo, hi = quarters
-    one = rows.groupBy(key, "q").agg(F.min("ret").alias("ret"), F.min("cap").alias("cap"))
-    short = lambda x, scale: F.coalesce(F.greatest(F.least(F.round(x * scale), F.lit(32000.0)), F.lit(-32000.0)), F.lit(float(MISSING))).cast("smallint")
-    listed = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("q", F.struct(short(F.col("ret"), 10000).alias("r"), short(F.col("cap"), 1000).alias("c"))))).alias("m"), F.min("q").alias("q0"), F.max("q").alias("q1"))
-    at = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda i: F.try_element_at(F.col("m"), i))
-    none = F.lit(MISSING).cast("smallint")
-    return listed.withColumn("m", at).select(key, "q0", "q1", F.transform("m", lambda x: F.coalesce(x["r"], none)).alias("rets"), F.transform("m", lambda x: F.coalesce(x["c"], none)).alias("caps"))
+def _described(names: Column, sic: Column, ex: Column) -> list[Column]:
+    """Columns firsts, trade, legal, cls, sic, ex from arrays of a line's names, industries and exchanges."""
+    forms = F.transform(F.filter(F.transform(names, name_words), lambda w: F.size(w) > 0), _named)
+    each = lambda field: F.transform(forms, lambda x: x[field])
+    flat = lambda field: F.array_distinct(F.flatten(each(field))).alias(field)
+    return [F.array_distinct(each("first")).alias("firsts"), flat("trade"), flat("legal"), F.array_compact(F.array_distinct(each("cls"))).alias("cls"), sic.alias("sic"), ex.alias("ex")]
 
 
-def vendor_lines(panel: DataFrame, exchanges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, names) of the panel's Tickers that are listed on an exchange that `exchanges` gives a primaryexch."""
+def _quarter() -> Column:
+    nan = F.lit(float("nan"))
+    return F.struct("q", F.coalesce("ret", nan).cast("float").alias("r"), F.coalesce("cap", nan).cast("float").alias("c"))
+
+
+def vendor_lines(panel: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """(ticker, s, descriptions) of the panel's Tickers that are listed on an exchange that `exchanges` gives a primaryexch. s: quarters in
+    order, each with return r and logarithm of the market value c, NaN where there is none; of repeated quarters the least values."""
     listed = exchanges.filter("primaryexch IS NOT NULL").select(F.upper("suffix").alias("suffix"), F.col("primaryexch").alias("exch")).distinct()
     quarter = (F.year("Quarter") * 4 + F.quarter("Quarter") - 1).cast("int")
-    p = panel.select(clean_ticker(F.col("Ticker")).alias("ticker"), quarter.alias("q"), "companyName", "siccd", "QuarterlyRet", "MCap_QEnd").filter("ticker IS NOT NULL AND q IS NOT NULL")
-    p = p.withColumn("suffix", F.when(F.instr("ticker", ".") > 0, F.substring_index("ticker", ".", -1))).join(F.broadcast(listed), "suffix", "inner")
+    p = panel.select(clean_ric("Ticker").alias("ticker"), quarter.alias("q"), "companyName", "siccd", "QuarterlyRet", "MCap_QEnd").filter("ticker IS NOT NULL AND q IS NOT NULL")
+    p = p.withColumn("suffix", F.when(F.instr("ticker", ".") > 0, F.substring_index("ticker", ".", -1))).join(listed, "suffix", "inner")
     cap = F.when(is_finite("MCap_QEnd") & (F.col("MCap_QEnd") > 0), F.ln("MCap_QEnd"))
-    return p.select("ticker", "q", "exch", "companyName", "siccd", F.when(is_finite("QuarterlyRet"), F.col("QuarterlyRet")).alias("ret"), cap.alias("cap"))
+    one = p.groupBy("ticker", "q").agg(F.min(F.when(is_finite("QuarterlyRet"), F.col("QuarterlyRet"))).alias("ret"), F.min(cap).alias("cap"), *[F.collect_set(c).alias(c) for c in ("companyName", "siccd", "exch")])
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    line = one.groupBy("ticker").agg(F.array_sort(F.collect_list(_quarter())).alias("s"), *[gathered(c) for c in ("companyName", "siccd", "exch")])
+    return line.select("ticker", "s", *_described(F.col("companyName"), F.col("siccd"), F.col("exch")))
+
+
+def security_lines(returns: DataFrame, names: DataFrame) -> DataFrame:
+    """(permno, s, descriptions), like vendor_lines, of every permno that has a row with a month."""
+    line = security_quarters(returns).groupBy("permno").agg(F.array_sort(F.collect_list(_quarter())).alias("s"))
+    d = names.filter("permno IS NOT NULL").groupBy("permno").agg(*[F.collect_set(c).alias(c) for c in ("comnam", "siccd", "primaryexch")]).select("permno", *_described(F.col("comnam"), F.col("siccd"), F.col("primaryexch")))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return line.join(d, "permno", "left").select("permno", "s", *[none(F.col(c), "string").alias(c) for c in ("firsts", "trade", "legal", "cls")], none(F.col("sic"), "int").alias("sic"), none(F.col("ex"), "string").alias("ex"))
 
 
 def security_quarters(returns: DataFrame) -> DataFrame:
@@ -112,78 +119,83 @@ def security_quarters(returns: DataFrame) -> DataFrame:
     return g.select("permno", "q", F.when(F.col("n") == 3, F.expm1("s")).alias("ret"), F.ln(F.col("m") / 1000).alias("cap"))
 
 
-def _bin(cap: Column) -> Column:
-    return F.floor(F.pmod(cap, F.lit(UNIT)) / CAP_BIN).cast("int")
-
-
-def _step(ret: Column) -> Column:
-    return F.floor(F.least(ret, F.lit(1000.0)) / RET_NEAR).cast("int")
-
-
-#: Bins on the circle modulo ln 1000; the last is a part of one.
-BINS = math.floor(UNIT / CAP_BIN) + 1
-
-
-def near_words(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(near, first): words of a and of b, each in a column `first`, that are equal after one letter less on either side or both. Only the
-    two vocabularies meet, not the lines."""
-
-    def forms(x: DataFrame, name: str) -> DataFrame:
-        less = F.transform(F.sequence(F.lit(1), F.length("first")), lambda i: F.concat(F.col("first").substr(F.lit(1), i - 1), F.col("first").substr(i + 1, F.length("first"))))
-        return x.select("first").distinct().select("first", F.explode(F.array_distinct(F.concat(F.array("first"), less))).alias("form")).filter("form != ''").withColumnRenamed("first", name)
-
-    return forms(a, "near").join(forms(b, "first"), "form").select("near", "first").distinct()
-
-
-def candidates(a: DataFrame, b: DataFrame, b_names: DataFrame) -> DataFrame:
-    """Distinct (ticker, permno) from all blocking rules. a: vendor rows; b: security quarters; b_names: (permno, first)."""
-    named = a.select("ticker", "q", "cap", "ret", first_word(F.col("companyName")).alias("first")).filter("first IS NOT NULL")
-    called = b_names.join(near_words(named, b_names), "first").select("permno", F.col("near").alias("first")).distinct()
-    around = lambda x, n: F.array(*[F.pmod(x + i, F.lit(n)) if n else x + i for i in (-1, 0, 1)])
-    # A value's kind: 0 market value; 1 return where the vendor has no market value; 2 return where the other side has none.
-    value = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("bin"))
-    some = lambda has, values: F.when(has, values).otherwise(F.array().cast("array<struct<kind:int,bin:int>>"))
-    cap, ret = F.col("cap").isNotNull(), F.col("ret").isNotNull()
-    lacking = b.filter("cap IS NULL AND ret IS NOT NULL").join(called, "permno").select("q", "first").distinct()
-
-    left = named.withColumn("v", F.explode(F.concat(some(cap, F.transform(around(_bin(F.col("cap")), BINS), lambda x: value(0, x))), some(~cap & ret, F.transform(around(_step(F.col("ret")), 0), lambda x: value(1, x))))))
-    two = named.filter(ret).join(lacking, ["q", "first"], "left_semi").withColumn("v", F.explode(F.transform(around(_step(F.col("ret")), 0), lambda x: value(2, x))))
-    left = left.unionByName(two).select("ticker", "q", "first", "v.kind", "v.bin")
-    unvalued = named.filter(~cap & ret).select("q", "first").distinct()
-    right = b.join(called, "permno")
-    valued = right.filter(cap).select("permno", "q", "first", F.lit(0).alias("kind"), _bin(F.col("cap")).alias("bin"))
-    one = right.filter(ret).join(unvalued, ["q", "first"], "left_semi").select("permno", "q", "first", F.lit(1).alias("kind"), _step(F.col("ret")).alias("bin"))
-    none = right.filter(~cap & ret).select("permno", "q", "first", F.lit(2).alias("kind"), _step(F.col("ret")).alias("bin"))
-    by_name = left.join(valued.unionByName(one).unionByName(none), ["q", "first", "kind", "bin"]).select("ticker", "permno")
-
-    def runs(x: DataFrame, key: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy("q")
-        y = x.filter("cap IS NOT NULL").groupBy(key, "q").agg(_bin(F.min("cap")).alias("b0"), _step(F.min("ret")).alias("r0"))  # bounded by the calendar
-        y = y.select(key, "q", "b0", "r0", F.lead("q", 2).over(w).alias("q2"), *[F.lead(f"{c}0", i).over(w).alias(f"{c}{i}") for c in "br" for i in (1, 2)])
-        return y.filter("q2 = q + 2").select(key, "q", "b0", "b1", "b2", "r0", "r1", "r2")
-
-    run_a, run_b = runs(a, "ticker"), runs(b, "permno")
-    nameless = run_b.join(b_names, "permno", "left_anti")
-    by_run = run_a.join(nameless, ["q", "b0", "b1", "b2"]).select("ticker", "permno")
-    by_both = run_a.join(run_b, ["q", "b0", "b1", "b2", "r0", "r1", "r2"]).select("ticker", "permno")
-    return by_name.unionAll(by_run).unionAll(by_both).distinct()
-
-
-def _agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per pair: quarters with both values and quarters that agree, for caps and returns; first and last agreeing quarter (index)."""
-    for df in batches:
-        if df.empty:
+def blocking_keys(lines: DataFrame, line: str, nameless: bool) -> DataFrame:
+    """(line, key): every blocking key of every line, as a hash: of two lines with an equal key, a few may share no attribute, and are
+    voted down. `nameless`: whether this side gives the keys of that name only for its lines without a name."""
+    full = F.size(F.filter("s", lambda x: ~F.isnan(x["r"]) & ~F.isnan(x["c"])))
+    less = lambda w: F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))))
+    sources = {
+        "first": lines.select(line, "s", F.explode("firsts").alias("of")),
+        "sic": lines.select(line, "s", F.explode("sic").alias("of")),
+        "form": lines.filter(full < SHORT_LINE).select(line, "s", F.explode(F.array_distinct(F.flatten(F.transform("firsts", less)))).alias("of")).filter("of <> ''"),
+        None: lines.select(line, "s", (F.size("firsts") == 0).alias("of")),
+    }
+    parts = []
+    for source, rows in sources.items():
+        at = rows.select(line, "of", F.posexplode("s").alias("i", "x"), "s").select(line, "of", "x", *[F.get("s", F.col("i") + k).alias(f"x{k}") for k in (1, 2)])
+        keys = []
+        for name, (attribute, cap_bin, ret_bin, run) in BLOCKS.items():
+            if attribute != source:
+                continue
+            needed, hashed = [], [F.lit(name), F.col("x.q")]
+            if attribute:
+                hashed.append(F.col("of"))
+            elif name == "nameless" and nameless:
+                needed.append(F.col("of"))
+            if cap_bin:
+                c = F.col("x.c").cast("double")
+                needed.append(~F.isnan(c))
+                hashed.append(F.floor(F.pmod(c, F.lit(UNIT)) / cap_bin))
+            for k in range(run):
+                x = F.col("x" if k == 0 else f"x{k}")
+                r = x["r"].cast("double")
+                needed += [x.isNotNull(), x["q"] == F.col("x.q") + k, ~F.isnan(r)]
+                hashed.append(F.floor(r / ret_bin))
+            ok = needed[0]
+            for n in needed[1:]:
+                ok = ok & n
+            keys.append(F.when(ok, F.xxhash64(*hashed)))
+        parts.append(at.select(line, F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct (ticker, permno) of lines with a blocking key in common."""
+    return blocking_keys(a, "ticker", nameless=False).join(blocking_keys(b, "permno", nameless=True), "key").select("ticker", "permno").distinct()
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the quarters of both lines. Instead of them: quarters in which both have a value and in which they agree, for
+    market values and returns; first and last agreeing quarter (0 if there is none)."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        ra, ca, rb, cb = (np.stack(df[c].to_numpy()).astype(np.float32) for c in ("rets_a", "caps_a", "rets_b", "caps_b"))
-        both_r, both_c = (ra != MISSING) & (rb != MISSING), (ca != MISSING) & (cb != MISSING)
-        d = (ca - cb) / 1000
-        d -= np.round(d / UNIT) * UNIT
-        ok_c = both_c & (np.abs(d) < CAP_NEAR)
-        ok_r = both_r & (np.abs(ra - rb) < RET_NEAR * 10000)
+        n = batch.num_rows
+        sides = []
+        for column in (batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            flat = column.flatten()
+            pair = np.repeat(np.arange(n, dtype=np.int64), column.value_lengths().to_numpy(zero_copy_only=False))
+            q, r, c = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sides.append(((pair << 32) + q, r, c))
+        (ka, ra, ca), (kb, rb, cb) = sides
+        common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        pair, quarter = common >> 32, common & 0xFFFFFFFF
+        with np.errstate(invalid="ignore"):
+            d, e = ca[ia] - cb[ib], np.abs(ra[ia] - rb[ib])
+            both_c, both_r = ~np.isnan(d), ~np.isnan(e)
+            ok_c = np.abs(d - np.round(d / UNIT) * UNIT) < CAP_NEAR
+            ok_r = e < RET_NEAR
+        count = lambda mask: np.bincount(pair[mask], minlength=n)
+        first, last = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         any_ok = ok_c | ok_r
-        last = any_ok.shape[1] - 1 - np.argmax(any_ok[:, ::-1], axis=1)
-        rest = df.drop(columns=["rets_a", "caps_a", "rets_b", "caps_b"])
-        yield rest.assign(n_c=both_c.sum(1), ok_c=ok_c.sum(1), n_r=both_r.sum(1), ok_r=ok_r.sum(1), from_q=np.where(any_ok.any(1), np.argmax(any_ok, axis=1), 0), to_q=np.where(any_ok.any(1), last, 0))
+        last[pair[any_ok]] = quarter[any_ok]  # in order of quarters: the last one stays
+        first[pair[any_ok][::-1]] = quarter[any_ok][::-1]
+        added = dict(zip(("n_c", "ok_c", "n_r", "ok_r", "from_q", "to_q"), (count(both_c), count(ok_c), count(both_r), count(ok_r), first, last), strict=True))
+        kept = batch.schema.names[:-2]
+        yield pa.record_batch([*(batch.column(k) for k in range(len(kept))), *(pa.array(v, pa.int64()) for v in added.values())], names=[*kept, *added])
 
 
 def _ternary(yes: Column, no: Column) -> Column:
@@ -192,42 +204,28 @@ def _ternary(yes: Column, no: Column) -> Column:
 
 def voted_pairs(panel: DataFrame, returns: DataFrame, names: DataFrame, exchanges: DataFrame) -> DataFrame:
     """(ticker, permno, one column per voter, agree, from_q, to_q) of every candidate pair."""
-    a, b = stored(vendor_lines(panel, exchanges)), stored(security_quarters(returns))  # the blocking rules read them many times
-    span = a.agg(F.min("q"), F.max("q")).first()
-    if span[0] is None:
-        span = (0, 0)
-    lo, hi = span
-    nb = names.filter("permno IS NOT NULL").select("permno", "comnam", "siccd", "primaryexch")
-    firsts = nb.select("permno", first_word(F.col("comnam")).alias("first")).filter("first IS NOT NULL").distinct()
-    pairs = candidates(a, b.filter(F.col("q").between(lo, hi)), firsts)
-
-    forms = lambda names: F.transform(F.filter(F.transform(names, name_words), lambda w: F.size(w) > 0), lambda w: F.struct(_named(w).alias("v")))
-    a_desc = a.groupBy("ticker").agg(F.collect_set("companyName").alias("v"), F.collect_set("siccd").alias("sic"), F.collect_set("exch").alias("ex")).withColumn("v", forms("v"))
-    b_desc = nb.groupBy("permno").agg(F.collect_set("comnam").alias("v"), F.collect_set("siccd").alias("sic"), F.collect_set("primaryexch").alias("ex")).withColumn("v", forms("v"))
-
-    def flat(d: DataFrame, key: str, s: str) -> DataFrame:
-        v = F.col("v")
-        return d.select(key, F.array_distinct(F.transform(v, lambda x: x["v"]["first"])).alias(f"first_{s}"), F.array_distinct(F.flatten(F.transform(v, lambda x: x["v"]["trade"]))).alias(f"trade_{s}"), F.array_distinct(F.flatten(F.transform(v, lambda x: x["v"]["legal"]))).alias(f"legal_{s}"), F.array_compact(F.array_distinct(F.transform(v, lambda x: x["v"]["cls"]))).alias(f"cls_{s}"), F.col("sic").alias(f"sic_{s}"), F.col("ex").alias(f"ex_{s}"))
-
-    la = _lines(a, "ticker", (lo, hi)).select("ticker", F.col("q0").alias("q0_a"), F.col("q1").alias("q1_a"), F.col("rets").alias("rets_a"), F.col("caps").alias("caps_a"))
-    lb = _lines(b, "permno", (lo, hi)).select("permno", F.col("q0").alias("q0_b"), F.col("q1").alias("q1_b"), F.col("rets").alias("rets_b"), F.col("caps").alias("caps_b"))
-    met = pairs.join(la.join(flat(a_desc, "ticker", "a"), "ticker", "left"), "ticker").join(lb.join(flat(b_desc, "permno", "b"), "permno", "left"), "permno")
-
-    def sets(c: str, near: bool = False) -> Column:
-        x, y = F.coalesce(F.col(f"{c}_a"), F.array().cast("array<string>")), F.coalesce(F.col(f"{c}_b"), F.array().cast("array<string>"))
-        if c == "sic":
-            x, y = F.coalesce(F.col("sic_a"), F.array().cast("array<int>")), F.coalesce(F.col("sic_b"), F.array().cast("array<int>"))
+    a, b = stored(vendor_lines(panel, exchanges)), stored(security_lines(returns, names))  # read by each kind of key, and once more
+    pairs = candidates(a, b)
+    side = lambda d, key, s: d.select(key, *[F.col(c).alias(f"{c}_{s}") for c in d.columns if c != key])
+    met = pairs.join(side(a, "ticker", "a"), "ticker").join(side(b, "permno", "b"), "permno")
+
+    def sets(c: str, like: Callable[[Column, Column], Column] | None = None) -> Column:
+        x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
         some = (F.size(x) > 0) & (F.size(y) > 0)
         same = F.arrays_overlap(x, y)
-        close = F.exists(x, lambda p: F.exists(y, lambda q: F.levenshtein(p, q) <= 1)) if near else F.lit(False)
-        return _ternary(some & (same | close), some & ~(same | close))
-
-    inside = F.least(F.col("q1_a"), F.col("q1_b")) - F.greatest(F.col("q0_a"), F.col("q0_b")) + 1
-    length = F.col("q1_a") - F.col("q0_a") + 1
-    judged = met.select("ticker", "permno", sets("first", near=True).alias("name"), sets("trade").alias("trade"), sets("legal").alias("legal"), sets("cls").alias("share_class"), sets("sic").alias("industry"), sets("ex").alias("exchange"), _ternary(inside >= length * 0.9, inside < length * 0.5).alias("period"), "rets_a", "caps_a", "rets_b", "caps_b")
-    kept = [f for f in judged.schema if f.name not in ("rets_a", "caps_a", "rets_b", "caps_b")]
+        if like:
+            same = same | F.exists(x, lambda p: F.exists(y, lambda q: like(p, q)))
+        return _ternary(some & same, some & ~same)
+
+    near = lambda p, q: F.levenshtein(p, q) <= 1
+    begins = lambda p, q: (F.least(F.length(p), F.length(q)) >= 3) & (p.startswith(q) | q.startswith(p) | near(p, q))
+    q0, q1 = (lambda s: F.get(s, F.lit(0))["q"]), (lambda s: F.element_at(s, -1)["q"])
+    inside = F.least(q1("s_a"), q1("s_b")) - F.greatest(q0("s_a"), q0("s_b")) + 1
+    length = q1("s_a") - q0("s_a") + 1
+    judged = met.select("ticker", "permno", sets("firsts", near).alias("name"), sets("trade", begins).alias("trade"), sets("legal").alias("legal"), sets("cls").alias("share_class"), sets("sic").alias("industry"), sets("ex").alias("exchange"), _ternary(inside >= length * 0.9, inside < length * 0.5).alias("period"), "s_a", "s_b")
+    kept = judged.schema[:-2]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{c} bigint" for c in ("n_c", "ok_c", "n_r", "ok_r", "from_q", "to_q")])
-    s = judged.mapInPandas(_agreement, schema)
+    s = judged.mapInArrow(_agreement, schema)
     caps = _ternary((F.col("n_c") > 0) & (F.col("ok_c") >= 0.6 * F.col("n_c")), (F.col("n_c") > 0) & (F.col("ok_c") < 0.4 * F.col("n_c")))
     rets = _ternary((F.col("n_r") > 0) & (F.col("ok_r") >= 0.6 * F.col("n_r")), (F.col("n_r") > 0) & (F.col("ok_r") < 0.4 * F.col("n_r")))
     trace = _ternary((F.col("ok_c") >= TRACE) & (F.col("ok_c") >= 0.6 * F.col("n_c")), (F.col("n_c") >= 3) & (F.col("ok_c") < 0.6 * F.col("n_c")))

@@ -14,7 +14,7 @@ from textpanel.sources.tables import table
 
 from . import percentiles as P
 from . import linkage, packing, reading, terms, tokenizer, topn
-from .storage import stored
+from textpanel.plans.storage import stored
 
 RARE_BELOW, COMMON_ABOVE = 5, 50  # fewer records than this; more than one in this many records
 
