@@ -167,7 +167,7 @@ DEMANDING = 13
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     models = reading.fit(docs, table(spark, sf_dir, "reading_labels", "doc_id", "rater_id", "grade"))
     return reading.levels(docs, models)
 
