@@ -6,7 +6,7 @@ counts of all prefixes: a level is popped, and its n-gram written, as soon as a
 
 The set of records of an n-gram need not be kept: a suffix carries, for each of its prefixes, whether it is the prefix's first
 occurrence in its record. The number of records is then a sum like the number of occurrences, and suffixes can be added up before the
-shuffle and in any order. The root of the stack (the empty n-gram) counts words and records of the whole collection.
+shuffle and in any order. Counts of n-grams whose text is gone join them as suffixes that count at their own length only. The root of the stack (the empty n-gram) counts words and records of the whole collection.
 
 A first word that holds much of the collection doesn't end in one task: suffixes are routed by the first word and one of `spread`
 classes of the second, so only its own total, one row per class, is added up afterwards.
@@ -51,8 +51,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, most: int, spread: i
                     pa.array([crc32(k[1].encode()) % spread if len(k) > 1 else 0 for k in part], pa.int32()),
                     pa.array([SEP.join(k) for k in part], pa.string()),
                     *[pa.array([v[i] for v in values], pa.int64()) for i in range(size + 2)],
+                    pa.array([0] * len(part), pa.int64()),
                 ],
-                names=["head", "part", "suffix", "n", *[f"r{k}" for k in range(size + 1)]],
+                names=["head", "part", "suffix", "n", *[f"r{k}" for k in range(size + 1)], "own"],
             )
         held.clear()
 
@@ -81,19 +82,21 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, most: int, spread: i
 
 
 def _stack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes (suffix, n, r0 ... r<size>), sorted downwards, to n-grams (gram, length, n, records). r<k> belongs to the prefix of k words."""
+    """Suffixes (suffix, n, r0 ... r<size>, own), sorted downwards, to n-grams (gram, length, n, records). n counts for all prefixes, r<k> for the
+    prefix of k words, own for the whole suffix alone."""
     open_words: list[str] = []
-    counts = [[0, 0] for _ in range(size + 1)]  # occurrences and records of the open prefix of each length
+    counts = [[0, 0, 0] for _ in range(size + 1)]  # of the open prefix of each length: occurrences, records, occurrences of its own
     rows: list[tuple[str, int, int, int]] = []
 
     def pop(to: int) -> None:
         """Closes the open prefixes longer than `to`."""
         while len(open_words) > to:
             k = len(open_words)
-            n, r = counts[k]
-            rows.append((" ".join(open_words), k, n, r))
+            n, r, own = counts[k]
+            if n or own or r:  # else it is only the begin of a known n-gram
+                rows.append((" ".join(open_words), k, n + own, r))
             counts[k - 1][0] += n
-            counts[k] = [0, 0]
+            counts[k] = [0, 0, 0]
             open_words.pop()
 
     def out() -> pa.RecordBatch:
@@ -102,7 +105,7 @@ def _stack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["gram", "length", "n", "records"])
 
     for batch in batches:
-        suffixes, n, *records = (c.to_pylist() for c in batch.columns)
+        suffixes, n, *records, own = (c.to_pylist() for c in batch.columns)
         for i, suffix in enumerate(suffixes):
             new = suffix.split(SEP) if suffix else []
             shared = 0
@@ -111,6 +114,7 @@ def _stack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             pop(shared)
             open_words.extend(new[shared:])
             counts[len(new)][0] += n[i]
+            counts[len(new)][2] += own[i]
             for k in range(len(new) + 1):
                 counts[k][1] += records[k][i]
         if len(rows) >= 20_000:
@@ -132,7 +136,7 @@ def ngram_counts(texts: DataFrame, text: str, size: int = 2, known: DataFrame |
     suffixes before it passes them on; that doesn't change the result.
     """
     asked = list(range(1, size + 1)) if lengths is None else list(lengths)
-    counts = ["n", *[f"r{k}" for k in range(size + 1)]]
+    counts = ["n", *[f"r{k}" for k in range(size + 1)], "own"]
     schema = f"head string, part int, suffix string, {', '.join(f'{c} bigint' for c in counts)}"
     routed = texts.select(F.col(text).alias("text")).mapInArrow(lambda it: _suffixes(it, size, hold, spread), schema)
     if known is not None:
@@ -141,7 +145,7 @@ def ngram_counts(texts: DataFrame, text: str, size: int = 2, known: DataFrame |
         zero = F.lit(0).cast("bigint")
         records = [F.when(F.size("_w") == k, F.coalesce(F.col("records"), zero)).otherwise(zero).alias(f"r{k}") for k in range(size + 1)]
         part = F.when(F.size("_w") > 1, F.crc32(F.get("_w", F.lit(1))) % spread).otherwise(0).cast("int")
-        routed = routed.unionByName(given.select(F.get("_w", F.lit(0)).alias("head"), part.alias("part"), F.array_join("_w", SEP).alias("suffix"), F.coalesce(F.col("n"), zero).cast("bigint").alias("n"), *records))
+        routed = routed.unionByName(given.select(F.get("_w", F.lit(0)).alias("head"), part.alias("part"), F.array_join("_w", SEP).alias("suffix"), zero.alias("n"), *records, F.coalesce(F.col("n"), zero).cast("bigint").alias("own")))
     ordered = routed.repartition("head", "part").sortWithinPartitions(F.col("suffix").desc())
     counted = ordered.select("suffix", *counts).mapInArrow(lambda it: _stack(it, size), "gram string, length int, n bigint, records bigint")
     long, short = [k for k in asked if k > 1], [k for k in asked if k < 2]
