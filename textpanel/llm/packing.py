@@ -1,12 +1,13 @@
 """Windows of fixed capacity, filled with documents that resemble each other.
 
-Documents are dealt to partitions evenly by a hash of their id, so no source or group of copies can overload one, and sorted within
-a partition by a min-hash of their words, so that like documents come together. A partition is read in shards of at most
-`shard_tokens`; each shard gets a BM25 inverted index over its documents' words. Then windows are filled one by one: the longest
-unused document is the seed and the query; its best-scoring unused neighbours that still fit join it; what is left of the window goes
-to the longest unused documents that fit. Windows that stay too empty are dissolved into the next shard of the partition.
-
-Only a document that is longer than a window is split: into full windows and a last piece, which is packed like a document.
+Documents are dealt to shards of about `shard_docs` documents by a hash of their id, so no source or group of copies can overload one, and
+a shard's content doesn't depend on the number of partitions or tasks. Each shard gets a BM25 inverted index over its documents' words.
+Then windows are filled one by one: the longest unused document is the seed, all its words are the query; its unused neighbours that still
+fit join it, best score first, until what is left of the window is less than `tail` of it; the tail goes to the longest unused documents
+that fit, so that little room is lost. A task holds one shard: at most `shard_docs` times the window's words.
+
+Only a document that is longer than a window is split: into full windows and a last piece, which is packed like a document, by its own
+words.
 """
 
 from __future__ import annotations
@@ -19,32 +20,32 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer
 
 WORD = re.compile(r"\w+")
-#: BM25, and how many of a seed's rarest words make its query.
-K1, B, QUERY_WORDS = 1.2, 0.75, 64
-#: Neighbours looked at for a seed.
-NEIGHBOURS = 48
-#: A window emptier than this is dissolved while there is another shard to fill it from.
-ENOUGH = 0.98
+#: BM25.
+K1, B = 1.2, 0.75
+#: How a document came into its window.
+SPLIT, SEED, NEIGHBOUR, FIT = "split", "seed", "neighbour", "fit"
 
 
-def _measured(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, n_tokens, min-hash, word hashes, their counts)."""
+def _measured(batches: Iterator[pa.RecordBatch], vocabulary, capacity: int) -> Iterator[pa.RecordBatch]:
+    """(id, shard, text) to (id, shard, n_tokens, word hashes, their counts): words of the text, or of the last piece of a longer one."""
     a = tokenizer.automaton(vocabulary.value)
     hashes: dict[str, int] = {}
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            n, key, terms, times = [], [], [], []
-            for text in part.column(1).to_pylist():
+            n, terms, times = [], [], []
+            for text in part.column(2).to_pylist():
                 text = text or ""
-                n.append(len(a.encode(text)))
+                ids = a.encode(text)
+                n.append(len(ids))
+                if len(ids) > capacity:
+                    text = a.decode(ids[len(ids) - len(ids) % capacity :])
                 if len(hashes) > 500_000:
                     hashes.clear()
                 found: Counter[int] = Counter()
@@ -53,10 +54,9 @@ def _measured(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Reco
                     if h is None:
                         h = hashes[w] = crc32(w.encode("utf-8", "replace")) - (1 << 31)
                     found[h] += k
-                key.append(min(found, default=0))
                 terms.append(list(found))
-                times.append([min(k, 32767) for k in found.values()])
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int16()))], names=["id", "n_tokens", "key", "terms", "times"])
+                times.append(list(found.values()))
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["id", "shard", "n_tokens", "terms", "times"])
 
 
 class Shard:
@@ -83,41 +83,35 @@ class Shard:
         self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
 
     def scores(self, item: int) -> np.ndarray:
-        """BM25 of every item for the query made of the item's rarest words."""
+        """BM25 of every item for the query made of the item's words."""
         at = np.searchsorted(self.terms, self.items[item][5])
-        if len(at) > QUERY_WORDS:
-            at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_WORDS]]
         if not len(at):
             return np.zeros(len(self.items))
         spans = [slice(self.first[k], self.first[k + 1]) for k in at]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=len(self.items))
 
-    def windows(self) -> Iterator[list[int]]:
-        """Windows of items, each item once."""
+    def windows(self, tail: float) -> Iterator[list[tuple[int, str]]]:
+        """Windows of (item, how it came there), each item once."""
         free = np.ones(len(self.items), dtype=bool)
         by_size = sorted((int(s), -i) for i, s in enumerate(self.size))  # unused items; of equal sizes the first comes last
         while by_size:
             size, i = by_size.pop()
-            seed = -i
-            free[seed] = False
-            window, room = [seed], self.capacity - size
-            if by_size and by_size[0][0] <= room:
-                score = self.scores(seed)
-                score[~free | (self.size > room)] = 0
-                k = min(NEIGHBOURS, len(score) - 1)
-                near = np.argpartition(-score, k)[:k] if k > 0 else np.empty(0, int)
-                for x in near[np.argsort(-score[near], kind="stable")]:
-                    if score[x] <= 0 or not by_size or by_size[0][0] > room:
-                        break
-                    s = int(self.size[x])
-                    if s <= room:
-                        self._take(by_size, free, int(x))
-                        window.append(int(x))
-                        room -= s
+            free[-i] = False
+            window, room = [(-i, SEED)], self.capacity - size
+            if by_size and by_size[0][0] <= room and room > tail * self.capacity:
+                score = self.scores(-i)
+                near = np.flatnonzero(free & (self.size <= room) & (score > 0))
+                near = near[np.argsort(-score[near], kind="stable")]
+                while len(near) and room > tail * self.capacity:
+                    x = int(near[0])
+                    self._take(by_size, free, x)
+                    window.append((x, NEIGHBOUR))
+                    room -= int(self.size[x])
+                    near = near[1:][self.size[near[1:]] <= room]
             while by_size and by_size[0][0] <= room:
                 s, i = by_size[bisect_right(by_size, (room, 1)) - 1]
                 self._take(by_size, free, -i)
-                window.append(-i)
+                window.append((-i, FIT))
                 room -= s
             yield window
 
@@ -126,73 +120,70 @@ class Shard:
         free[x] = False
 
 
-def _packed(batches: Iterator[pa.RecordBatch], capacity: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 36
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tail: float) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shards, as _measured gives them, to windows."""
     kind = pa.int64()
     waiting: list[tuple] = []
-    held = 0
     rows: list[tuple] = []
+    current, number = None, 0
 
     def out() -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
         rows.clear()
-        types = (pa.int64(), kind, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["window_id", "id", "piece", "pieces", "from_token", "n_tokens", "window_tokens"])
+        types = (pa.int64(), kind, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["window_id", "id", "piece", "pieces", "from_token", "n_tokens", "window_tokens", "how"])
 
-    def put(window: list[tuple]) -> None:
+    def put(window: list[tuple[tuple, str]]) -> None:
         nonlocal number
-        total = sum(x[4] for x in window)
-        rows.extend((number, x[0], x[1], x[2], x[3], x[4], total) for x in window)
+        total = sum(x[4] for x, _ in window)
+        rows.extend(((current << 32) + number, x[0], x[1], x[2], x[3], x[4], total, how) for x, how in window)
         number += 1
 
-    def pack(last: bool) -> None:
-        nonlocal waiting, held
+    def pack() -> Iterator[pa.RecordBatch]:
         shard = Shard(waiting, capacity)
-        rest: list[tuple] = []
-        for window in shard.windows():
-            chosen = [shard.items[i] for i in window]
-            if not last and sum(x[4] for x in chosen) < ENOUGH * capacity:
-                rest += chosen
-            else:
-                put(chosen)
-        waiting, held = rest, 0
+        for window in shard.windows(tail):
+            put([(shard.items[i], how) for i, how in window])
+            if len(rows) >= 10_000:
+                yield out()
+        waiting.clear()
 
     for batch in batches:
         kind = batch.schema.field(0).type
-        ids, n_tokens = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, shards, n_tokens = (batch.column(i).to_pylist() for i in range(3))
         for k, n in enumerate(n_tokens):
+            if shards[k] != current:
+                yield from pack()
+                current, number = shards[k], 0
             if n == 0:
-                rows.append((None, ids[k], 0, 1, 0, 0, None))
+                rows.append((None, ids[k], 0, 1, 0, 0, None, None))
                 continue
             pieces = -(-n // capacity)
             for piece in range(n // capacity):
-                put([(ids[k], piece, pieces, piece * capacity, capacity)])
+                put([((ids[k], piece, pieces, piece * capacity, capacity), SPLIT if pieces > 1 else SEED)])
             if n % capacity:
                 terms = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
                 times = batch.column(4)[k].values.to_numpy(zero_copy_only=False)
                 waiting.append((ids[k], pieces - 1, pieces, n - n % capacity, n % capacity, terms.copy(), times.copy()))
-                held += n % capacity
-            if held >= shard_tokens:
-                pack(False)
-        if len(rows) >= 10_000:
-            yield out()
-    pack(True)
-    while rows:
+            if len(rows) >= 10_000:
+                yield out()
+    yield from pack()
+    if rows:
         yield out()
 
 
-def pack_windows(docs: DataFrame, id: str, text: str, capacity: int = 2048, vocabulary: str = tokenizer.VOCABULARY, shard_tokens: int = 1_500_000) -> DataFrame:
-    """(window_id, <id>, piece, pieces, from_token, n_tokens, window_tokens): where every token of every document lies.
+def pack_windows(docs: DataFrame, id: str, text: str, capacity: int = 2048, vocabulary: str = tokenizer.VOCABULARY, shard_docs: int = 4_000, tail: float = 0.1) -> DataFrame:
+    """(window_id, <id>, piece, pieces, from_token, n_tokens, window_tokens, how): where every token of every document lies. how: split (a full
+    piece), seed, neighbour (found by the index) or fit (filled the rest).
 
-    A document with no tokens (null or empty text) has one row with null window_id and window_tokens and takes no room. ids should
-    be unique; repeated rows are packed as often as they occur. window_id is unique within one result, not the same from run to run
-    on another number of partitions. A shard's index takes some 100 MB at the default size.
+    A document with no tokens (null or empty text) has one row with null window_id, window_tokens and how, and takes no room. ids should be
+    unique; repeated rows are packed as often as they occur. The windows are the same however the rows are partitioned, as long as ids
+    are unique. The number of documents, from the files' footers, gives the number of shards.
     """
     shared = tokenizer.shared_vocabulary(docs, vocabulary)
-    source = docs.select(F.col(id).alias("id"), F.col(text).cast("string"))
+    shards = max(1, -(-docs.count() // shard_docs))
+    source = docs.select(F.col(id).alias("id"), F.pmod(F.xxhash64(F.col(id)), F.lit(shards)).cast("int").alias("shard"), F.col(text).cast("string"))
     kind = source.schema[0].dataType.simpleString()
-    measured = source.mapInArrow(lambda it: _measured(it, shared), f"id {kind}, n_tokens bigint, key int, terms array<int>, times array<smallint>")
-    dealt = measured.repartition(F.xxhash64("id")).sortWithinPartitions("key", "id")
-    packed = dealt.mapInArrow(lambda it: _packed(it, capacity, shard_tokens), f"window_id bigint, id {kind}, piece int, pieces int, from_token bigint, n_tokens int, window_tokens int")
+    measured = source.mapInArrow(lambda it: _measured(it, shared, capacity), f"id {kind}, shard int, n_tokens bigint, terms array<int>, times array<int>")
+    dealt = measured.repartition("shard").sortWithinPartitions("shard", "id", "n_tokens")
+    packed = dealt.mapInArrow(lambda it: _packed(it, capacity, tail), f"window_id bigint, id {kind}, piece int, pieces int, from_token bigint, n_tokens int, window_tokens int, how string")
     return packed.withColumnRenamed("id", id)
