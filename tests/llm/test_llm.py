@@ -44,6 +44,8 @@ def test_ngrams_with_known_counts_and_empty(spark):
     known = spark.createDataFrame([("aa bb", 5, 3), ("zz yy", 1, 1), (None, 4, 4), ("aa bb cc", 9, 9)], "gram string, n long, records long")
     got = {r.gram: (r.n, r.records) for r in terms.ngram_counts(df, "text", 2, known=known, lengths=[2]).collect()}
     assert got == {"aa bb": (7, 4), "bb aa": (1, 1), "zz yy": (1, 1)}
+    got = {(r.gram, r.length): (r.n, r.records) for r in terms.ngram_counts(df, "text", 2, known=known, lengths=[0, 1]).collect()}
+    assert got == {("aa", 1): (2, 1), ("bb", 1): (2, 1), ("", 0): (4, 1)}
     assert terms.ngram_counts(spark.createDataFrame([], "text string"), "text", 2).count() == 0
 
 
@@ -65,8 +67,9 @@ def test_percentiles_within_bound_after_merging(spark):
     for p, v in ((0.1, r.p10), (0.5, r.p50), (0.99, r.p99)):
         assert abs((x <= v).mean() - p) < 0.01
     assert out[None].p50 == 1.0 and out["empty"].p50 is None and out["empty"].n == 0
-    with pytest.raises(ValueError):
-        percentiles.sketch_size(0)
+    for wrong in (0, 1, 1e-5):
+        with pytest.raises(ValueError):
+            percentiles.sketch_size(wrong)
 
 
 # label model and linkage
@@ -193,7 +196,7 @@ def test_windows(spark):
     vocab = [f"word{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choice(vocab[(i % 3) * 100 : (i % 3) * 100 + 100]) for _ in range(rng.randrange(1, 60)))) for i in range(400)] + [(1000, "big " * 700), (1001, ""), (1002, None), (1003, "copy me"), (1004, "copy me")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    w = packing.pack_windows(df, "doc_id", "text", 256, shard_tokens=4000).collect()
+    w = packing.pack_windows(df, "doc_id", "text", 256, shard_docs=200).collect()
     size = {r.doc_id: len(r.ids) for r in tokenizer.encode_column(df, ["doc_id"], "text").collect()}
     per, docs = defaultdict(int), defaultdict(list)
     for r in w:
@@ -211,6 +214,34 @@ def test_windows(spark):
     used = sum(per.values()) / (256 * len(per))
     assert used > 0.93
     assert packing.pack_windows(df.limit(0), "doc_id", "text", 256).count() == 0
+    again = packing.pack_windows(df.repartition(7), "doc_id", "text", 256, shard_docs=200).collect()
+    assert sorted(map(str, again)) == sorted(map(str, w))  # the same windows, however the rows lie
+    big = [r for r in w if r.doc_id == 1000]
+    assert {r.how for r in big[:-1]} | {r.how for r in big} >= {"split"}
+
+
+def test_packing_holds_one_shard_at_a_time():
+    import pyarrow as pa
+
+    def batches():  # ten shards of documents above half a window: none of them fits beside another
+        for shard in range(10):
+            n = 50
+            yield pa.record_batch([pa.array(range(shard * n, shard * n + n), pa.int64()), pa.array([shard] * n, pa.int32()), pa.array([1100] * n, pa.int64()), pa.array([[1, 2]] * n, pa.list_(pa.int32())), pa.array([[1, 1]] * n, pa.list_(pa.int32()))], names=["id", "shard", "n_tokens", "terms", "times"])
+
+    held = []
+    made = packing.Shard
+
+    class Watched(made):
+        def __init__(self, items, capacity):
+            held.append(len(items))
+            super().__init__(items, capacity)
+
+    packing.Shard = Watched
+    try:
+        rows = sum(b.num_rows for b in packing._packed(batches(), 2048, 0.1))
+    finally:
+        packing.Shard = made
+    assert rows == 500 and max(held) == 50
 
 
 def test_bm25_prefers_the_like_document():
@@ -221,7 +252,7 @@ def test_bm25_prefers_the_like_document():
     s = packing.Shard([item(0, "a b c".split()), item(1, "x y z".split()), item(2, "a b q".split()), item(3, "x r s".split())], 20)
     sc = s.scores(0)
     assert sc[2] > sc[1] and sc[2] > sc[3]
-    assert sorted(i for w in s.windows() for i in w) == [0, 1, 2, 3]
+    assert sorted(i for w in s.windows(0.1) for i, _ in w) == [0, 1, 2, 3]
 
 
 # reading level

@@ -18,16 +18,21 @@ from textpanel.functions.numeric import finite
 
 #: The published fit of the rank error of a KLL sketch with parameter k, for one-sided queries at 99 %: 2.296 / k**0.9021.
 ERROR_SCALE, ERROR_POWER, K_LEAST, K_MOST = 2.296, 0.9021, 8, 65535
+#: By default two in a thousand rows.
+RANK_ERROR = 0.002
 
 
 def sketch_size(rank_error: float) -> int:
-    """The compactor parameter k with which the rank error stays within the bound."""
+    """The compactor parameter k with which the rank error stays within the bound; an error if the sketch can't promise it."""
     if not 0 < rank_error < 1:
         raise ValueError("rank_error is a share of the rows, between 0 and 1")
-    return min(K_MOST, max(K_LEAST, math.ceil((ERROR_SCALE / rank_error) ** (1 / ERROR_POWER))))
+    k = math.ceil((ERROR_SCALE / rank_error) ** (1 / ERROR_POWER))
+    if k > K_MOST:
+        raise ValueError(f"rank_error {rank_error} is too small for a sketch; the least is about {ERROR_SCALE / K_MOST**ERROR_POWER:.3g}")
+    return max(K_LEAST, k)
 
 
-def sketches(df: DataFrame, groups: Sequence[str], value: Column | str, rank_error: float = 0.002) -> DataFrame:
+def sketches(df: DataFrame, groups: Sequence[str], value: Column | str, rank_error: float = RANK_ERROR) -> DataFrame:
     """One row per group: the group columns, `n` (values counted), `least`, `most` (exact) and `sketch` (binary, may be stored).
 
     Null, NaN and infinite values are not counted; a group that has no other values has n = 0 and a null sketch. A null group is a

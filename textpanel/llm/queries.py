@@ -68,14 +68,14 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rank_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each month and percentile whether the value's true ranks come within one percent of the percentile; sketches of separate
+    """For each month and percentile whether the value's true ranks come within the promised error of the percentile; sketches of separate
     deliveries (here: by last digit of permno) are merged first."""
     records = return_records(table(spark, sf_dir, "crsp_returns_monthly", "permno", "Month", "RetM"), value=True)
     parts = P.sketches(records.withColumn("delivery", F.col("permno") % 10), ["month_id", "delivery"], "RetM")
     read = P.percentiles(P.merge_sketches(parts, ["month_id"]), ["month_id"], QUARTILES)
     long = read.select("month_id", "n", F.explode(F.create_map(*[x for name, p in QUARTILES.items() for x in (F.lit(p), F.col(name))])).alias("prob", "value"))
     near = records.join(F.broadcast(long), "month_id").groupBy("month_id", "prob", "n").agg(F.count_if(F.col("RetM") < F.col("value")).alias("below"), F.count_if(F.col("RetM") <= F.col("value")).alias("upto"))
-    return near.select("month_id", "prob", ((F.col("below") <= (F.col("prob") + 0.01) * F.col("n") + 1) & (F.col("upto") >= (F.col("prob") - 0.01) * F.col("n") - 1)).alias("within"))
+    return near.select("month_id", "prob", ((F.col("below") <= (F.col("prob") + P.RANK_ERROR) * F.col("n") + 1) & (F.col("upto") >= (F.col("prob") - P.RANK_ERROR) * F.col("n") - 1)).alias("within"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,12 @@ def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the windows are: number, tokens, share of the room that is used, least and median fill."""
-    w = p7_windows(spark, sf_dir).filter("window_id IS NOT NULL").groupBy("window_id").agg(F.sum("n_tokens").alias("t"))
-    return w.agg(F.count("*").alias("windows"), F.sum("t").alias("tokens"), (F.sum("t") / (F.count("*") * WINDOW)).alias("used"), F.min("t").alias("least"), F.median("t").alias("median"))
+    """How full the windows are: number, tokens, share of the room that is used, least and median fill, share of the tokens that aren't a seed's
+    or a split document's which the index placed."""
+    tokens = lambda how: F.coalesce(F.sum(F.when(F.col("how") == how, F.col("n_tokens"))), F.lit(0)).alias(how)
+    w = p7_windows(spark, sf_dir).filter("window_id IS NOT NULL").groupBy("window_id").agg(F.sum("n_tokens").alias("t"), tokens(packing.NEIGHBOUR), tokens(packing.FIT))
+    near, fit = F.sum(packing.NEIGHBOUR), F.sum(packing.FIT)
+    return w.agg(F.count("*").alias("windows"), F.sum("t").alias("tokens"), (F.sum("t") / (F.count("*") * WINDOW)).alias("used"), F.min("t").alias("least"), F.median("t").alias("median"), F.try_divide(near, near + fit).alias("retrieved"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
