@@ -21,10 +21,15 @@ def cover(lo, hi, top, rows):
     return out == set(range(lo, hi))
 
 
-@pytest.mark.parametrize("top", [0, 1, 3, 6])
-def test_nodes_cover_exactly(spark, top):
+def test_long_intervals_make_few_nodes(spark):
+    got = spark.createDataFrame([(1, 3601)], "a long, b long").select(interval_nodes(F.col("a"), F.col("b"), 12, 2).alias("n")).first().n
+    assert len(got) <= 2 * 3 * 7 and cover(1, 3601, 12, got)
+
+
+@pytest.mark.parametrize("top,step", [(0, 1), (1, 1), (3, 1), (6, 1), (0, 2), (4, 2), (6, 2), (6, 3)])
+def test_nodes_cover_exactly(spark, top, step):
     pairs = [(a, b) for a in range(-9, 20, 3) for b in range(-9, 41, 4)]
-    df = spark.createDataFrame(pairs, "a long, b long").withColumn("n", interval_nodes(F.col("a"), F.col("b"), top))
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("n", interval_nodes(F.col("a"), F.col("b"), top, step))
     for r in df.collect():
         assert cover(r.a, r.b, top, r.n), (r.a, r.b, r.n)
 

@@ -1,8 +1,8 @@
 """Attributes as known at event time, by dyadic decomposition of validity intervals.
 
 Time is a whole number (a tick: a day, a month). A version is valid in a half-open interval [from, to) of ticks. The interval is
-cut into the nodes of a binary tree over time (aligned blocks of 2**level ticks, at most two of a level below the top one); an event
-asks for the nodes that enclose its tick, one of each level. Both sides carry the node as one number, so the match is a plain
+cut into nodes of a binary tree over time (aligned blocks of 2**level ticks); an event asks for the nodes that enclose its tick, one of each
+level. Only every `step`-th level is used: an event makes fewer rows, an interval at most 2 * (2**step - 1) of a level. Both sides carry the node as one number, so the match is a plain
 equi-join on (keys, node): no range predicate, no nested loop, no sort of an entity's whole history in one task.
 """
 
@@ -21,25 +21,29 @@ def _node(level: int, index: Column) -> Column:
     return index.cast("long") + F.lit(level * SPAN)
 
 
-def interval_nodes(lo: Column, hi: Column, top: int) -> Column:
-    """The array of nodes that exactly cover [lo, hi); null if it is empty. Below `top` at most two of a level, at `top` the rest."""
+def interval_nodes(lo: Column, hi: Column, top: int, step: int = 1) -> Column:
+    """The array of nodes of levels 0, step, ... up to top that exactly cover [lo, hi), empty if it is empty. The last level takes what is
+    left."""
     parts = []
-    for level in range(top + 1):
+    ups = 1 << step
+    none = F.array().cast("array<bigint>")
+    for level in (levels := range(0, top + 1, step)):
         size = 1 << level
         a = F.floor((lo.cast("long") + (size - 1)) / size)
         b = F.floor(hi.cast("long") / size)
-        if level == top:
-            parts.append(F.when(a < b, F.transform(F.sequence(a, b - 1), lambda i: _node(top, i))).otherwise(F.array().cast("array<bigint>")))
+        run = lambda x, y, level=level: F.when(x < y, F.transform(F.sequence(x, F.greatest(x, y - 1)), lambda i: _node(level, i))).otherwise(none)
+        if level == levels[-1]:
+            parts.append(run(a, b))
         else:
-            left = F.when((a < b) & (a % 2 != 0), _node(level, a))
-            right = F.when((b % 2 != 0) & (b - 1 >= a + F.abs(a % 2)), _node(level, b - 1))
-            parts.append(F.array(left, right))
-    return F.filter(F.concat(*parts), lambda x: x.isNotNull())
+            # What the next level's blocks leave over on either side; all if no such block lies inside.
+            up, down = F.ceil(a / ups) * ups, F.floor(b / ups) * ups
+            parts += [run(a, F.least(F.greatest(up, a), b)), F.when(up <= down, run(down, b)).otherwise(none)]
+    return F.concat(*parts)
 
 
-def enclosing_nodes(tick: Column, top: int) -> Column:
-    """The array of the nodes of levels 0 to `top` that hold the tick."""
-    return F.array(*[_node(level, F.floor(tick.cast("long") / (1 << level))) for level in range(top + 1)])
+def enclosing_nodes(tick: Column, top: int, step: int = 1) -> Column:
+    """The array of the nodes that hold the tick, one of each of the levels 0, step, ... up to top."""
+    return F.array(*[_node(level, F.floor(tick.cast("long") / (1 << level))) for level in range(0, top + 1, step)])
 
 
 def supersede(versions: DataFrame, keys: Sequence[str], start: str, precedence: Sequence[str]) -> DataFrame:
@@ -61,7 +65,7 @@ def supersede(versions: DataFrame, keys: Sequence[str], start: str, precedence:
 
 def asof_versions(
     events: DataFrame, versions: DataFrame, keys: Sequence[str], tick: str, attributes: Sequence[str], start: str = "valid_from", end: str = "valid_to",
-    precedence: Sequence[str] = (), event_id: Sequence[str] | None = None, top: int = 3, horizon: int | None = None, how: str = "inner",
+    precedence: Sequence[str] = (), event_id: Sequence[str] | None = None, top: int | None = None, step: int = 2, span: tuple[int, int] | None = None, how: str = "inner",
 ) -> DataFrame:
     """Each event with `attributes` of the version with the same `keys` whose [start, end) holds the event's tick.
 
@@ -72,9 +76,9 @@ def asof_versions(
     intervals must be disjoint, and repeated events stay repeated. Columns of both sides with the same name don't clash: only
     `attributes` are taken from versions, and one that events has too is an error.
 
-    `top` is the highest level: an event makes top + 1 rows, an interval of length n about 2 * top + n / 2**top. Near the binary
-    logarithm of the usual interval is best. Intervals without an end are cut at `horizon`, by default the last tick of the events
-    (one aggregate over that column), so they make no nodes that no event can ask for; the same holds for their begin.
+    `span` is the first and last tick of the events, by default computed (one aggregate over that column). Intervals are cut at it, so they
+    make no nodes that no event can ask for. `top` is the highest level, by default the binary logarithm of the span's length, so the
+    number of rows that an interval makes grows with the logarithm of its length; of the levels every `step`-th is used.
     """
     clash = set(attributes) & set(events.columns)
     if clash:
@@ -82,22 +86,20 @@ def asof_versions(
     if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
     ids = list(event_id or events.columns)
-    first = None
-    if horizon is None:
-        first, horizon = events.agg(F.min(tick), F.max(tick)).first()
-    if horizon is None:  # no event has a tick
-        first = horizon = 0
-    lo = F.coalesce(F.col(start), F.lit(-SPAN if first is None else first)).cast("long")
-    if first is not None:
-        lo = F.greatest(lo, F.lit(first).cast("long"))
-    hi = F.least(F.coalesce(F.col(end), F.lit(horizon + 1)).cast("long"), F.lit(horizon + 1).cast("long"))
+    first, last = span or events.agg(F.min(tick), F.max(tick)).first()
+    if last is None:  # no event has a tick
+        first = last = 0
+    if top is None:
+        top = (last - first + 1).bit_length()
+    lo = F.greatest(F.coalesce(F.col(start), F.lit(first)).cast("long"), F.lit(first).cast("long"))
+    hi = F.least(F.coalesce(F.col(end), F.lit(last + 1)).cast("long"), F.lit(last + 1).cast("long"))
     has_keys = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     right = (
         versions.filter(has_keys).withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo < _hi")
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_p{i}") for i, c in enumerate(precedence)], *[F.col(c).alias(f"_a{i}") for i, c in enumerate(attributes)], "_lo", "_hi")
-        .withColumn("_n", F.explode(interval_nodes(F.col("_lo"), F.col("_hi"), top)))
+        .withColumn("_n", F.explode(interval_nodes(F.col("_lo"), F.col("_hi"), top, step)))
     )
-    left = events.filter(has_keys & F.col(tick).isNotNull()).withColumn("_node", F.explode(enclosing_nodes(F.col(tick), top)))
+    left = events.filter(has_keys & F.col(tick).isNotNull()).withColumn("_node", F.explode(enclosing_nodes(F.col(tick), top, step)))
     on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_node") == F.col("_n")]
     met = left.join(right, on, "inner").filter((F.col("_lo") <= F.col(tick)) & (F.col(tick) < F.col("_hi")))
     if precedence:

@@ -29,6 +29,6 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = table(spark, sf_dir, "crsp_returns_monthly", "permno", "Month", "RetM")
     events = returns.filter(F.col("permno").isNotNull() & F.col("Month").isNotNull() & is_finite("RetM")).select("permno", month_tick("Month").alias("tick")).distinct()
     versions = supersede(firm_quarter_versions(table(spark, sf_dir, "exposure_firmquarter_crsp", "permno", "year", "quarter", "form_q", "known_ts", "fq_id")), ["permno"], "known_from", ["form", "known_ts", "fq_id"])
-    last = returns.agg(F.max(month_tick("Month"))).first()[0]
-    met = asof_versions(events, versions, ["permno"], "tick", ["fq_id"], top=2, horizon=last if last is not None else 0)
+    first, last = returns.agg(F.min(month_tick("Month")), F.max(month_tick("Month"))).first()
+    met = asof_versions(events, versions, ["permno"], "tick", ["fq_id"], span=(first, last) if last is not None else (0, 0))
     return met.select("permno", tick_month_id("tick").alias("month_id"), "fq_id")
