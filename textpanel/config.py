@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Seed bigrams of the geoeconomic domain.
 SEEDS = (
@@ -68,9 +68,5 @@ class Config:
     min_docfreq: int = 5
     dictionary_top: int = 9_600
     folds: int = 5
+    search: bool = True  # grids by folds and a SVM; else pinned parameters and a logistic regression
     seed: int = 42
-    ties: str = "first"  # first, random, average
-    winsor: tuple[float, float] = (0.005, 0.995)
-    hac_lags: int = 4
-    bins: int = 5
-    extra: dict = field(default_factory=dict)

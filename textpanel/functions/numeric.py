@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +38,18 @@ def clamp(x: Column | str, lo: Column | str, hi: Column | str) -> Column:
 def rank_bin(rank: Column, n: Column, bins: int) -> Column:
     """ceil(rank * bins / n) in whole numbers, so that no rounding error can move a row to the next bin."""
     return F.floor((rank * bins + n - 1) / n).cast("int")
+
+
+def erfc(z: np.ndarray) -> np.ndarray:
+    """Complementary error function of values of 0 or more: its series below 2.5, its continued fraction above; NaN stays NaN."""
+    z = np.asarray(z, dtype=float)
+    low = np.minimum(z, 2.5)
+    term, total = low.copy(), low.copy()
+    for n in range(1, 60):
+        term = -term * low * low / n
+        total = total + term / (2 * n + 1)
+    high = np.maximum(z, 2.5)
+    k = high.copy()
+    for n in range(60, 0, -1):
+        k = high + n / 2 / k
+    return np.where(z < 2.5, 1 - 2 / np.sqrt(np.pi) * total, np.exp(-high * high) / np.sqrt(np.pi) / k)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,10 +76,3 @@ def volatility_ratio(anchored: DataFrame, indexed: DataFrame, key: str, event_id
     s = w.groupBy(event_id).agg(F.stddev_samp(cell(event)).alias("sd_event"), F.stddev_samp(cell(before)).alias("sd_before"), F.count(cell(event)).alias("_e"), F.count(cell(before)).alias("_b"))
     ok = s.filter((F.col("_e") >= least) & (F.col("_b") >= least)).withColumn("ratio", safe_div("sd_event", "sd_before"))
     return ok.filter(F.col("ratio") < most).select(event_id, "sd_event", "sd_before", "ratio")
-
-
-def normal_p(t: pd.Series) -> pd.Series:
-    """Two-sided p of a standard normal."""
-    from math import erfc, sqrt
-
-    return t.map(lambda x: erfc(abs(x) / sqrt(2)) if x is not None and not np.isnan(x) else None)

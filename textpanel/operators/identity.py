@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SIC_DIVISIONS
@@ -66,10 +66,21 @@ def first_known(column: str, order: str) -> Column:
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(order)))
 
 
-def region(region_col: Column | str, country: Column | str) -> Column:
-    """Five return regions: North America, Europe, Japan, Asia Pacific without Japan, Emerging; null for others."""
+#: Return regions by the codes of the exchange map; what is listed under (code, country) goes before the code alone.
+REGIONS = {"NorthAmerica": "NorthAmerica", "Europe": "Europe", "EM": "Emerging", "AsiaPacific_DM": "AsiaPacExJapan", ("AsiaPacific_DM", "Japan"): "Japan"}
+
+
+def region(region_col: Column | str, country: Column | str, regions: Mapping[str | tuple[str, str], str] = REGIONS) -> Column:
+    """The return region of an exchange's region code and country by the map `regions`; null for codes that it doesn't have."""
     r, c = as_col(region_col), as_col(country)
-    return F.when(r == "North America", "NorthAmerica").when(r == "Europe", "Europe").when(r.isin("Asia", "Oceania") & (c == "Japan"), "Japan").when(r.isin("Asia", "Oceania") & ~c.isin("China"), "AsiaPacExJapan").when(r.isNotNull(), "Emerging")
+    out = F.lit(None).cast("string")
+    for code, name in regions.items():
+        if isinstance(code, str):
+            out = F.when(r == code, name).otherwise(out)
+    for code, name in regions.items():
+        if not isinstance(code, str):
+            out = F.when((r == code[0]) & (c == code[1]), name).otherwise(out)
+    return out
 
 
 def sic_division(sic: Column | str) -> Column:
@@ -84,7 +95,3 @@ def sic_division(sic: Column | str) -> Column:
 def sic_level(sic: Column | str, digits: int) -> Column:
     """The first `digits` of a four-digit code, as a number."""
     return F.floor(as_col(sic) / 10 ** (4 - digits)).cast("int")
-
-
-def last_row(partition: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) == 1

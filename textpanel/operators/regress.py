@@ -54,27 +54,27 @@ def grouped_ols(df: DataFrame, groups: Sequence[str], y: str, xs: Sequence[str],
         low = np.stack(s.to_numpy()) if rows else np.zeros((0, k * (k + 1) // 2))
         full[:, i, j] = full[:, j, i] = low
         mean = np.stack(m.to_numpy()) if rows else np.zeros((0, k))
-        coef, sd = [], []
-        for r in range(rows):
-            a, b = full[r, 1:, 1:], full[r, 1:, 0]
-            if np.linalg.matrix_rank(a) < k - 1:
-                coef.append(None)
-                sd.append(None)
-                continue
-            beta = np.linalg.solve(a, b)
-            coef.append([float(mean[r, 0] - beta @ mean[r, 1:]), *map(float, beta)])
-            sd.append(float(np.sqrt(max(full[r, 0, 0] - beta @ b, 0) / (n.iloc[r] - 1))))
+        a, b = full[:, 1:, 1:], full[:, 1:, 0]
+        fine = np.linalg.matrix_rank(a) == k - 1 if rows else np.zeros(0, dtype=bool)
+        beta = np.full((rows, k - 1), np.nan)
+        if fine.any():
+            beta[fine] = np.linalg.solve(a[fine], b[fine][:, :, None])[:, :, 0]
+        alpha = mean[:, 0] - (beta * mean[:, 1:]).sum(axis=1)
+        rest = np.sqrt(np.maximum(full[:, 0, 0] - (beta * b).sum(axis=1), 0) / np.maximum(n.to_numpy(float) - 1, 1))
+        coef = [list(map(float, (x, *y))) if ok else None for ok, x, y in zip(fine, alpha, beta, strict=True)]
+        sd = [float(x) if ok else None for ok, x in zip(fine, rest, strict=True)]
         return pd.DataFrame({"coef": coef, "resid_sd": sd})
 
     return packed.select(*groups, "n", solve("n", "m", "s").alias("_r")).select(*groups, "n", "_r.coef", "_r.resid_sd")
 
 
 def fama_macbeth(df: DataFrame, period: str, y: str, xs: Sequence[str], lags: int = 4, least: int = 30) -> DataFrame:
-    """(regressor, n, mean, t): xs standardised within periods, one regression per period with at least `least` complete rows, the mean of
-    each coefficient over periods and its HAC t."""
-    d = complete(df.select(period, y, *xs), [y, *xs])
+    """(regressor, n, mean, t): each x standardised within periods over its own finite rows, then one regression per period with at least
+    `least` complete rows, the mean of each coefficient over periods and its HAC t."""
+    d = df.select(period, y, *xs)
     for x in xs:
         d = zscore(d, [period], x, f"{x}_z")
+    d = complete(d, [y, *[f"{x}_z" for x in xs]])
     if len(xs) == 1:
         per = slopes(d, [period], y, f"{xs[0]}_z", least).filter("slope IS NOT NULL").select(period, F.lit(xs[0]).alias("regressor"), F.col("slope").alias("b"))
     else:
@@ -84,6 +84,32 @@ def fama_macbeth(df: DataFrame, period: str, y: str, xs: Sequence[str], lags: in
     return mean_newey_west(per, ["regressor"], period, "b", lags)
 
 
+def time_fe(df: DataFrame, firm: str, period: str, y: str, xs: Sequence[str]) -> DataFrame:
+    """(regressor, b, t, n): fixed effects of the period only, errors clustered by firm.
+
+    One demeaning and one aggregate for the normal equations, one for the firms' scores. Small-sample factor G / (G - 1) * (n - 1) / (n - k),
+    k the regressors and the periods, as none of the periods is nested in firms. No rows: no result.
+    """
+    cols, k = [y, *xs], len(xs)
+    d = complete(df, cols).filter(F.col(firm).isNotNull() & F.col(period).isNotNull()).select(F.col(firm).alias("_f"), F.col(period).alias("_p"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    m = with_period_stats(d, ["_p"], {f"_m{i}": F.avg(f"_{i}") for i in range(k + 1)})
+    x = m.select("_f", "_p", *[(F.col(f"_{i}") - F.col(f"_m{i}")).alias(f"_{i}") for i in range(k + 1)])
+    out = "regressor string, b double, t double, n bigint"
+    row = x.agg(F.count("*"), F.countDistinct("_p"), *[F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i in range(k + 1) for j in range(k + 1)]).first()
+    n, periods = row[0], row[1]
+    if not n:
+        return df.sparkSession.createDataFrame([], out)
+    g = np.array(row[2:], dtype=float).reshape(k + 1, k + 1)
+    inv = np.linalg.pinv(g[1:, 1:])
+    b = inv @ g[1:, 0]
+    e = F.col("_0") - sum((F.lit(float(b[i])) * F.col(f"_{i + 1}") for i in range(k)), F.lit(0.0))
+    u = x.groupBy("_f").agg(*[F.sum(F.col(f"_{i + 1}") * e).alias(f"u{i}") for i in range(k)])
+    score = u.agg(F.count("*"), *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i in range(k) for j in range(k)]).first()
+    firms, meat = score[0], np.array(score[1:], dtype=float).reshape(k, k)
+    v = np.diag(inv @ meat @ inv) * firms / max(firms - 1, 1) * (n - 1) / max(n - k - periods, 1)
+    return df.sparkSession.createDataFrame([(c, float(b[i]), float(b[i] / np.sqrt(v[i])) if v[i] > 0 else None, n) for i, c in enumerate(xs)], out)
+
+
 def two_way_fe(df: DataFrame, firm: str, period: str, y: str, xs: Sequence[str], cluster: str = "both", store=None) -> dict[str, dict[str, float]]:
     """Fixed effects of firm and period, errors clustered by firm ('firm') or by both.
 
@@ -161,13 +187,17 @@ def two_way_fe(df: DataFrame, firm: str, period: str, y: str, xs: Sequence[str],
     return {x: {"b": float(b[i]), "t": float(b[i] / np.sqrt(v[i])) if v[i] > 0 else float("nan"), "n": n} for i, x in enumerate(xs)}
 
 
-def downside_beta(df: DataFrame, groups: Sequence[str], ret: str, market: str, least: int = 12) -> DataFrame:
-    """Beta in periods in which the market is below its mean, beta in all, and co-skewness, by group."""
-    d = with_period_stats(complete(df, [ret, market]), groups, {"_r": F.avg(ret), "_m": F.avg(market)})
-    r, m = F.col(ret) - F.col("_r"), F.col(market) - F.col("_m")
-    low = m < 0
-    a = d.groupBy(*groups).agg(F.count("*").alias("n"), F.covar_samp(F.when(low, as_col(ret)), F.when(low, as_col(market))).alias("_c"), F.var_samp(F.when(low, as_col(market))).alias("_v"), F.regr_slope(ret, market).alias("beta"), F.avg(r * m * m).alias("_s"), F.stddev_pop(ret).alias("_sr"), F.var_pop(market).alias("_vm"))
-    return a.filter(F.col("n") >= least).select(*groups, "n", "beta", F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).alias("downside_beta"), F.when((F.col("_sr") > 0) & (F.col("_vm") > 0), F.col("_s") / F.col("_sr") / F.col("_vm")).alias("coskew"))
+def downside_beta(df: DataFrame, groups: Sequence[str], ret: str, market: str, least: int = 12, down_least: int = 0) -> DataFrame:
+    """(groups, n, beta, downside_beta, coskew): beta in all periods, beta in those in which the market is below its mean over the whole table
+    (null if a group has `down_least` of them or fewer), and co-skewness, with sd and variance over n - 1. Groups below `least` rows are
+    dropped."""
+    d = complete(df, [ret, market])
+    mean = d.agg(F.avg(market)).first()[0]
+    low = F.col(market) < F.lit(mean).cast("double")
+    d = with_period_stats(d, groups, {"_m": F.avg(market), "_r": F.avg(ret)})
+    m = F.col(market) - F.col("_m")
+    a = d.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(low).alias("_d"), F.covar_samp(F.when(low, as_col(ret)), F.when(low, as_col(market))).alias("_c"), F.var_samp(F.when(low, as_col(market))).alias("_v"), F.regr_slope(ret, market).alias("beta"), F.avg((F.col(ret) - F.col("_r")) * m * m).alias("_s"), F.stddev_samp(ret).alias("_sr"), F.var_samp(market).alias("_vm"))
+    return a.filter(F.col("n") >= least).select(*groups, "n", "beta", F.when((F.col("_v") > 0) & (F.col("_d") > down_least), F.col("_c") / F.col("_v")).alias("downside_beta"), F.when((F.col("_sr") > 0) & (F.col("_vm") > 0), F.col("_s") / F.col("_sr") / F.col("_vm")).alias("coskew"))
 
 
 def illiquidity(daily: DataFrame, groups: Sequence[str], ret: str, price: str, volume: str, least: int = 10) -> DataFrame:

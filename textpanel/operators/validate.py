@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_col, is_finite, safe_div
+from ..functions.numeric import as_col, erfc, is_finite, safe_div
 from .panel import break_bins
 
 
@@ -69,20 +69,23 @@ def deciles_with_zero(df: DataFrame, measure: str, n: int = 10, period: Sequence
 
 
 def snippets(sentences: DataFrame, hits: DataFrame, key: str, sentence: str, text: str, width: int = 10) -> DataFrame:
-    """(key, start, snippet): for each document the window of `width` sentences with most occurrences of its most frequent bigram.
+    """(key, start, snippet): `width` sentences of each document around the sentence where its most frequent bigram is densest.
 
-    hits: (key, sentence, bigram, n). Ties: the bigram first in the alphabet, the earliest window. A window starts at a hit's sentence less
-    half the width, not before the first.
+    hits: (key, sentence, bigram, n). Ties: the bigram first in the alphabet, the earliest sentence. Sentences are counted from 1 in their
+    order, gaps in their numbers left out. The window begins half its width less one before the sentence; it is moved inside at either
+    end and holds the whole of a shorter document.
     """
     tot = hits.groupBy(key, "bigram").agg(F.sum("n").alias("_n"))
-    top = tot.groupBy(key).agg(F.max_by("bigram", F.struct(F.col("_n"), F.lit(0) - F.crc32(F.col("bigram")))).alias("_x"), F.max("_n").alias("_m"))
-    first = tot.join(top.select(key, "_m"), key).filter("_n = _m").groupBy(key).agg(F.min("bigram").alias("bigram"))
-    mine = hits.join(first, [key, "bigram"]).select(key, F.col(sentence).alias("_s"), "n")
-    starts = mine.select(key, F.greatest(F.col("_s") - width // 2, F.lit(1)).alias("start")).distinct()
-    opened = starts.select(key, "start", F.explode(F.sequence(F.col("start"), F.col("start") + width - 1)).alias("_s"))
-    score = opened.join(mine, [key, "_s"]).groupBy(key, "start").agg(F.sum("n").alias("_n"))
-    best = score.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("_o"), F.col("start"))).alias("_b")).select(key, F.col("_b.start").alias("start"))
-    rows = best.select(key, "start", F.explode(F.sequence(F.col("start"), F.col("start") + width - 1)).alias("_s")).join(sentences.select(key, F.col(sentence).alias("_s"), text), [key, "_s"])
+    first = tot.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("_o"), "bigram")).alias("_b")).select(key, F.col("_b.bigram").alias("bigram"))
+    dense = hits.join(first, [key, "bigram"]).groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("_o"), F.col(sentence).alias("_s"))).alias("_b")).select(key, F.col("_b._s").alias("_c"))
+    mine = sentences.join(dense, key).select(key, F.col(sentence).alias("_s"), text, "_c")
+    near = mine.groupBy(key).agg(F.count("*").alias("_n"), F.count_if(F.col("_s") <= F.col("_c")).alias("_at"))
+    lo = F.greatest(F.lit(1), F.col("_at") - (width // 2 - 1))
+    hi = F.least(F.col("_n"), lo + width - 1)
+    span = near.select(key, F.greatest(F.lit(1), hi - width + 1).alias("start"), hi.alias("_hi"), "_at")
+    ranks = Window.partitionBy(key).orderBy("_s")
+    numbered = mine.withColumn("_i", F.row_number().over(ranks))
+    rows = numbered.join(span, key).filter((F.col("_i") >= F.col("start")) & (F.col("_i") <= F.col("_hi")))
     return rows.groupBy(key, "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", text))), lambda x: x[text]), " ").alias("snippet"))
 
 
@@ -107,7 +110,7 @@ def with_p(df: DataFrame, t: str, out: str = "p") -> DataFrame:
 
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and not math.isnan(v) else None)
+        return pd.Series(erfc(x.abs().to_numpy(float) / math.sqrt(2)))
 
     return df.withColumn(out, p(F.col(t).cast("double")))
 

@@ -14,6 +14,8 @@ from ..sources.tables import table
 from .panel import formation_date
 from .registry import query
 
+#: The codes of this collection's exchange map.
+REGIONS = {"North America": "NorthAmerica", "Europe": "Europe", "Asia": "AsiaPacExJapan", "Oceania": "AsiaPacExJapan", "Latin America": "Emerging", ("Asia", "Japan"): "Japan", ("Asia", "China"): "Emerging"}
 FORM = "coalesce(CAST(form_q AS DATE), CASE WHEN quarter BETWEEN 1 AND 4 THEN make_date(year, quarter * 3 - 2, 1) END)"
 
 
@@ -88,13 +90,13 @@ def one_to_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH p AS (SELECT {RIC} AS ric, count(*) AS n FROM panel_ric WHERE {RIC} IS NOT NULL GROUP BY 1) SELECT ric, n, CASE WHEN Region = 'North America' THEN 'NorthAmerica' WHEN Region = 'Europe' THEN 'Europe' WHEN Region IN ('Asia', 'Oceania') AND Country_Clean = 'Japan' THEN 'Japan' WHEN Region IN ('Asia', 'Oceania') AND Country_Clean <> 'China' THEN 'AsiaPacExJapan' WHEN Region IS NOT NULL THEN 'Emerging' END AS region FROM p LEFT JOIN exchange_region e ON e.suffix = split_part(ric, '.', 2)"
+    f"WITH p AS (SELECT {RIC} AS ric, count(*) AS n FROM panel_ric WHERE {RIC} IS NOT NULL GROUP BY 1) SELECT ric, n, CASE WHEN Region = 'North America' THEN 'NorthAmerica' WHEN Region = 'Europe' THEN 'Europe' WHEN Region = 'Asia' AND Country_Clean = 'Japan' THEN 'Japan' WHEN Region = 'Asia' AND Country_Clean = 'China' THEN 'Emerging' WHEN Region IN ('Asia', 'Oceania') THEN 'AsiaPacExJapan' WHEN Region = 'Latin America' THEN 'Emerging' END AS region FROM p LEFT JOIN exchange_region e ON e.suffix = split_part(ric, '.', 2)"
 )
 def region_map(spark: SparkSession, d: str) -> DataFrame:
     """Return region of each RIC by its exchange."""
     p = table(spark, d, "panel_ric", "Ticker").select(ric_col("Ticker").alias("ric")).filter("ric IS NOT NULL").groupBy("ric").agg(F.count("*").alias("n"))
     e = table(spark, d, "exchange_region", "suffix", "Region", "Country_Clean")
-    return p.join(e, F.split_part("ric", F.lit("."), F.lit(2)) == F.col("suffix"), "left").select("ric", "n", identity.region("Region", "Country_Clean").alias("region"))
+    return p.join(e, F.split_part("ric", F.lit("."), F.lit(2)) == F.col("suffix"), "left").select("ric", "n", identity.region("Region", "Country_Clean", REGIONS).alias("region"))
 
 
 _DIV = " ".join(f"WHEN siccd < {top} THEN '{name}'" if top else f"WHEN siccd IS NOT NULL THEN '{name}'" for top, name in SIC_DIVISIONS)

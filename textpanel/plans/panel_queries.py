@@ -178,14 +178,14 @@ def asof_forward_any(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_forward_unbounded(e, p, "user_id", "day", "event_id", "one")
 
 
-@query(f"WITH {EVM}, ix AS (SELECT user_id, day, ret, row_number() OVER (PARTITION BY user_id ORDER BY day) AS ti FROM dy), a AS (SELECT user_id, ti FROM ix WHERE ti % 7 = 0) SELECT a.user_id, a.ti::INTEGER AS anchor, (ix.ti - a.ti)::INTEGER AS k, round(ret, 6) + 0.0 AS ret FROM a JOIN ix ON ix.user_id = a.user_id AND ix.ti BETWEEN a.ti - 3 AND a.ti + 3")
+@query(f"WITH {EVM}, ix AS (SELECT user_id, day, ret, row_number() OVER (PARTITION BY user_id ORDER BY day) AS ti FROM dy), a AS (SELECT user_id, ti FROM ix) SELECT a.user_id, a.ti::INTEGER AS anchor, (ix.ti - a.ti)::INTEGER AS k, round(ret, 12) + 0.0 AS ret FROM a JOIN ix ON ix.user_id = a.user_id AND ix.ti BETWEEN a.ti - 3 AND a.ti + 3")
 def offset_window(spark: SparkSession, d: str) -> DataFrame:
-    """Every day of a user with the three days before and after. The SQL has every seventh day only."""
+    """Every day of a user with the three days before and after."""
     from ..operators.events import trading_index
 
     ix = trading_index(daily(spark, d), "user_id", "day")
     a = ix.select("user_id", "ti", F.col("ti").alias("anchor"))
-    return joins.offset_window(a, ix.select("user_id", "ti", "ret"), "user_id", "ti", -3, 3).select("user_id", "anchor", "k", r6("ret").alias("ret"))
+    return joins.offset_window(a, ix.select("user_id", "ti", "ret"), "user_id", "ti", -3, 3).select("user_id", "anchor", "k", (F.round("ret", 12) + F.lit(0.0)).alias("ret"))
 
 
 PEER = f"{FQ}, pe AS (SELECT permno, form, lead(permno, k::INTEGER) OVER (PARTITION BY form, siccd, k ORDER BY permno) AS peer, 1.0 / k AS score FROM fq, range(1, 4) AS r(k) WHERE siccd IS NOT NULL)"

@@ -56,11 +56,11 @@ def find_dictionary(counts: DataFrame, config: Config, classify: bool = False) -
         labels = stored(labels)
         voc = discovery.model_vocabulary(counts, seeds, config.model_vocab)
         rest = discovery.sample_search(labels.withColumn("_k", F.xxhash64(*keys)), "_k", config.sample_size, config.seed).select(*keys)
-        p = discovery.ensemble(counts, labels.withColumnRenamed("in_R", "y"), voc, keys, rest.unionByName(labels.filter("in_R = 1").select(*keys)), seed=config.seed)
-        target = discovery.vote(p, ["p_nb", "p_svc", "p_rf"], labels, keys, config.p_threshold)
+        p = discovery.ensemble(counts, labels.withColumnRenamed("in_R", "y"), voc, keys, rest.unionByName(labels.filter("in_R = 1").select(*keys)), folds=config.folds, search=config.search, seed=config.seed)
+        target = discovery.vote(p, ["p_nb", "p_c2", "p_rf"], labels, keys, config.p_threshold)
     else:
         target = labels.withColumnRenamed("in_R", "in_T")
-    return discovery.locked_dictionary(discovery.keyness(tokens.trim(counts, config.min_docfreq), target, keys), seeds, config.dictionary_top)
+    return discovery.locked_dictionary(discovery.keyness(tokens.trim(counts, config.min_docfreq), target, keys, stored), seeds, config.dictionary_top)
 
 
 def score_calls(sentences: DataFrame, counts: DataFrame, dictionary: DataFrame, config: Config, positive: Sequence[str] = (), negative: Sequence[str] = ()) -> DataFrame:

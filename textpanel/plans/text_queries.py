@@ -6,6 +6,7 @@ sentence_id) once.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ POSITIVE, NEGATIVE = ("good", "strong", "steady", "improved", "new"), ("bad", "w
 THEMES = {"trade": ("import", "export", "tariff", "quota", "customs", "duty"), "sanctions": ("sanction", "embargo", "freeze", "entity"), "supply": ("supplier", "port", "container", "freight"), "energy": ("oil", "gas", "fuel", "steel")}
 GENERIC, LEADS = ("price", "cost", "fee", "cash", "stock"), ("the", "of", "to", "from", "for", "in", "on", "at", "with")
 SPEAKER = r"^(Operator|CEO|CFO|Analyst): "
-DICTIONARY_TOP = 150
+DICTIONARY_TOP, MODEL_VOCABULARY, SAMPLE = 9_600, 10_000, 100_000
 KEYS = ["Id", "sentence_id"]
 
 
@@ -224,37 +225,74 @@ def search_sample(spark: SparkSession, d: str) -> DataFrame:
     return discovery.sample_search(labels, "key", 500).select(*KEYS)
 
 
-VOCAB = f"{REF}, top AS (SELECT bigram FROM c GROUP BY 1 ORDER BY sum(n) DESC, bigram LIMIT 1000), voc AS (SELECT bigram FROM top UNION SELECT bigram FROM seed)"
+VOCAB = f"{REF}, top AS (SELECT bigram FROM c GROUP BY 1 ORDER BY sum(n) DESC, bigram LIMIT {MODEL_VOCABULARY}), voc AS (SELECT bigram FROM top UNION SELECT bigram FROM seed)"
 
 
 @query(f"WITH {VOCAB} SELECT bigram FROM voc")
 def model_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """L3: most frequent bigrams and the seeds."""
-    return discovery.model_vocabulary(counts(spark, d), seeds(spark), 1000)
+    return discovery.model_vocabulary(counts(spark, d), seeds(spark), MODEL_VOCABULARY)
 
 
-@query(
-    f"""WITH {VOCAB}, x AS (SELECT * FROM c SEMI JOIN voc USING (bigram)), y AS (SELECT x.*, in_R FROM x JOIN r USING (Id, sentence_id)),
+NB = f"""{VOCAB}, x AS (SELECT * FROM c SEMI JOIN voc USING (bigram)), y AS (SELECT x.*, in_R FROM x JOIN r USING (Id, sentence_id)),
 per AS (SELECT voc.bigram, coalesce(sum(n) FILTER (in_R = 1), 0) AS n1, coalesce(sum(n) FILTER (in_R = 0), 0) AS n0 FROM voc LEFT JOIN y USING (bigram) GROUP BY 1),
 tot AS (SELECT sum(n1) AS t1, sum(n0) AS t0, count(*) AS v FROM per), o AS (SELECT bigram, ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v)) AS o FROM per, tot),
-sx AS (SELECT Id, sentence_id, sum(n * o) AS sx FROM x JOIN o USING (bigram) GROUP BY 1, 2), pr AS (SELECT ln(sum(in_R) / sum(1 - in_R)) AS base FROM r)
-SELECT r.Id, r.sentence_id, round(1 / (1 + exp(-(coalesce(sx, 0) + base))), 6) + 0.0 AS p_nb FROM r LEFT JOIN sx USING (Id, sentence_id), pr"""
-)
+sx AS (SELECT Id, sentence_id, sum(n * o) AS sx FROM x JOIN o USING (bigram) GROUP BY 1, 2), pr AS (SELECT ln(sum(in_R) / sum(1 - in_R)) AS base FROM r),
+nb AS (SELECT r.Id, r.sentence_id, in_R, round(1 / (1 + exp(-(coalesce(sx, 0) + base))), 6) + 0.0 AS p_nb FROM r LEFT JOIN sx USING (Id, sentence_id), pr)"""
+
+
+@query(f"WITH {NB} SELECT Id, sentence_id, p_nb FROM nb")
 def nb_probability(spark: SparkSession, d: str) -> DataFrame:
     """L4: naive Bayes as plain aggregates and joins."""
     c = hub(spark, d)
     labels = discovery.label_reference(c, seeds(spark), KEYS).withColumnRenamed("in_R", "y")
-    return rounded(discovery.naive_bayes(c, labels, discovery.model_vocabulary(c, seeds(spark), 1000), KEYS), "p_nb")
+    return rounded(discovery.naive_bayes(c, labels, discovery.model_vocabulary(c, seeds(spark), MODEL_VOCABULARY), KEYS), "p_nb")
+
+
+def nb_target(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    labels = stored(discovery.label_reference(c, seeds(spark), KEYS))
+    p = rounded(discovery.naive_bayes(c, labels.withColumnRenamed("in_R", "y"), discovery.model_vocabulary(c, seeds(spark), MODEL_VOCABULARY), KEYS), "p_nb")
+    return discovery.vote(p, ["p_nb"], labels, KEYS)
+
+
+@query(f"WITH {NB} SELECT Id, sentence_id, (in_R = 1 OR p_nb > 0.8)::INTEGER AS in_T FROM nb")
+def nb_vote(spark: SparkSession, d: str) -> DataFrame:
+    """All sentences scored, and the vote, here with naive Bayes alone, which SQL can repeat."""
+    return nb_target(spark, d, hub(spark, d))
+
+
+def sampled(labels: DataFrame) -> DataFrame:
+    """Keys of the seed sentences and of SAMPLE others."""
+    return discovery.sample_search(labels.withColumn("key", F.expr(SAMPLE_KEY)), "key", SAMPLE).select(*KEYS).unionByName(labels.filter("in_R = 1").select(*KEYS))
 
 
 @query()
 def klr_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    """Three classifiers and their vote."""
+    """Three classifiers on exact counts and their vote, parameters pinned."""
     c = hub(spark, d)
     labels = stored(discovery.label_reference(c, seeds(spark), KEYS))
-    sample = discovery.sample_search(labels.withColumn("key", F.expr(SAMPLE_KEY)), "key", 2000).select(*KEYS).unionByName(labels.filter("in_R = 1").select(*KEYS))
-    p = discovery.ensemble(c, labels.withColumnRenamed("in_R", "y"), discovery.model_vocabulary(c, seeds(spark), 1000), KEYS, sample, trees=10, features=1 << 9)
-    return discovery.vote(p, ["p_nb", "p_svc", "p_rf"], labels, KEYS)
+    p = discovery.ensemble(c, labels.withColumnRenamed("in_R", "y"), discovery.model_vocabulary(c, seeds(spark), MODEL_VOCABULARY), KEYS, sampled(labels), search=False)
+    return discovery.vote(p, ["p_nb", "p_c2", "p_rf"], labels, KEYS)
+
+
+FOLD = "CAST(substring(Id, 2) AS BIGINT) % 5"
+
+
+@query(
+    f"""WITH {VOCAB}, y AS (SELECT Id, sentence_id, in_R AS y, ({FOLD})::INTEGER AS fold FROM r), x AS (SELECT c.Id, c.sentence_id, bigram, n, y, fold FROM c SEMI JOIN voc USING (bigram) JOIN y USING (Id, sentence_id)),
+pf AS (SELECT fold, bigram, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS f1, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS f0 FROM x GROUP BY 1, 2), pa AS (SELECT bigram, sum(f1) AS a1, sum(f0) AS a0 FROM pf GROUP BY 1), fs AS (SELECT DISTINCT fold FROM y),
+rs AS (SELECT fs.fold, voc.bigram, coalesce(a1, 0) - coalesce(f1, 0) AS n1, coalesce(a0, 0) - coalesce(f0, 0) AS n0 FROM voc CROSS JOIN fs LEFT JOIN pa ON pa.bigram = voc.bigram LEFT JOIN pf ON pf.bigram = voc.bigram AND pf.fold = fs.fold),
+tt AS (SELECT fold, sum(n1) AS t1, sum(n0) AS t0, count(*) AS v FROM rs GROUP BY 1), al AS (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS alpha),
+od AS (SELECT fold, bigram, alpha, ln((n1 + alpha) / (t1 + alpha * v)) - ln((n0 + alpha) / (t0 + alpha * v)) AS o FROM rs JOIN tt USING (fold), al),
+sc AS (SELECT Id, sentence_id, alpha, sum(n * o) AS s FROM x JOIN od USING (fold, bigram) GROUP BY 1, 2, 3), aa AS (SELECT y.*, al.alpha, round(coalesce(s, 0), 9) + 0.0 AS s FROM y CROSS JOIN al LEFT JOIN sc ON sc.Id = y.Id AND sc.sentence_id = y.sentence_id AND sc.alpha = al.alpha),
+rk AS (SELECT *, rank() OVER (PARTITION BY alpha, fold ORDER BY s) + (count(*) OVER (PARTITION BY alpha, fold, s) - 1) / 2 AS rk FROM aa), au AS (SELECT alpha, fold, sum(rk) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM rk GROUP BY 1, 2)
+SELECT alpha, round(avg((sr - p * (p + 1) / 2) / (p * q)), 6) + 0.0 AS auc FROM au WHERE p * q > 0 GROUP BY 1"""
+)
+def nb_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Mean AUC over five folds of each alpha of naive Bayes; folds by call, so that SQL can repeat them."""
+    c = hub(spark, d)
+    folded = stored(discovery.label_reference(c, seeds(spark), KEYS).select(*KEYS, F.col("in_R").alias("y"), F.expr(FOLD).cast("int").alias("fold")))
+    return rounded(discovery.nb_search(c, folded, discovery.model_vocabulary(c, seeds(spark), MODEL_VOCABULARY), KEYS), "auc")
 
 
 def _g2(a: str, c: str, ta: str, tc: str) -> str:
@@ -264,6 +302,16 @@ def _g2(a: str, c: str, ta: str, tc: str) -> str:
     return f"(CASE WHEN {a} * {tc} >= {c} * {ta} THEN 2 * ({s}) ELSE -2 * ({s}) END)"
 
 
+def _tail(x: str) -> str:
+    """SQL of the p of a chi-squared value x with one degree of freedom: a series below 12.5, a continued fraction above."""
+    z = f"sqrt(abs({x}) / 2)"
+    total = " + ".join(f"{(-1) ** n / (math.factorial(n) * (2 * n + 1))!r}::DOUBLE * pow({z}, {2 * n + 1})" for n in range(40))
+    k = z
+    for n in range(30, 0, -1):
+        k = f"({z} + {n / 2} / {k})"
+    return f"(CASE WHEN abs({x}) < 12.5 THEN 1 - {2 / math.sqrt(math.pi)!r} * ({total}) ELSE exp(-abs({x}) / 2) / {math.sqrt(math.pi)!r} / {k} END)"
+
+
 KEY = f"""{REF}, y AS (SELECT c.*, in_R FROM c JOIN r USING (Id, sentence_id)),
 per AS (SELECT bigram, CAST(coalesce(sum(n) FILTER (in_R = 1), 0) AS BIGINT) AS a, CAST(coalesce(sum(n) FILTER (in_R = 0), 0) AS BIGINT) AS c, count(*) FILTER (in_R = 1) AS d FROM y GROUP BY 1),
 tot AS (SELECT CAST(sum(a) AS DOUBLE) AS ta, CAST(sum(c) AS DOUBLE) AS tc FROM per),
@@ -278,7 +326,7 @@ def hub(spark: SparkSession, d: str) -> DataFrame:
 def key_table(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
     c = hub(spark, d) if c is None else c
     target = discovery.label_reference(c, seeds(spark), KEYS).withColumnRenamed("in_R", "in_T")
-    return rounded(discovery.keyness(c, target, KEYS), "G2", "target_share")
+    return rounded(discovery.keyness(c, target, KEYS, stored), "G2", "target_share")
 
 
 @query(f"WITH {KEY} SELECT * FROM key")
@@ -287,18 +335,36 @@ def keyness_g2(spark: SparkSession, d: str) -> DataFrame:
     return key_table(spark, d)
 
 
-@query(f"WITH {KEY}, m AS (SELECT count(*) AS m FROM key) SELECT bigram, (abs(G2) > {{crit}})::INTEGER AS significant, (nontarget_freq = 0)::INTEGER AS target_only FROM key".replace("{crit}", "25"))
+FLAGS = f"{KEY}, pk AS (SELECT key.*, {_tail('G2')} AS p, count(*) OVER () AS m FROM key)"
+
+
+@query(f"WITH {FLAGS} SELECT bigram, (p < 0.05 / m)::INTEGER AS significant, (nontarget_freq = 0)::INTEGER AS target_only FROM pk")
 def keyness_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Significance at a fixed critical value, and bigrams that only the target has."""
-    return key_table(spark, d).select("bigram", (F.abs("G2") > 25).cast("int").alias("significant"), (F.col("nontarget_freq") == 0).cast("int").alias("target_only"))
+    """Significance after Bonferroni's correction, and bigrams that only the target has."""
+    return discovery.bonferroni(key_table(spark, d)).select("bigram", "significant", "target_only")
 
 
-@query()
+@query(f"WITH {FLAGS} SELECT bigram, G2, target_freq, nontarget_freq, target_docfreq, target_share, (p < 0.05 / m)::INTEGER AS significant, (nontarget_freq = 0)::INTEGER AS target_only, round(p, 6) + 0.0 AS p FROM pk")
 def keyness_bonferroni(spark: SparkSession, d: str) -> DataFrame:
     """Bonferroni flag and p of each bigram."""
     return rounded(discovery.with_p(discovery.bonferroni(key_table(spark, d))), "p")
 
 
+def _key(target: str) -> str:
+    """CTEs of the keyness table for a target table (Id, sentence_id, in_T)."""
+    return f"""ty AS (SELECT c.*, in_T FROM c JOIN {target} USING (Id, sentence_id)),
+tper AS (SELECT bigram, CAST(coalesce(sum(n) FILTER (in_T = 1), 0) AS BIGINT) AS a, CAST(coalesce(sum(n) FILTER (in_T = 0), 0) AS BIGINT) AS c, count(*) FILTER (in_T = 1) AS d FROM ty GROUP BY 1),
+ttot AS (SELECT CAST(sum(a) AS DOUBLE) AS ta, CAST(sum(c) AS DOUBLE) AS tc FROM tper),
+tkey AS (SELECT bigram, round({_g2("CAST(a AS DOUBLE)", "CAST(c AS DOUBLE)", "ta", "tc")}, 6) + 0.0 AS G2, a AS target_freq, c AS nontarget_freq, d AS target_docfreq, round(a / (a + c), 6) + 0.0 AS target_share FROM tper, ttot WHERE a > 0)"""
+
+
+@query(f"WITH {NB}, tg AS (SELECT Id, sentence_id, (in_R = 1 OR p_nb > 0.8)::INTEGER AS in_T FROM nb), {_key('tg')} SELECT * FROM tkey")
+def keyness_voted(spark: SparkSession, d: str) -> DataFrame:
+    """Keyness of the bigrams of the voted sentences."""
+    c = hub(spark, d)
+    return rounded(discovery.keyness(c, nb_target(spark, d, c), KEYS, stored), "G2", "target_share")
+
+
 LOCK = f"{KEY}, found AS (SELECT * FROM key ANTI JOIN seed USING (bigram) ORDER BY G2 DESC, bigram LIMIT {DICTIONARY_TOP}), dic AS (SELECT bigram, 'seed' AS origin, G2, target_freq, target_share FROM seed LEFT JOIN key USING (bigram) UNION ALL SELECT bigram, 'discovered', G2, target_freq, target_share FROM found)"
 
 
@@ -308,12 +374,12 @@ def locked_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP)
 
 
-CUTOFFS = (2013, 2016, 2019, 2022)  # of the SQL only, like its top 50: the queries have a vintage for every year, of all significant bigrams
-VINT = f"""{REF}, y AS (SELECT c.*, in_R FROM c JOIN r USING (Id, sentence_id)),
-u AS (SELECT unnest([{", ".join(map(str, CUTOFFS))}]) AS vintage), cum AS (SELECT vintage, bigram, coalesce(sum(n) FILTER (in_R = 1), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (in_R = 0), 0)::DOUBLE AS c FROM u JOIN y ON year <= vintage GROUP BY 1, 2),
-tot AS (SELECT vintage, sum(a) AS ta, sum(c) AS tc FROM cum GROUP BY 1),
-g AS (SELECT vintage, bigram, round({_g2("a", "c", "ta", "tc")}, 6) AS G2 FROM cum JOIN tot USING (vintage) WHERE a > 0),
-vin AS (SELECT vintage, bigram FROM g ANTI JOIN seed USING (bigram) QUALIFY row_number() OVER (PARTITION BY vintage ORDER BY G2 DESC, bigram) <= 50 UNION ALL SELECT vintage, bigram FROM seed, u)"""
+VINT = f"""{REF}, y AS (SELECT c.*, in_R FROM c JOIN r USING (Id, sentence_id)), yy AS (SELECT DISTINCT year FROM c WHERE year IS NOT NULL),
+u AS (SELECT year AS vintage FROM yy UNION SELECT year - 1 FROM yy WHERE year > (SELECT min(year) FROM yy)), yc AS (SELECT year, bigram, coalesce(sum(n) FILTER (in_R = 1), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (in_R = 0), 0)::DOUBLE AS c FROM y GROUP BY 1, 2),
+cum AS (SELECT vintage, bigram, sum(a) AS a, sum(c) AS c FROM u JOIN yc ON year <= vintage GROUP BY 1, 2),
+tot AS (SELECT vintage, sum(a) AS ta, sum(c) AS tc, count(*) FILTER (a > 0) AS m FROM cum GROUP BY 1),
+g AS (SELECT vintage, bigram, m, round({_g2("a", "c", "ta", "tc")}, 6) AS G2 FROM cum JOIN tot USING (vintage) WHERE a > 0),
+vin AS (SELECT vintage, bigram FROM g ANTI JOIN seed USING (bigram) WHERE G2 > 0 AND {_tail("G2")} < 0.05 / m UNION ALL SELECT vintage, bigram FROM seed, u)"""
 
 
 def cutoffs(c: DataFrame) -> list[int]:
@@ -330,15 +396,15 @@ def vintage_table(spark: SparkSession, d: str, c: DataFrame | None = None) -> Da
 
 @query(f"WITH {VINT} SELECT vintage, bigram FROM vin")
 def vintage_dictionaries(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds and all significant bigrams of the text up to each year. The SQL has four cutoffs and their top 50 only."""
+    """Seeds and all significant bigrams of the text up to each year."""
     return vintage_table(spark, d)
 
 
 @query(
-    f"WITH {VINT}, e AS (SELECT vintage, CASE vintage {' '.join(f'WHEN {b} THEN {a}' for a, b in zip(CUTOFFS, CUTOFFS[1:], strict=False))} END AS prev, bigram FROM vin), j AS (SELECT e.vintage, count(*) AS n_a, count(p.bigram) AS n_both FROM e LEFT JOIN vin p ON p.vintage = e.prev AND p.bigram = e.bigram WHERE prev IS NOT NULL GROUP BY 1), q AS (SELECT vintage, count(*) AS n FROM vin GROUP BY 1) SELECT j.vintage, n_both, round(n_both / (n_a + q.n - n_both), 6) + 0.0 AS jaccard FROM j JOIN q ON q.vintage = (CASE j.vintage {' '.join(f'WHEN {b} THEN {a}' for a, b in zip(CUTOFFS, CUTOFFS[1:], strict=False))} END)"
+    f"WITH {VINT}, pv AS (SELECT vintage, lag(vintage) OVER (ORDER BY vintage) AS prev FROM u), q AS (SELECT vintage, count(*) AS n FROM vin GROUP BY 1), j AS (SELECT pv.vintage, count(*) AS n_both FROM pv JOIN vin a ON a.vintage = pv.vintage JOIN vin b ON b.vintage = pv.prev AND b.bigram = a.bigram GROUP BY 1) SELECT pv.vintage, n_both, round(n_both / (qa.n + qb.n - n_both), 6) + 0.0 AS jaccard FROM pv JOIN j USING (vintage) JOIN q qa ON qa.vintage = pv.vintage JOIN q qb ON qb.vintage = pv.prev"
 )
 def vintage_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of each dictionary with the one before. The SQL has four cutoffs and their top 50 only."""
+    """Overlap of each dictionary with the one before."""
     c = hub(spark, d)
     v, years = stored(vintage_table(spark, d, c)), cutoffs(c)
     later = {a: b for a, b in zip(years, years[1:], strict=False)}
@@ -348,6 +414,16 @@ def vintage_overlap(spark: SparkSession, d: str) -> DataFrame:
     return discovery.overlap(now, prev, ["vintage"]).select("vintage", "n_both", r6("jaccard").alias("jaccard"))
 
 
+@query(
+    f"WITH {VINT}, per AS (SELECT bigram, sum(a) AS a, sum(c) AS c FROM yc GROUP BY 1), tt AS (SELECT sum(a) AS ta, sum(c) AS tc FROM per), kk AS (SELECT bigram, round({_g2('a', 'c', 'ta', 'tc')}, 6) + 0.0 AS G2 FROM per, tt WHERE a > 0), dic AS (SELECT bigram, G2 FROM seed LEFT JOIN kk USING (bigram) UNION ALL (SELECT bigram, G2 FROM kk ANTI JOIN seed USING (bigram) ORDER BY G2 DESC, bigram LIMIT {DICTIONARY_TOP})), top AS (SELECT bigram FROM dic ORDER BY G2 DESC NULLS LAST, bigram LIMIT 1000), nn AS (SELECT (SELECT count(*) FROM dic) AS nf, (SELECT count(*) FROM top) AS nt) SELECT vintage, count(*) AS n_terms, round(count(dic.bigram) / any_value(nf), 6) + 0.0 AS cover_full, round(count(top.bigram) / any_value(nt), 6) + 0.0 AS cover_top, round(count(dic.bigram) / (count(*) + any_value(nf) - count(dic.bigram)), 6) + 0.0 AS jaccard_full FROM vin LEFT JOIN dic USING (bigram) LEFT JOIN top USING (bigram), nn GROUP BY 1"
+)
+def vintage_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the locked dictionary, and of its first thousand terms, each vintage holds."""
+    c = hub(spark, d)
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP)
+    return rounded(discovery.divergence(vintage_table(spark, d, c), dic), "cover_full", "cover_top", "jaccard_full")
+
+
 @query(
     f"""WITH {REF}, y AS (SELECT Id, sentence_id, bigram FROM c SEMI JOIN seed USING (bigram)), dr AS (SELECT DISTINCT s2.bigram AS dropped, Id, sentence_id FROM seed s2 JOIN y ON y.bigram <> s2.bigram),
 allc AS (SELECT bigram, sum(n)::DOUBLE AS w FROM c GROUP BY 1), gr AS (SELECT sum(w) AS g FROM allc), aa AS (SELECT dropped, bigram, sum(n)::DOUBLE AS a FROM c JOIN dr USING (Id, sentence_id) GROUP BY 1, 2), ta AS (SELECT dropped, sum(a) AS ta FROM aa GROUP BY 1),
@@ -359,6 +435,29 @@ def leave_one_seed_out(spark: SparkSession, d: str) -> DataFrame:
     return discovery.leave_one_out(hub(spark, d), SEEDS, KEYS, 30, spark)
 
 
+LOO = f"""y2 AS (SELECT Id, sentence_id, bigram FROM c SEMI JOIN seed USING (bigram)), dr AS (SELECT DISTINCT s2.bigram AS dropped, Id, sentence_id FROM seed s2 JOIN y2 ON y2.bigram <> s2.bigram),
+allc AS (SELECT bigram, sum(n)::DOUBLE AS w FROM c GROUP BY 1), gr AS (SELECT sum(w) AS g FROM allc), aa AS (SELECT dropped, bigram, sum(n)::DOUBLE AS a FROM c JOIN dr USING (Id, sentence_id) GROUP BY 1, 2), ta AS (SELECT dropped, sum(a) AS ta FROM aa GROUP BY 1),
+z AS (SELECT dropped, bigram, a, w - a AS c, ta, g - ta AS tc FROM aa JOIN allc USING (bigram) JOIN ta USING (dropped), gr),
+lo AS (SELECT dropped, bigram FROM z ANTI JOIN seed USING (bigram) QUALIFY row_number() OVER (PARTITION BY dropped ORDER BY round({_g2("a", "c", "ta", "tc")}, 6) DESC, bigram) <= 30)"""
+
+
+@query(
+    f"WITH {KEY}, {LOO}, found AS (SELECT bigram FROM key ANTI JOIN seed USING (bigram) ORDER BY G2 DESC, bigram LIMIT 30), dic AS (SELECT bigram FROM seed UNION SELECT bigram FROM found), me AS (SELECT dropped, bigram FROM lo UNION SELECT a.bigram, b.bigram FROM seed a JOIN seed b ON a.bigram <> b.bigram), cc AS (SELECT Id, bigram, sum(n) AS n FROM c GROUP BY 1, 2), f0 AS (SELECT Id, sum(n) AS B, coalesce(sum(n) FILTER (bigram IN (SELECT bigram FROM dic)), 0) AS h0 FROM cc GROUP BY 1), hh AS (SELECT Id, dropped, sum(n) AS h FROM cc JOIN me USING (bigram) GROUP BY 1, 2), ab AS (SELECT seed.bigram AS dropped, h0 / B AS a, coalesce(h, 0) / B AS b FROM f0 CROSS JOIN seed LEFT JOIN hh ON hh.Id = f0.Id AND hh.dropped = seed.bigram), rk AS (SELECT *, rank() OVER (PARTITION BY dropped ORDER BY a) + (count(*) OVER (PARTITION BY dropped, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY dropped ORDER BY b) + (count(*) OVER (PARTITION BY dropped, b) - 1) / 2 AS rb FROM ab) SELECT dropped, count(*) AS n, round(corr(a, b), 6) + 0.0 AS pearson, round(corr(ra, rb), 6) + 0.0 AS spearman FROM rk GROUP BY 1"
+)
+def perturbation_measure(spark: SparkSession, d: str) -> DataFrame:
+    """Every call scored again with the dictionary found without each seed, against its own score."""
+    c = hub(spark, d)
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), 30)
+    lo = discovery.leave_one_out(c, SEEDS, KEYS, 30, spark)
+    return rounded(discovery.perturbed_measure(stored(tokens.group(c, ["Id"])), dic, lo, SEEDS, "Id"), "pearson", "spearman")
+
+
+@query(f"WITH {KEY}, top AS (SELECT bigram, G2 FROM key ORDER BY G2 DESC, bigram LIMIT 100), q AS (SELECT quantile_cont(G2, [0.2, 0.4, 0.6, 0.8]) AS b FROM top) SELECT bigram, G2, round(sqrt(greatest(G2, 0)), 6) + 0.0 AS size, (1 + len(list_filter(b, lambda x: G2 > x)))::INTEGER AS bin FROM top, q")
+def top_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred strongest terms in five bins by quantile breaks."""
+    return rounded(discovery.top_terms(key_table(spark, d)), "size").withColumn("bin", F.col("bin").cast("int"))
+
+
 def _theme(words: tuple[str, ...]) -> str:
     return f"(list_has_any(string_split(bigram, ' '), {_in(words)})" + "".join(f" OR contains(bigram, '{w}')" for w in words if len(w) > 4) + ")"
 
@@ -435,10 +534,10 @@ def period_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {VINT}, fl AS (SELECT c.Id, c.year, sum(n) AS B, coalesce(sum(n) FILTER (vin.bigram IS NOT NULL), 0) AS h FROM c LEFT JOIN vin ON vin.vintage + 1 = c.year AND vin.bigram = c.bigram GROUP BY 1, 2) SELECT Id, year, round(h / B, 6) + 0.0 AS exposure FROM fl"
+    f"WITH {VINT}, fl AS (SELECT c.Id, c.year, sum(n) AS B, coalesce(sum(n) FILTER (vin.bigram IS NOT NULL), 0) AS h FROM c LEFT JOIN vin ON vin.vintage + 1 = c.year AND vin.bigram = c.bigram GROUP BY 1, 2) SELECT Id, year, CASE WHEN year - 1 IN (SELECT vintage FROM u) THEN round(h / B, 6) + 0.0 END AS exposure FROM fl"
 )
 def realtime_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Each year scored with the dictionary of the year before; null in the first, which has none. The SQL has four cutoffs and their top 50 only."""
+    """Each year scored with the dictionary of the year before; null in the first, which has none."""
     c = hub(spark, d)
     return rounded(scoring.realtime(c, stored(vintage_table(spark, d, c)), "Id", "year"), "exposure")
 
@@ -448,12 +547,13 @@ HITS = "ht AS (SELECT Id, sentence_id, bigram, n FROM c SEMI JOIN dic USING (big
 
 @query(
     f"""WITH {LOCK}, {HITS}, tt AS (SELECT Id, bigram, sum(n) AS m FROM ht GROUP BY 1, 2), ft AS (SELECT Id, bigram FROM tt QUALIFY row_number() OVER (PARTITION BY Id ORDER BY m DESC, bigram) = 1),
-mi AS (SELECT Id, sentence_id AS p, n FROM ht JOIN ft USING (Id, bigram)), st AS (SELECT DISTINCT Id, greatest(p - 5, 1) AS start FROM mi),
-bs AS (SELECT st.Id, start, sum(n) AS m FROM st JOIN mi ON mi.Id = st.Id AND p BETWEEN start AND start + 9 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY st.Id ORDER BY sum(n) DESC, start) = 1)
-SELECT bs.Id, start, md5(string_agg(text, ' ' ORDER BY sentence_id)) AS text_md5 FROM bs JOIN s ON s.Id = bs.Id AND sentence_id BETWEEN start AND start + 9 GROUP BY 1, 2"""
+ce AS (SELECT Id, sentence_id AS ctr FROM ht JOIN ft USING (Id, bigram) QUALIFY row_number() OVER (PARTITION BY Id ORDER BY n DESC, sentence_id) = 1),
+nu AS (SELECT s.Id, s.sentence_id, text, row_number() OVER (PARTITION BY s.Id ORDER BY s.sentence_id) AS i, count(*) OVER (PARTITION BY s.Id) AS ns FROM s), cn AS (SELECT nu.Id, i AS c, ns FROM nu JOIN ce ON ce.Id = nu.Id AND ce.ctr = nu.sentence_id),
+w2 AS (SELECT Id, least(ns, greatest(1, c - 4) + 9) AS hi FROM cn), w3 AS (SELECT Id, greatest(1, hi - 9) AS start, hi FROM w2)
+SELECT nu.Id, start, md5(string_agg(text, ' ' ORDER BY sentence_id)) AS text_md5 FROM w3 JOIN nu ON nu.Id = w3.Id AND i BETWEEN start AND hi GROUP BY 1, 2"""
 )
 def audit_snippets(spark: SparkSession, d: str) -> DataFrame:
-    """V5: ten sentences around the densest use of a call's most frequent dictionary bigram."""
+    """V5: ten sentences around the sentence where a call's most frequent dictionary bigram is densest."""
     c = hub(spark, d)
     dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP)
     x = validate.snippets(sentences(spark, d), tokens.match(c, dic).select(*KEYS, "bigram", "n"), "Id", "sentence_id", "text")
