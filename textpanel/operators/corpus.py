@@ -71,9 +71,11 @@ def concat_turns(turns: DataFrame, key: str, order: str, text: str, first: Seque
     return turns.groupBy(key).agg(joined.alias("text"), *heads)
 
 
-def detect_language(c: Column | str, chars: int = 5000) -> Column:
-    """The language whose function words occur most in the first characters; ties to the first in alphabetical order, null if none."""
-    words = F.split(F.lower(F.substring(as_col(c), 1, chars)), r"[^\p{L}]+")
+def detect_language(c: Column | str, chars: int | None = None) -> Column:
+    """The language whose function words occur most in the text, or in its first `chars` characters; ties to the first in alphabetical order,
+    null if none."""
+    text = as_col(c) if chars is None else F.substring(as_col(c), 1, chars)
+    words = F.split(F.lower(text), r"[^\p{L}]+")
 
     def best(w: Column) -> Column:
         counted = [F.struct(F.size(F.filter(w, _member(profile))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, profile) in enumerate(sorted(PROFILES.items()))]
@@ -88,11 +90,15 @@ def _member(words: Sequence[str]):
     return lambda w: F.array_contains(listed, w)
 
 
+def sentence_array(c: Column | str) -> Column:
+    """The sentences of a text, in order, without outer blanks."""
+    return F.transform(F.split(as_col(c), r"(?<=[.!?])\s+(?=\p{Lu})|\n+"), lambda x: F.trim(x))
+
+
 def split_sentences(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """(keep, sentence_id, text): a sentence ends at . ! or ? before white space and an upper-case letter, or at a line end; ids count
     from 1. A null text has no sentences."""
-    parts = F.split(F.col(text), r"(?<=[.!?])\s+(?=\p{Lu})|\n+")
-    return df.select(*keep, F.posexplode(parts).alias("_p", "text")).select(*keep, (F.col("_p") + 1).alias("sentence_id"), F.trim("text").alias("text"))
+    return df.select(*keep, F.posexplode(sentence_array(text)).alias("_p", "text")).select(*keep, (F.col("_p") + 1).alias("sentence_id"), "text")
 
 
 def min_length(df: DataFrame, text: str = "text", chars: int = 5) -> DataFrame:

@@ -90,3 +90,25 @@ def mean_newey_west(df: DataFrame, groups: Sequence[str], order: str, value: str
         total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(f"_g{k}", F.lit(0.0))
     n = F.col("n").cast("double")
     return s.select(*groups, "n", "mean", safe_div("mean", F.sqrt(F.when((total > 0) & (n > 1), total / n / n * n / (n - 1)))).alias("t"))
+
+
+def loadings(frame: pd.DataFrame, y: str, factors: Sequence[str], lags: int = 4, least: int = 12) -> pd.DataFrame:
+    """(factor, beta, t, n): one regression of y on each factor alone, HAC t; null below `least` complete rows."""
+    rows = []
+    for f in factors:
+        out = spanning(frame, y, [f], lags, least)
+        rows.append((f, out.get(f"beta_{f}"), out.get(f"t_{f}"), out["n"]))
+    return pd.DataFrame(rows, columns=["factor", "beta", "t", "n"])
+
+
+def expanding_alpha(frame: pd.DataFrame, order: str, y: str, factors: Sequence[str], lags: int = 4, first: int = 36) -> pd.DataFrame:
+    """(through, n, alpha, t): spanning of all rows up to the last one of each year, for years that end at row `first` or later."""
+    d = frame.dropna(subset=[y, *factors]).reset_index(drop=True)
+    years = pd.to_datetime(d[order]).dt.year if len(d) else pd.Series([], dtype=int)
+    rows = []
+    for year in sorted(years.unique()):
+        n = int((years <= year).sum())
+        if n >= first:
+            out = spanning(d.iloc[:n], y, factors, lags)
+            rows.append((int(year), n, out["alpha"], out["t"]))
+    return pd.DataFrame(rows, columns=["through", "n", "alpha", "t"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,14 +57,41 @@ def split_sample(df: DataFrame, period: Sequence[str], by_column: str, measure:
     return quantile_sort(d, [*period, "above"], measure, ret, by, n).select(*period, "above", "LS")
 
 
-def seed_averaged(df: DataFrame, period: Sequence[str], measure: str, ret: str, by: str, n: int = 5, seeds: int = 25) -> DataFrame:
-    """Long-short with random ties, averaged over seeds: each row once per seed, all seeds in one plan."""
-    ok = df.filter(is_finite(measure) & is_finite(ret)).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
-    keys = [*period, "seed"]
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(F.col(measure), F.xxhash64("seed", by), F.col(by)))
-    binned = ok.withColumn("bin", F.floor((rank * n + F.count("*").over(w) - 1) / F.count("*").over(w)).cast("int"))
-    return long_short(bin_returns(binned, keys, ret), keys, n).groupBy(*period).agg(F.avg("LS").alias("LS"))
+def seed_averaged(df: DataFrame, period: Sequence[str], measure: str, ret: str, by: str, n: int = 5, seeds: int = 25, order: Callable[[Column, str], Column] | None = None) -> DataFrame:
+    """Long-short with random ties, averaged over seeds. order: the random order of a seed and an identifier, by default a hash.
+
+    Only rows that share their value with others are looked at once per seed: what the others add to a bin is the same for every seed.
+    """
+    order = order or (lambda seed, name: F.xxhash64(seed, F.col(name)))
+    ok = df.filter(is_finite(measure) & is_finite(ret)).select(*period, F.col(measure).alias("_x"), F.col(ret).alias("_y"), by)
+    everyone = Window.partitionBy(*period)
+    ranked = ok.withColumns({"_less": F.rank().over(everyone.orderBy("_x")) - 1, "_n": F.count("*").over(everyone), "_same": F.count("*").over(Window.partitionBy(*period, "_x"))})
+    bin_of = lambda rank: F.floor((rank * n + F.col("_n") - 1) / F.col("_n")).cast("int")
+    seed = F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")
+    alone = ranked.filter("_same = 1").withColumn("bin", bin_of(F.col("_less") + 1)).groupBy(*period, "bin").agg(F.sum("_y").alias("s"), F.count("*").alias("c")).select(*period, "bin", "s", "c", seed)
+    tied = ranked.filter("_same > 1").select("*", seed)
+    place = F.row_number().over(Window.partitionBy(*period, "seed", "_x").orderBy(order(F.col("seed"), by), F.col(by)))
+    placed = tied.withColumn("bin", bin_of(F.col("_less") + place)).groupBy(*period, "seed", "bin").agg(F.sum("_y").alias("s"), F.count("*").alias("c"))
+    cells = alone.unionByName(placed).groupBy(*period, "seed", "bin").agg((F.sum("s") / F.sum("c")).alias("ret"))
+    return long_short(cells, [*period, "seed"], n).groupBy(*period).agg(F.avg("LS").alias("LS"))
+
+
+def reversal(df: DataFrame, key: str, period: str, ret: str, n: int = 5) -> DataFrame:
+    """(period, REV): losers minus winners of the month before, equal weights; a gap in a key's months gives no last month. One row per key
+    and month."""
+    w = Window.partitionBy(key).orderBy(period)
+    gap = F.months_between(F.trunc(F.col(period), "month"), F.trunc(F.lag(period).over(w), "month"))
+    d = df.select(key, period, ret).withColumn("_prev", F.when(gap == 1, F.lag(ret).over(w)))
+    return quantile_sort(d, [period], "_prev", ret, key, n).select(period, (-F.col("LS")).alias("REV")).filter("REV IS NOT NULL")
+
+
+def reconcile(df: DataFrame, period: str, measure: str, first: str, second: str, by: str, n: int = 5) -> DataFrame:
+    """(period, first, second, gap): long-short of the same rows by two sources of the same return; rows need a finite measure and both."""
+    ok = df.filter(is_finite(measure) & is_finite(first) & is_finite(second))
+    b = bins(ok, [period], measure, n, "first", by)
+    ls = lambda c: F.avg(F.when(F.col("bin") == n, F.col(c))) - F.avg(F.when(F.col("bin") == 1, F.col(c)))
+    both = b.groupBy(period).agg(ls(first).alias("first"), ls(second).alias("second"), F.count("*").alias("n"))
+    return both.withColumn("gap", F.col("first") - F.col("second"))
 
 
 def composite(series: DataFrame, period: str, part: str, value: str, weight: str | None = None) -> DataFrame:

@@ -140,3 +140,50 @@ def compare(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str, tol
     d = F.col("new") - F.col("old")
     status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.abs(d) <= tolerance, "same").otherwise("changed")
     return j.select(*keys, "old", "new", d.alias("diff"), status.alias("status"))
+
+
+def blind(df: DataFrame, key: str, hidden: Sequence[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(sheet, answers): the rows in a pseudo-random order under a number rater_id, without the `hidden` columns; and (rater_id, key, hidden) to
+    join them back. A sheet is what people read, so it is short: its numbering is one window."""
+    numbered = df.withColumn("rater_id", F.row_number().over(Window.orderBy(hash_order(key, seed), key)))
+    return numbered.drop(key, *hidden), numbered.select("rater_id", key, *hidden)
+
+
+def rate_by_bin(coded: DataFrame, bin: str, code: str, score: str) -> DataFrame:
+    """(bin, n, n_pos, pos_rate, percentile): share of rows coded 1 in each bin, and the bin's middle; uncoded rows don't count."""
+    ok = coded.filter(F.col(code).isNotNull())
+    return ok.groupBy(bin).agg(F.count("*").alias("n"), F.count_if(F.col(code) == 1).alias("n_pos"), F.avg((F.col(code) == 1).cast("double")).alias("pos_rate"), F.avg(score).alias("mean_score")).withColumn("percentile", F.when(F.col(bin) == 0, 0).otherwise(F.col(bin) * 10 - 5))
+
+
+def hit_strata(counts: DataFrame, dictionary: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_hits, stratum): many (two or more occurrences of found bigrams), one, seed (seeds only) or clean, of each sentence of counts."""
+    d = dictionary.select("bigram").distinct().withColumn("_d", F.lit(1))
+    s = seeds.select("bigram").distinct().withColumn("_s", F.lit(1))
+    x = counts.join(d, "bigram", "left").join(s, "bigram", "left")
+    hits = F.coalesce(F.sum(F.when(F.col("_d").isNotNull() & F.col("_s").isNull(), F.col("n"))), F.lit(0))
+    per = x.groupBy(*keys).agg(hits.alias("n_hits"), F.count("_s").alias("_k"))
+    return per.select(*keys, "n_hits", F.when(F.col("n_hits") >= 2, "many").when(F.col("n_hits") == 1, "one").when(F.col("_k") > 0, "seed").otherwise("clean").alias("stratum"))
+
+
+def call_strata(hits: DataFrame, totals: DataFrame, document: str, least: int = 2) -> DataFrame:
+    """(document, h, geo): 1 with at least `least` hits, 0 without any, null between. hits: (document, n) rows; totals: (document, ...)."""
+    h = hits.groupBy(document).agg(F.sum("n").alias("h"))
+    out = totals.select(document).distinct().join(h, document, "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    return out.withColumn("geo", F.when(F.col("h") >= least, 1).when(F.col("h") == 0, 0))
+
+
+def excerpts(hits: DataFrame, sentences: DataFrame, keys: Sequence[str], text: str, top: int = 6, chars: int = 800) -> DataFrame:
+    """(document, excerpt): the `top` sentences of a document with most hits, in order of the text, joined and cut to `chars` characters, which
+    is what a rater is shown. keys: document and sentence; hits: (keys, n). The sentences are cut to the best before they are gathered."""
+    document, sentence = keys
+    per = hits.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    best = per.withColumn("_r", F.row_number().over(Window.partitionBy(document).orderBy(F.col("_n").desc(), sentence))).filter(F.col("_r") <= top)
+    rows = best.join(sentences.select(*keys, text), list(keys))
+    return rows.groupBy(document).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(sentence, text))), lambda x: x[text]), " "), 1, chars).alias("excerpt"))
+
+
+def model_cost(tiers: DataFrame, items: float, instances: int) -> DataFrame:
+    """tiers (tier, seconds per item, accelerators per model) with hours and days that `items` would take on `instances` accelerators."""
+    side_by_side = F.greatest(F.lit(1), F.floor(F.lit(instances) / F.greatest(F.col("gpus"), F.lit(1))))
+    hours = F.col("s_item") * items / 3600
+    return tiers.withColumns({"instances": side_by_side.cast("int"), "gpu_hours": hours, "wall_days": hours / side_by_side / 24})

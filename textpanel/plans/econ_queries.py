@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import is_finite
+from ..functions.numeric import finite, is_finite
 from ..operators import events, regress, series, sorts, validate
 from ..sources.tables import table
 from .panel_queries import EVM, FQ, HELD, MRET, SORT, _wide, daily, firm_quarters, held, monthly
 from .registry import SQL, query, r6, rounded
-from .text_queries import detected_language
+from .text_queries import _tail, detected_language
 
 LEAST = 30
 
@@ -51,10 +51,65 @@ def fama_macbeth(spark: SparkSession, d: str) -> DataFrame:
     return x.select("n", r6("mean").alias("mean"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
 
 
-@query()
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    parts = []
+    for j, x in enumerate(m[0]):
+        minor = [[v for i, v in enumerate(row) if i != j] for row in m[1:]]
+        parts.append(f"{'-' if j % 2 else '+'} ({x}) * ({_det(minor)})")
+    return " ".join(parts)
+
+
+def _solution(c: list[list[str]], y: list[str]) -> list[str]:
+    """SQL of the solution of a linear system, by determinants."""
+    whole = _det(c)
+    return [f"(({_det([[y[r] if j == i else v for j, v in enumerate(row)] for r, row in enumerate(c)])}) / nullif(({whole}), 0))" for i in range(len(y))]
+
+
+def _moments(y: str, xs: list[str]) -> str:
+    """SQL aggregates c<i>_<j> and cy<i>: population covariances."""
+    k = range(len(xs))
+    return ", ".join([f"covar_pop({xs[i]}, {xs[j]}) AS c{i}_{j}" for i in k for j in k if j <= i] + [f"covar_pop({y}, {xs[i]}) AS cy{i}" for i in k])
+
+
+def _slopes(k: int) -> list[str]:
+    return _solution([[f"c{max(i, j)}_{min(i, j)}" for j in range(k)] for i in range(k)], [f"cy{i}" for i in range(k)])
+
+
+def _z(c: str) -> str:
+    f = f"CASE WHEN isfinite({c}) THEN {c} END"
+    return f"({f} - avg({f}) OVER (PARTITION BY Month)) / nullif(stddev_samp({f}) OVER (PARTITION BY Month), 0)"
+
+
+CONTROLS = ["GeoExposure", "GeoRisk", "GeoSentiment"]
+
+
+def _fm(src: str, y: str, xs: list[str]) -> str:
+    """CTEs up to nw: Fama-MacBeth of y on standardised xs of src."""
+    z = ", ".join(f"{_z(x)} AS z{i}" for i, x in enumerate(xs))
+    ok = " AND ".join([f"isfinite({y})", *[f"z{i} IS NOT NULL" for i in range(len(xs))]])
+    long = " UNION ALL ".join(f"SELECT Month, '{x}' AS regressor, b{i} AS b FROM sl" for i, x in enumerate(xs))
+    slopes = ", ".join(f"{b} AS b{i}" for i, b in enumerate(_slopes(len(xs))))
+    return f"zs AS (SELECT Month, {y}, {z} FROM {src}), zo AS (SELECT * FROM zs WHERE {ok}), mo AS (SELECT Month, {_moments(y, [f'z{i}' for i in range(len(xs))])} FROM zo GROUP BY 1 HAVING count(*) >= {LEAST}), sl AS (SELECT Month, {slopes} FROM mo), lg AS ({long}), {_nw('lg', 'Month', 'b', 4, 'regressor')}"
+
+
+@query(f"WITH {HELD}, {_fm('he', 'ret', CONTROLS)} SELECT regressor, n, round(mean, 6) + 0.0 AS mean, round(t, 4) + 0.0 AS t FROM nw")
 def fama_macbeth_controls(spark: SparkSession, d: str) -> DataFrame:
-    """With three regressors, solved in batches."""
-    return rounded(regress.fama_macbeth(held(spark, d), "Month", "ret", ["GeoExposure", "GeoRisk", "GeoSentiment"], 4, LEAST), "mean", "t")
+    """E5: with three regressors, solved in batches."""
+    x = regress.fama_macbeth(held(spark, d), "Month", "ret", CONTROLS, 4, LEAST)
+    return x.select("regressor", "n", r6("mean").alias("mean"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
+
+
+LAGGED = f"{HELD}, lr AS (SELECT permno, Month AS m0, ret AS last FROM mr), hl AS (SELECT he.*, last FROM he LEFT JOIN lr ON lr.permno = he.permno AND lr.m0 + INTERVAL 1 MONTH = he.Month)"
+
+
+@query(f"WITH {LAGGED}, {_fm('hl', 'ret', ['GeoExposure', 'last'])} SELECT regressor, n, round(mean, 6) + 0.0 AS mean, round(t, 4) + 0.0 AS t FROM nw")
+def pead_control(spark: SparkSession, d: str) -> DataFrame:
+    """Fama-MacBeth with the return of the month before as a control, which a gap leaves null."""
+    last = monthly(spark, d).select("permno", F.add_months("Month", 1).alias("Month"), F.col("ret").alias("last"))
+    x = regress.fama_macbeth(held(spark, d).join(last, ["permno", "Month"], "left"), "Month", "ret", ["GeoExposure", "last"], 4, LEAST)
+    return x.select("regressor", "n", r6("mean").alias("mean"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
 
 
 def factor_series(spark: SparkSession, d: str) -> DataFrame:
@@ -67,41 +122,124 @@ def factor_series(spark: SparkSession, d: str) -> DataFrame:
     return ls.join(mk, "Month").join(smb, "Month")
 
 
-@query()
+SERIES = f"{SORT}, {_wide('bn', 'Month', 'avg(ret)')}, mkt AS (SELECT Month, avg(ret) AS mkt FROM mr GROUP BY 1), cb AS (SELECT *, (row_number() OVER (PARTITION BY Month ORDER BY cap, permno) * 3 + count(*) OVER (PARTITION BY Month) - 1) // count(*) OVER (PARTITION BY Month) AS bin FROM mr WHERE isfinite(cap)), sm AS (SELECT Month, avg(ret) FILTER (bin = 1) - avg(ret) FILTER (bin = 3) AS smb FROM cb GROUP BY 1), fs AS (SELECT Month, LS, mkt, smb FROM ls JOIN mkt USING (Month) JOIN sm USING (Month) WHERE LS IS NOT NULL AND mkt IS NOT NULL AND smb IS NOT NULL)"
+
+
+def _hac_t(name: str, src: str, b: str, r: str, k: int, lags: int = 4) -> str:
+    """CTEs up to t<name> (t, n): HAC t of coefficient b, with r what is left of its regressor after the others and e the residual of src."""
+    ls = ", ".join(f"sum(u * l{i}) AS g{i}" for i in range(1, lags + 1))
+    la = ", ".join(f"lag(u, {i}) OVER (ORDER BY Month) AS l{i}" for i in range(1, lags + 1))
+    total = "g0 + " + " + ".join(f"2 * {1 - i / (lags + 1)!r} * coalesce(g{i}, 0)" for i in range(1, lags + 1))
+    return f"u{name} AS (SELECT Month, ({r}) AS r, ({r}) * e AS u, {b} AS b FROM {src}), v{name} AS (SELECT *, {la} FROM u{name}), w{name} AS (SELECT any_value(b) AS b, count(*) AS n, sum(r * r) AS rr, sum(u * u) AS g0, {ls} FROM v{name}), t{name} AS (SELECT b, b / sqrt(({total}) / (rr * rr) * n / (n - {k})) AS t, n FROM w{name})"
+
+
+_SPAN = f"""{SERIES}, mm AS (SELECT avg(LS) AS my, avg(mkt) AS m0, avg(smb) AS m1, {_moments("LS", ["mkt", "smb"])}, count(*) AS n, sum(mkt * mkt) AS q00, sum(mkt * smb) AS q01, sum(smb * smb) AS q11, sum(mkt) AS s0, sum(smb) AS s1 FROM fs),
+bb AS (SELECT *, {_slopes(2)[0]} AS b0, {_slopes(2)[1]} AS b1, {_solution([["q00", "q01"], ["q01", "q11"]], ["s0", "s1"])[0]} AS a0, {_solution([["q00", "q01"], ["q01", "q11"]], ["s0", "s1"])[1]} AS a1 FROM mm),
+ee AS (SELECT fs.*, bb.*, my - b0 * m0 - b1 * m1 AS alpha, LS - (my - b0 * m0 - b1 * m1) - b0 * mkt - b1 * smb AS e FROM fs, bb)"""
+_TS = ", ".join([_hac_t("a", "ee", "alpha", "1 - a0 * mkt - a1 * smb", 3), _hac_t("m", "ee", "b0", "(mkt - m0) - c1_0 / c1_1 * (smb - m1)", 3), _hac_t("s", "ee", "b1", "(smb - m1) - c1_0 / c0_0 * (mkt - m0)", 3)])
+
+
+@query(
+    f"WITH {_SPAN}, {_TS}, r2 AS (SELECT 1 - sum(e * e) / sum((LS - my) * (LS - my)) AS r2 FROM ee) SELECT stat, round(value, 6) + 0.0 AS value FROM (SELECT 'alpha' AS stat, b AS value FROM ta UNION ALL SELECT 't', t FROM ta UNION ALL SELECT 'r2', r2 FROM r2 UNION ALL SELECT 'n', n FROM ta UNION ALL SELECT 'beta_mkt', b FROM tm UNION ALL SELECT 't_mkt', t FROM tm UNION ALL SELECT 'beta_smb', b FROM ts UNION ALL SELECT 't_smb', t FROM ts)"
+)
 def factor_spanning(spark: SparkSession, d: str) -> DataFrame:
-    """Alpha and loadings of the long-short series on two factors, HAC t."""
+    """Alpha and loadings of the long-short series on two factors, HAC t."""
     out = series.spanning(series.local(factor_series(spark, d), "Month"), "LS", ["mkt", "smb"], 4)
-    return spark.createDataFrame([(k, float(v)) for k, v in out.items()], "stat string, value double")
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in out.items()], "stat string, value double"), "value")
 
 
-@query()
+_UNI = ", ".join(f"x{f} AS (SELECT Month, LS, {f} AS x, avg(LS) OVER () AS my, avg({f}) OVER () AS mx, covar_pop(LS, {f}) OVER () / var_pop({f}) OVER () AS b FROM fs), e{f} AS (SELECT Month, x - mx AS d, b, (LS - my) - b * (x - mx) AS e FROM x{f}), {_hac_t(f, f'e{f}', 'b', 'd', 2)}" for f in ("mkt", "smb"))
+
+
+@query(f"WITH {SERIES}, {_UNI} SELECT 'mkt' AS factor, round(b, 6) + 0.0 AS beta, round(t, 4) + 0.0 AS t, n FROM tmkt UNION ALL SELECT 'smb', round(b, 6) + 0.0, round(t, 4) + 0.0, n FROM tsmb")
+def factor_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """The loading on each factor alone."""
+    out = series.loadings(series.local(factor_series(spark, d), "Month"), "LS", ["mkt", "smb"])
+    x = spark.createDataFrame([(f, float(b), float(t), int(n)) for f, b, t, n in out.itertuples(index=False)], "factor string, beta double, t double, n bigint")
+    return x.select("factor", r6("beta").alias("beta"), (F.round("t", 4) + F.lit(0.0)).alias("t"), "n")
+
+
+_PRE = "ORDER BY Month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_WIN = ", ".join(f"{x.rsplit(' AS ', 1)[0]} OVER ({_PRE}) AS {x.rsplit(' AS ', 1)[1]}" for x in _moments("LS", ["mkt", "smb"]).split(", c") for x in [x if x.startswith("covar") else "c" + x])
+WALK = f"{SERIES}, wa AS (SELECT Month, LS, mkt, smb, row_number() OVER (ORDER BY Month) AS i, {_WIN} FROM fs), oo AS (SELECT Month, LS - {_slopes(2)[0]} * mkt - {_slopes(2)[1]} * smb AS oos FROM wa WHERE i > 36)"
+
+
+@query(f"WITH {WALK} SELECT CAST(Month AS VARCHAR) AS month, round(oos, 6) + 0.0 AS oos FROM oo")
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Returns less the factor part that earlier months imply."""
+    """Returns less the factor part that earlier months imply."""
     f = series.walk_forward(series.local(factor_series(spark, d), "Month"), "LS", ["mkt", "smb"], 36)
     rows = [(str(r.Month), float(r.oos)) for r in f.itertuples() if r.oos == r.oos]
-    return spark.createDataFrame(rows, "month string, oos double")
+    return rounded(spark.createDataFrame(rows, "month string, oos double"), "oos")
+
+
+@query(f"WITH {WALK}, {_nw('oo', 'Month', 'oos', 4)} SELECT n, round(mean, 6) + 0.0 AS mean, round(t, 4) + 0.0 AS t FROM nw")
+def walk_forward_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the walk-forward series with its HAC t."""
+    x = series.mean_newey_west(walk_forward(spark, d), [], "month", "oos", 4)
+    return x.select("n", r6("mean").alias("mean"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
+
+
+@query(f"WITH {SERIES}, ye AS (SELECT DISTINCT year(Month)::INTEGER AS through FROM fs), pr AS (SELECT through, avg(LS) AS my, avg(mkt) AS m0, avg(smb) AS m1, {_moments('LS', ['mkt', 'smb'])}, count(*) AS n FROM ye JOIN fs ON year(Month) <= through GROUP BY 1 HAVING count(*) >= 36) SELECT through, n, round(my - {_slopes(2)[0]} * m0 - {_slopes(2)[1]} * m1, 6) + 0.0 AS alpha FROM pr")
+def expanding_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """Alpha of all months up to each year's end."""
+    out = series.expanding_alpha(series.local(factor_series(spark, d), "Month"), "Month", "LS", ["mkt", "smb"])
+    return rounded(spark.createDataFrame([(int(y), int(n), float(a)) for y, n, a, _ in out.itertuples(index=False)], "through int, n bigint, alpha double"), "alpha")
 
 
 @query()
 def panel_fe_twoway(spark: SparkSession, d: str) -> DataFrame:
-    """Firm and month effects, errors clustered by both."""
+    """Firm and month effects, errors clustered by both."""
     from .storage import stored
 
     out = regress.two_way_fe(held(spark, d), "permno", "Month", "ret", ["GeoExposure", "GeoSentiment"], store=stored)
     return spark.createDataFrame([(x, v["b"], v["t"], v["n"]) for x, v in out.items()], "regressor string, b double, t double, n bigint")
 
 
+@query(
+    f"WITH {HELD}, ok AS (SELECT permno, Month, ret, GeoExposure AS x0, GeoSentiment AS x1 FROM he WHERE isfinite(ret) AND isfinite(GeoExposure) AND isfinite(GeoSentiment)), dm AS (SELECT permno, ret - avg(ret) OVER w AS y, x0 - avg(x0) OVER w AS x0, x1 - avg(x1) OVER w AS x1 FROM ok WINDOW w AS (PARTITION BY Month)), sm AS (SELECT sum(x0 * x0) AS c0_0, sum(x1 * x0) AS c1_0, sum(x1 * x1) AS c1_1, sum(y * x0) AS cy0, sum(y * x1) AS cy1, count(*) AS n FROM dm), be AS (SELECT *, {_slopes(2)[0]} AS b0, {_slopes(2)[1]} AS b1, c0_0 * c1_1 - c1_0 * c1_0 AS det, (SELECT count(DISTINCT Month) FROM ok) AS np FROM sm), u AS (SELECT permno, sum(dm.x0 * (y - b0 * dm.x0 - b1 * dm.x1)) AS u0, sum(dm.x1 * (y - b0 * dm.x0 - b1 * dm.x1)) AS u1 FROM dm, be GROUP BY 1), me AS (SELECT count(*) AS g, sum(u0 * u0) AS s00, sum(u0 * u1) AS s01, sum(u1 * u1) AS s11 FROM u), fa AS (SELECT *, g::DOUBLE / (g - 1) * (n - 1) / (n - 2 - np) AS f FROM me, be) SELECT 'GeoExposure' AS regressor, round(b0, 6) + 0.0 AS b, round(b0 / sqrt(f * (c1_1 * c1_1 * s00 - 2 * c1_1 * c1_0 * s01 + c1_0 * c1_0 * s11) / det / det), 4) + 0.0 AS t, n FROM fa UNION ALL SELECT 'GeoSentiment', round(b1, 6) + 0.0, round(b1 / sqrt(f * (c1_0 * c1_0 * s00 - 2 * c1_0 * c0_0 * s01 + c0_0 * c0_0 * s11) / det / det), 4) + 0.0, n FROM fa"
+)
+def panel_fe_time(spark: SparkSession, d: str) -> DataFrame:
+    """Month effects only, errors clustered by firm."""
+    x = regress.time_fe(held(spark, d), "permno", "Month", "ret", ["GeoExposure", "GeoSentiment"])
+    return x.select("regressor", r6("b").alias("b"), (F.round("t", 4) + F.lit(0.0)).alias("t"), "n")
+
+
+@query(f"WITH {MRET}, lg AS (SELECT *, CASE WHEN lag(Month) OVER w + INTERVAL 1 MONTH = Month THEN lag(ret) OVER w END AS prev FROM mr WINDOW w AS (PARTITION BY permno ORDER BY Month)), pb AS (SELECT Month, ret, (row_number() OVER (PARTITION BY Month ORDER BY prev, permno) * 5 + count(*) OVER (PARTITION BY Month) - 1) // count(*) OVER (PARTITION BY Month) AS bin FROM lg WHERE prev IS NOT NULL) SELECT Month, round(avg(ret) FILTER (bin = 1) - avg(ret) FILTER (bin = 5), 12) + 0.0 AS REV FROM pb GROUP BY 1 HAVING avg(ret) FILTER (bin = 1) - avg(ret) FILTER (bin = 5) IS NOT NULL")
+def reversal_factor(spark: SparkSession, d: str) -> DataFrame:
+    """Losers minus winners of the month before."""
+    return rounded(sorts.reversal(monthly(spark, d), "permno", "Month", "ret"), "REV", digits=12)
+
+
+NAMED = f"""nq AS (SELECT permno, CAST(date_trunc('quarter', Month) AS DATE) AS Quarter, product(1 + ret) - 1 AS r1 FROM mr GROUP BY 1, 2 HAVING count(ret) >= 3), nm AS (SELECT upper(trim(comnam)) AS name, min(permno) AS permno FROM crsp_names WHERE permno IS NOT NULL AND comnam IS NOT NULL GROUP BY 1 HAVING count(DISTINCT permno) = 1),
+pn AS (SELECT upper(trim(companyName)) AS name, CAST(Quarter AS DATE) AS Quarter, min(QuarterlyRet) AS r2, min(MCap_QEnd) FILTER (isfinite(MCap_QEnd)) AS size FROM panel_ric WHERE companyName IS NOT NULL AND isfinite(QuarterlyRet) GROUP BY 1, 2),
+bo AS (SELECT permno, Quarter, any_value(r1) AS r1, min(r2) AS r2, min(size) AS size FROM pn JOIN nm USING (name) JOIN nq USING (permno, Quarter) GROUP BY 1, 2), bz AS (SELECT *, (row_number() OVER (PARTITION BY Quarter ORDER BY size, permno) * 3 + count(*) OVER (PARTITION BY Quarter) - 1) // count(*) OVER (PARTITION BY Quarter) AS bin FROM bo WHERE size IS NOT NULL)"""
+
+
+@query(f"WITH {MRET}, {NAMED} SELECT Quarter, round(avg(r1) FILTER (bin = 3) - avg(r1) FILTER (bin = 1), 9) + 0.0 AS first, round(avg(r2) FILTER (bin = 3) - avg(r2) FILTER (bin = 1), 9) + 0.0 AS second, count(*) AS n, round(avg(r1) FILTER (bin = 3) - avg(r1) FILTER (bin = 1) - (avg(r2) FILTER (bin = 3) - avg(r2) FILTER (bin = 1)), 9) + 0.0 AS gap FROM bz GROUP BY 1")
+def source_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """The same firms' long-short by two vendors' returns; firms are matched by a name that only one security has."""
+    from ..operators import panel
+
+    m = monthly(spark, d)
+    nq = panel.quarterly(m, "permno", "Month", "ret", "cap", 3).select("permno", "Quarter", F.col("RetQ").alias("r1"))
+    nm = table(spark, d, "crsp_names", "permno", "comnam").filter("permno IS NOT NULL AND comnam IS NOT NULL").groupBy(F.upper(F.trim("comnam")).alias("name")).agg(F.min("permno").alias("permno"), F.countDistinct("permno").alias("k")).filter("k = 1").drop("k")
+    p = table(spark, d, "panel_ric", "companyName", "Quarter", "QuarterlyRet", "MCap_QEnd").filter(F.col("companyName").isNotNull() & is_finite("QuarterlyRet"))
+    pn = p.groupBy(F.upper(F.trim("companyName")).alias("name"), F.col("Quarter").cast("date").alias("Quarter")).agg(F.min("QuarterlyRet").alias("r2"), F.min(finite("MCap_QEnd")).alias("size"))
+    both = pn.join(nm, "name").join(nq, ["permno", "Quarter"]).groupBy("permno", "Quarter").agg(F.min("r1").alias("r1"), F.min("r2").alias("r2"), F.min("size").alias("size"))
+    return rounded(sorts.reconcile(both, "Quarter", "size", "r1", "r2", "permno", 3).select("Quarter", "first", "second", "n", "gap"), "first", "second", "gap", digits=9)
+
+
 MK = f"{MRET}, mk AS (SELECT Month, avg(ret) AS mkt FROM mr GROUP BY 1), jm AS (SELECT mr.*, mkt FROM mr JOIN mk USING (Month))"
 
 
 @query(
-    f"WITH {MK}, m AS (SELECT *, avg(ret) OVER (PARTITION BY permno) AS mr0, avg(mkt) OVER (PARTITION BY permno) AS mm0 FROM jm), g AS (SELECT permno, count(*) AS n, regr_slope(ret, mkt) AS beta, covar_samp(ret, mkt) FILTER (mkt < mm0) / var_samp(mkt) FILTER (mkt < mm0) AS dn FROM m GROUP BY 1 HAVING count(*) >= 24) SELECT permno, n, round(beta, 4) + 0.0 AS beta, round(dn, 4) + 0.0 AS downside_beta FROM g"
+    f"WITH {MK}, m AS (SELECT *, avg(ret) OVER (PARTITION BY permno) AS mr0, avg(mkt) OVER (PARTITION BY permno) AS mm0, avg(mkt) OVER () AS gm FROM jm), g AS (SELECT permno, count(*) AS n, regr_slope(ret, mkt) AS beta, CASE WHEN var_samp(mkt) FILTER (mkt < gm) > 0 THEN covar_samp(ret, mkt) FILTER (mkt < gm) / var_samp(mkt) FILTER (mkt < gm) END AS dn, avg((ret - mr0) * (mkt - mm0) * (mkt - mm0)) / nullif(stddev_samp(ret), 0) / nullif(var_samp(mkt), 0) AS ck FROM m GROUP BY 1 HAVING count(*) >= 24) SELECT permno, n, round(beta, 4) + 0.0 AS beta, round(dn, 4) + 0.0 AS downside_beta, round(ck, 4) + 0.0 AS coskew FROM g"
 )
 def downside_beta(spark: SparkSession, d: str) -> DataFrame:
-    """Beta in months below the mean market return."""
+    """Beta in months below the mean market return of the whole sample, and co-skewness."""
     m = monthly(spark, d)
     x = regress.downside_beta(m.join(m.groupBy("Month").agg(F.avg("ret").alias("mkt")), "Month"), ["permno"], "ret", "mkt", 24)
-    return x.select("permno", "n", (F.round("beta", 4) + F.lit(0.0)).alias("beta"), (F.round("downside_beta", 4) + F.lit(0.0)).alias("downside_beta"))
+    return x.select("permno", "n", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("beta", "downside_beta", "coskew")])
 
 
 @query(f"WITH {MK}, g AS (SELECT permno, count(*) AS n, regr_slope(ret, mkt) AS b, regr_syy(ret, mkt) AS yy, regr_sxy(ret, mkt) AS xy FROM jm GROUP BY 1 HAVING count(*) >= 12) SELECT permno, n, round(sqrt(greatest(yy - b * xy, 0) / (n - 1)), 6) + 0.0 AS ivol FROM g")
@@ -155,12 +293,14 @@ def market_model(spark: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", "n", r6("alpha").alias("alpha"), (F.round("beta", 4) + F.lit(0.0)).alias("beta"))
 
 
-@query()
+@query(
+    f"WITH {ANC}, ew AS (SELECT event_id, ret, m, m * m AS m2 FROM an JOIN ix ON ix.user_id = an.user_id AND ix.ti BETWEEN t0 - 12 AND t0 - 4), em AS (SELECT event_id, count(*) AS n, avg(ret) AS my, avg(m) AS x0, avg(m2) AS x1, {_moments('ret', ['m', 'm2'])} FROM ew GROUP BY 1 HAVING count(*) >= 5) SELECT event_id, n, round(my - {_slopes(2)[0]} * x0 - {_slopes(2)[1]} * x1, 4) + 0.0 AS alpha FROM em"
+)
 def event_factor_model(spark: SparkSession, d: str) -> DataFrame:
     """Two factors per event, solved in batches."""
     a, ix, _ = study(spark, d)
     x = ix.withColumn("m2", F.col("m") * F.col("m"))
-    return events.factor_model(a, x, "user_id", "event_id", "ret", ["m", "m2"], -12, -4, 5).select("event_id", "n", F.transform("coef", lambda c: F.round(c, 6)).alias("coef"))
+    return events.factor_model(a, x, "user_id", "event_id", "ret", ["m", "m2"], -12, -4, 5).select("event_id", "n", (F.round(F.get("coef", F.lit(0)), 4) + F.lit(0.0)).alias("alpha"))
 
 
 GRP = "gp AS (SELECT event_id, (value > 25)::INTEGER AS g FROM pe)"
@@ -216,25 +356,26 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {FQ}, ok AS (SELECT year(form)::INTEGER AS yr, GeoExposure AS a, GeoRisk AS b FROM fq WHERE isfinite(GeoExposure) AND isfinite(GeoRisk)), r AS (SELECT *, rank() OVER (PARTITION BY yr ORDER BY a) + (count(*) OVER (PARTITION BY yr, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY yr ORDER BY b) + (count(*) OVER (PARTITION BY yr, b) - 1) / 2 AS rb FROM ok) SELECT yr, count(*) AS n, round(corr(a, b), 6) + 0.0 AS pearson, round(corr(ra, rb), 6) + 0.0 AS spearman FROM r GROUP BY 1"
 )
 def correlations(spark: SparkSession, d: str) -> DataFrame:
-    """Pearson and Spearman of two measures by year."""
+    """A10, V9: Pearson and Spearman of two measures by year."""
     q = firm_quarters(spark, d).withColumn("yr", F.year("form"))
     return rounded(validate.correlations(q, "GeoExposure", "GeoRisk", ["yr"]), "pearson", "spearman")
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY ((doc_id % 2147483647) * 48271 + 7) % 2147483647, doc_id)::INTEGER AS draw FROM documents QUALIFY draw <= 5")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    """V1, V7: five documents of each source in pseudo-random order."""
+    """V1: five documents of each source in pseudo-random order."""
     return validate.stratified(table(spark, d, "documents", "doc_id", "source"), ["source"], "doc_id", 5, 7).select("source", "doc_id", "draw")
 
 
-PV = f"{HELD}, gs AS (SELECT Month, regr_slope(ret, GeoExposure) AS b, count(*) AS n, corr(ret, GeoExposure) AS c FROM he WHERE isfinite(GeoExposure) GROUP BY 1 HAVING count(*) >= {LEAST}), pv AS (SELECT Month, round(1 - abs(c), 6) AS p FROM gs)"
+PV = f"{HELD}, gs AS (SELECT Month, regr_r2(ret, GeoExposure) AS r2, count(*) AS n FROM he WHERE isfinite(GeoExposure) GROUP BY 1 HAVING count(*) >= {LEAST}), tv AS (SELECT Month, round(sqrt(r2 * (n - 2) / (1 - r2)), 6) AS t FROM gs), pv AS (SELECT Month, t, round({_tail('t * t')}, 9) AS p FROM tv)"
 
 
-@query(f"WITH {PV}, r AS (SELECT *, row_number() OVER (ORDER BY p, Month) AS k, count(*) OVER () AS m FROM pv), q AS (SELECT *, p * m / k AS q0 FROM r) SELECT Month, p, round(least(min(q0) OVER (ORDER BY p DESC, Month DESC), 1), 6) + 0.0 AS q FROM q")
+@query(f"WITH {PV}, r AS (SELECT *, row_number() OVER (ORDER BY p, Month) AS k, count(*) OVER () AS m FROM pv), q AS (SELECT *, p * m / k AS q0 FROM r) SELECT Month, t, round(p, 6) + 0.0 AS p, round(least(min(q0) OVER (ORDER BY p DESC, Month DESC), 1), 6) + 0.0 AS q, (t > 3)::INTEGER AS clears_three FROM q")
 def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
-    """False discovery rate over months (with 1 - |correlation| in the place of p)."""
-    g = regress.slopes(held(spark, d), ["Month"], "ret", "GeoExposure", LEAST).select("Month", F.round(1 - F.sqrt("r2"), 6).alias("p"))
-    return rounded(validate.bh_fdr(g, "p", ["Month"]), "q")
+    """False discovery rate over months of the slopes' p, and whether the t clears 3."""
+    g = regress.slopes(held(spark, d), ["Month"], "ret", "GeoExposure", LEAST).select("Month", F.round(F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2"))), 6).alias("t"))
+    p = validate.with_p(g, "t").withColumn("p", F.round("p", 9))
+    return rounded(validate.bh_fdr(p, "p", ["Month"]).withColumn("clears_three", (F.col("t") > 3).cast("int")), "p", "q")
 
 
 @query(f"WITH {HELD}, a AS (SELECT Month, sum(ret) AS v FROM he WHERE isfinite(GeoRisk) GROUP BY 1), b AS (SELECT Month, sum(ret) AS v FROM he WHERE isfinite(GeoExposure) AND siccd < 4000 GROUP BY 1) SELECT Month, round(a.v, 9) + 0.0 AS old, round(b.v, 9) + 0.0 AS new, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' WHEN abs(round(b.v - a.v, 6)) <= 0.005 THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (Month)")
@@ -263,3 +404,41 @@ def interval_stars(spark: SparkSession, d: str) -> DataFrame:
     x = series.mean_newey_west(ls, [], "Month", "LS", 6)
     i = sorts.interval("mean", "t")
     return x.select(r6(i["lo"]).alias("lo"), r6(i["hi"]).alias("hi"), i["clears"].alias("clears"), i["stars"].alias("stars"))
+
+
+CHG = f"{FQ}, tk AS (SELECT permno, year(form) * 4 + quarter(form) AS t, CASE WHEN isfinite(GeoExposure) THEN GeoExposure END AS a, CASE WHEN isfinite(GeoRisk) THEN GeoRisk END AS b FROM fq), ag AS (SELECT t, avg(a) AS a, avg(b) AS b FROM tk GROUP BY 1), ch AS (SELECT t, a, b, CASE WHEN t - lag(t, 4) OVER w = 4 THEN a - lag(a, 4) OVER w END AS da, CASE WHEN t - lag(t, 4) OVER w = 4 THEN b - lag(b, 4) OVER w END AS db FROM ag WINDOW w AS (ORDER BY t))"
+
+
+@query(f"WITH {CHG} SELECT 'level' AS kind, count(*) AS n, round(corr(a, b), 6) + 0.0 AS pearson FROM ch WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT 'change', count(*), round(corr(da, db), 6) + 0.0 FROM ch WHERE da IS NOT NULL AND db IS NOT NULL")
+def external_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """V8: two aggregate series, in levels and in changes over four quarters."""
+    from ..operators import panel
+
+    q = firm_quarters(spark, d).withColumn("t", F.year("form") * 4 + F.quarter("form")).groupBy("t").agg(F.avg(finite("GeoExposure")).alias("a"), F.avg(finite("GeoRisk")).alias("b")).withColumn("all", F.lit(1))
+    x = panel.diff_guarded(panel.diff_guarded(q, "all", "t", "a", 4, "da"), "all", "t", "b", 4, "db")
+    long = x.select(F.explode(F.array(F.struct(F.lit("level").alias("kind"), F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.lit("change").alias("kind"), F.col("da").alias("x"), F.col("db").alias("y")))).alias("s")).select("s.*")
+    return rounded(long.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson")), "pearson")
+
+
+AUD = f"{FQ}, q AS (SELECT form, quantile_cont(GeoExposure, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS b FROM fq WHERE isfinite(GeoExposure) AND GeoExposure <> 0 GROUP BY 1), de AS (SELECT permno, form, GeoExposure, GeoRisk, CAST(CASE WHEN GeoExposure = 0 THEN 0 WHEN isfinite(GeoExposure) THEN 1 + len(list_filter(b, lambda x: GeoExposure > x)) END AS INTEGER) AS decile FROM fq LEFT JOIN q USING (form)), co AS (SELECT *, (GeoRisk > 0.0005)::INTEGER AS code FROM de WHERE decile IS NOT NULL AND isfinite(GeoRisk))"
+
+
+@query(f"WITH {AUD} SELECT decile, count(*) AS n, count(*) FILTER (code = 1) AS n_pos, round(avg(code), 6) + 0.0 AS pos_rate, round(avg(GeoExposure), 9) + 0.0 AS mean_score, CASE WHEN decile = 0 THEN 0 ELSE decile * 10 - 5 END AS percentile FROM co GROUP BY 1")
+def audit_rates(spark: SparkSession, d: str) -> DataFrame:
+    """V7: rows shuffled and numbered without their score, coded (here by a rule), joined back to the key, share of positives by decile."""
+    x = validate.deciles_with_zero(firm_quarters(spark, d), "GeoExposure", 10, ["form"]).filter(F.col("decile").isNotNull() & is_finite("GeoRisk"))
+    sheet, key = validate.blind(x.withColumn("key", F.col("permno") * 1000 + F.year("form") * 4 + F.quarter("form")).select("key", "decile", "GeoExposure", "GeoRisk"), "key", ["decile", "GeoExposure"])
+    coded = sheet.select("rater_id", (F.col("GeoRisk") > 0.0005).cast("int").alias("code")).join(key, "rater_id")
+    out = validate.rate_by_bin(coded, "decile", "code", "GeoExposure")
+    return out.select(F.col("decile").cast("int").alias("decile"), "n", "n_pos", r6("pos_rate").alias("pos_rate"), (F.round("mean_score", 9) + F.lit(0.0)).alias("mean_score"), F.col("percentile").cast("int").alias("percentile"))
+
+
+TIERS = [("small", 0.12, 1), ("medium", 0.55, 2), ("large", 1.9, 4)]
+
+
+@query("WITH t AS (SELECT * FROM (VALUES {rows}) AS v(tier, s_item, gpus)), n AS (SELECT count(*) AS n FROM documents) SELECT tier, (8 // gpus)::INTEGER AS instances, round(s_item * n / 3600, 6) + 0.0 AS gpu_hours, round(s_item * n / 3600 / (8 // gpus) / 24, 6) + 0.0 AS wall_days FROM t, n".replace("{rows}", ", ".join(f"('{a}', {b}::DOUBLE, {c})" for a, b, c in TIERS)))
+def model_cost(spark: SparkSession, d: str) -> DataFrame:
+    """V4: hours and days that models of three sizes would take for every document on eight accelerators."""
+    n = table(spark, d, "documents", "doc_id").count()
+    x = validate.model_cost(spark.createDataFrame(TIERS, "tier string, s_item double, gpus int"), float(n), 8)
+    return rounded(x.select("tier", "instances", "gpu_hours", "wall_days"), "gpu_hours", "wall_days")

@@ -276,10 +276,13 @@ def split_sample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sorts.split_sample(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
 
 
-@query()
+@query(
+    f"WITH {HELD}, ok AS (SELECT * FROM he WHERE isfinite({MEAS}) AND isfinite(ret)), sd AS (SELECT ok.*, seed FROM ok, range(1, 26) AS r(seed)), b2 AS (SELECT *, (row_number() OVER (PARTITION BY Month, seed ORDER BY {MEAS}, ((permno::BIGINT % 2147483647) * 48271 + seed * 7919) % 104729, permno) * 5 + count(*) OVER (PARTITION BY Month, seed) - 1) // count(*) OVER (PARTITION BY Month, seed) AS bin FROM sd), br AS (SELECT Month, seed, avg(ret) FILTER (bin = 5) - avg(ret) FILTER (bin = 1) AS LS FROM b2 GROUP BY 1, 2) SELECT Month, round(avg(LS), 9) + 0.0 AS LS FROM br GROUP BY 1"
+)
 def seed_averaged(spark: SparkSession, d: str) -> DataFrame:
-    """Random ties, averaged over five seeds."""
-    return rounded(sorts.seed_averaged(held(spark, d), ["Month"], MEAS, "ret", "permno", seeds=5), "LS", digits=12)
+    """Random ties, averaged over 25 seeds; the order of a seed is arithmetic here, so that SQL can repeat it."""
+    order = lambda seed, by: ((F.col(by).cast("bigint") % 2147483647) * 48271 + seed * 7919) % 104729
+    return rounded(sorts.seed_averaged(held(spark, d), ["Month"], MEAS, "ret", "permno", order=order), "LS", digits=9)
 
 
 RP = f"rp AS (SELECT DISTINCT {RIC} AS ric, CAST(Quarter AS DATE) AS Quarter, QuarterlyRet AS r, Beta_CAPM AS b, MCap_QEnd AS cap FROM panel_ric WHERE {RIC} IS NOT NULL AND isfinite(QuarterlyRet) AND isfinite(Beta_CAPM)), rr AS (SELECT rp.*, CASE WHEN Region = 'North America' THEN 'NorthAmerica' WHEN Region = 'Europe' THEN 'Europe' ELSE 'Other' END AS region FROM rp JOIN exchange_region e ON e.suffix = split_part(ric, '.', 2))"

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import SAFE_HARBOR_SENTENCE, Config
 from ..functions.text import parse_date
 from ..operators import corpus, discovery, scoring, tokens
 from .storage import stored
@@ -46,6 +46,35 @@ def funnel(turns: DataFrame, year: str = "eventYear", key: str = "Id", text: str
     )
 
 
+def audit_funnel(turns: DataFrame, config: Config, year: str = "eventYear", key: str = "Id", text: str = "speech", language: str = "en") -> DataFrame:
+    """Per year the fourteen counters of the way from turns to sentences: turns and calls as they came, turns after the operator's and after
+    empty ones are dropped, characters stripped and their share in percent, calls joined, in the language and not, sentences, their mean by
+    call, those long enough, those without a legal phrase, and those dropped for one. A turn without a key counts as raw only.
+
+    Sentences are counted where they are split: no sentence is shuffled.
+    """
+    spoken = F.col("speakerGroup").isNull() | (F.col("speakerGroup") != "Operator")
+    full = spoken & F.col(key).isNotNull() & (F.length(text) > 0)
+    clean = corpus.strip_markers(text) if config.markers else F.col(text)
+    t = turns.withColumns({"_full": full, "_clean": F.when(full, clean)})
+    before, after = F.coalesce(F.sum(F.when(full, F.length(text))), F.lit(0)), F.coalesce(F.sum(F.length("_clean")), F.lit(0))
+    rows = t.groupBy(year).agg(F.count("*").alias("n_rows_raw"), F.countDistinct(key).alias("n_calls_raw"), F.count_if(spoken).alias("n_rows_after_operator_drop"), F.count_if(F.col("_full")).alias("n_rows_after_na_drop"), (before - after).alias("chars_stripped"), F.round(100 * (before - after) / F.when(before > 0, before), 2).alias("chars_stripped_pct"))
+    calls = corpus.concat_turns(t.filter("_full").select(key, "secIdx", year, F.col("_clean").alias(text)), key, "secIdx", text, [year]).withColumn("_in", F.coalesce(corpus.detect_language("text") == language, F.lit(False)))
+    parts = F.when(F.col("_in"), corpus.sentence_array("text"))
+    long = F.filter("_p", lambda x: F.char_length(x) >= config.min_chars)
+    legal = F.filter("_l", lambda x: ~x.rlike(f"(?i){SAFE_HARBOR_SENTENCE}"))
+    per = calls.select(year, "_in", parts.alias("_p")).withColumn("_l", long).withColumn("_s", legal if config.sentence_safe_harbor else F.col("_l"))
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).cast("bigint")
+    n = per.groupBy(year).agg(F.count("*").alias("n_calls_reconstructed"), F.count_if("_in").alias("n_calls_english"), size("_p").alias("n_sentences"), size("_l").alias("n_sentences_after_minlen"), size("_s").alias("n_sentences_after_safeharbor_filter"))
+    out = rows.join(n.withColumnRenamed(year, "_y"), F.col(year).eqNullSafe(F.col("_y")), "left").drop("_y")
+    zero = [c for c in n.columns if c != year]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in zero})
+    return out.withColumns({
+        "n_calls_dropped_nonenglish": F.col("n_calls_reconstructed") - F.col("n_calls_english"), "n_sentences_dropped_safeharbor": F.col("n_sentences_after_minlen") - F.col("n_sentences_after_safeharbor_filter"),
+        "mean_sentences_per_call": F.round(F.col("n_sentences") / F.when(F.col("n_calls_english") > 0, F.col("n_calls_english")), 2),
+    })
+
+
 def find_dictionary(counts: DataFrame, config: Config, classify: bool = False) -> DataFrame:
     """The locked dictionary of counts (Id, sentence_id, bigram, n): seed sentences against the rest, or, with `classify`, the sentences that
     three classifiers call alike as well."""

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MARKERS, RISK_WORDS, SAFE_HARBOR, SAFE_HARBOR_ENDS, SAFE_HARBOR_SENTENCE, STOPWORDS
+from ..config import MARKERS, RISK_WORDS, SAFE_HARBOR, SAFE_HARBOR_ENDS, SAFE_HARBOR_SENTENCE, STOPWORDS, Config
 from ..operators import corpus, discovery, scoring, tokens, validate
 from ..sources.tables import table
 from . import pipeline
@@ -91,6 +91,38 @@ def boilerplate_cut(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.md5(F.coalesce(corpus.boilerplate_once("text"), F.lit(""))).alias("text_md5"))
 
 
+_ROUND = lambda src: f"SELECT doc_id, coalesce({_CUT}, '') AS text FROM {src}"
+
+
+@query(f"WITH a AS (SELECT doc_id, 'These are forward-looking statements of the year. ' || text || ' And now, a safe harbor applies. ' || text AS text FROM documents), b AS ({_ROUND('a')}), c AS ({_ROUND('b')}), e AS ({_ROUND('c')}) SELECT doc_id, md5(text) AS text_md5 FROM e")
+def boilerplate_iterated(spark: SparkSession, d: str) -> DataFrame:
+    """T5: the cut repeated, here three times on texts with two legal passages."""
+    t = F.concat(F.lit("These are forward-looking statements of the year. "), "text", F.lit(" And now, a safe harbor applies. "), "text")
+    x = table(spark, d, "documents", "doc_id", "text").select("doc_id", t.alias("text"))
+    return x.select("doc_id", F.md5(F.coalesce(corpus.boilerplate_iter("text", 3), F.lit(""))).alias("text_md5"))
+
+
+@query(f"SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events")
+def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates from epoch seconds and from strings; what is neither is null."""
+    from ..functions.text import parse_date
+
+    x = table(spark, d, "events", "event_id", "ts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kind = F.col("event_id") % 3
+    seconds = F.unix_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss").cast("string")
+    given = F.when(kind == 0, seconds).when(kind == 1, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00"))).otherwise("unknown")
+    return x.select("event_id", parse_date(given).alias("day"))
+
+
+@query("SELECT l_orderkey, count(*) AS n_lines FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey) GROUP BY 1")
+def in_list_scan(spark: SparkSession, d: str) -> DataFrame:
+    """SRC3, J7: a scan narrowed to the keys of another table."""
+    from ..sources.connectors import in_list
+
+    keys = table(spark, d, "orders", "o_orderkey", "o_orderstatus").filter("o_orderstatus = 'F'")
+    return in_list(table(spark, d, "lineitem", "l_orderkey"), "l_orderkey", keys, "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+
+
 SPLIT = r"string_split_regex(regexp_replace(text, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n+')"
 PARTS = f"""p AS (SELECT doc_id, {SPLIT} AS a FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS sentence_id, trim(unnest(a)) AS text FROM p)"""
 
@@ -119,7 +151,24 @@ def corpus_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(lang: str) -> str:
-    return rf"len(list_filter(string_split_regex(lower(substring(text, 1, 5000)), '[^\p{{L}}]+'), lambda w: list_contains({_in(corpus.PROFILES[lang])}, w)))"
+    return rf"len(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda w: list_contains({_in(corpus.PROFILES[lang])}, w)))"
+
+
+_SPLIT = lambda c: rf"string_split_regex(regexp_replace({c}, '([.!?])\s+(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n+')"
+_FUN = f"""WITH {TURNS}, kc AS (SELECT doc_id, eventYear, secIdx, {STRIPPED.replace("(text,", "(speech,")} AS c, length(speech) AS lb FROM k),
+rw AS (SELECT eventYear, count(*) AS n_rows_raw, count(DISTINCT doc_id) AS n_calls_raw, count(*) FILTER (speakerGroup IS NULL OR speakerGroup <> 'Operator') AS n_rows_after_operator_drop, count(*) FILTER ((speakerGroup IS NULL OR speakerGroup <> 'Operator') AND length(speech) > 0) AS n_rows_after_na_drop FROM t GROUP BY 1),
+ch AS (SELECT eventYear, sum(lb) AS lb, sum(length(c)) AS la FROM kc GROUP BY 1), ca AS (SELECT doc_id, arg_min(eventYear, secIdx) AS eventYear, string_agg(c, ' ' ORDER BY secIdx, c) AS text FROM kc GROUP BY 1),
+hh AS (SELECT *, {", ".join(f"{_hits(x)} AS {x}" for x in ("de", "en", "es", "fr"))} FROM ca), la AS (SELECT *, (en > 0 AND en = greatest(de, en, es, fr) AND en > de) AS inn FROM hh),
+se AS (SELECT eventYear, inn, CASE WHEN inn THEN list_transform({_SPLIT("text")}, lambda x: trim(x)) END AS p FROM la), sl AS (SELECT *, list_filter(p, lambda x: length(x) >= 5) AS l FROM se), ss AS (SELECT *, list_filter(l, lambda x: NOT regexp_matches(x, '(?i){_q(SAFE_HARBOR_SENTENCE)}')) AS z FROM sl),
+nn AS (SELECT eventYear, count(*) AS n_calls_reconstructed, count(*) FILTER (inn) AS n_calls_english, coalesce(sum(len(p)), 0) AS n_sentences, coalesce(sum(len(l)), 0) AS n_sentences_after_minlen, coalesce(sum(len(z)), 0) AS n_sentences_after_safeharbor_filter FROM ss GROUP BY 1)
+SELECT rw.*, CAST(coalesce(lb - la, 0) AS BIGINT) AS chars_stripped, round(100.0 * (lb - la) / lb, 2) AS chars_stripped_pct, n_calls_reconstructed, n_calls_english, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_sentences_after_minlen AS BIGINT) AS n_sentences_after_minlen, CAST(n_sentences_after_safeharbor_filter AS BIGINT) AS n_sentences_after_safeharbor_filter, n_calls_reconstructed - n_calls_english AS n_calls_dropped_nonenglish, CAST(n_sentences_after_minlen - n_sentences_after_safeharbor_filter AS BIGINT) AS n_sentences_dropped_safeharbor, round(n_sentences / n_calls_english, 2) AS mean_sentences_per_call
+FROM rw LEFT JOIN ch ON ch.eventYear IS NOT DISTINCT FROM rw.eventYear LEFT JOIN nn ON nn.eventYear IS NOT DISTINCT FROM rw.eventYear"""
+
+
+@query(_FUN)
+def audit_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """The fourteen counters of the way from turns to sentences, by year."""
+    return pipeline.audit_funnel(turns(spark, d), Config(sentence_safe_harbor=True), key="doc_id")
 
 
 @query(
@@ -558,3 +607,27 @@ def audit_snippets(spark: SparkSession, d: str) -> DataFrame:
     dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP)
     x = validate.snippets(sentences(spark, d), tokens.match(c, dic).select(*KEYS, "bigram", "n"), "Id", "sentence_id", "text")
     return x.select("Id", "start", F.md5("snippet").alias("text_md5"))
+
+
+STRATA = f"{LOCK}, hi AS (SELECT Id, sentence_id, coalesce(sum(n) FILTER (bigram IN (SELECT bigram FROM dic WHERE origin = 'discovered' AND G2 > 3.84)), 0) AS n_hits, count(*) FILTER (bigram IN (SELECT bigram FROM seed)) AS k FROM c GROUP BY 1, 2), st AS (SELECT Id, sentence_id, n_hits::BIGINT AS n_hits, CASE WHEN n_hits >= 2 THEN 'many' WHEN n_hits = 1 THEN 'one' WHEN k > 0 THEN 'seed' ELSE 'clean' END AS stratum FROM hi)"
+
+
+@query(f"WITH {STRATA} SELECT stratum, Id, sentence_id, row_number() OVER (PARTITION BY stratum ORDER BY (({SAMPLE_KEY} % 2147483647) * 48271 + 42) % 2147483647, {SAMPLE_KEY})::INTEGER AS draw FROM st QUALIFY draw <= 50")
+def sentence_strata(spark: SparkSession, d: str) -> DataFrame:
+    """V1: fifty sentences each with many hits, one hit, seeds only, and none."""
+    c = hub(spark, d)
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP).filter("origin = 'discovered' AND G2 > 3.84")
+    x = validate.hit_strata(c, dic, seeds(spark), KEYS).withColumn("key", F.expr(SAMPLE_KEY))
+    return validate.stratified(x, ["stratum"], "key", 50).select("stratum", *KEYS, "draw")
+
+
+@query(
+    f"WITH {LOCK}, ht AS (SELECT Id, sentence_id, sum(n) AS n FROM c WHERE bigram IN (SELECT bigram FROM dic WHERE G2 > 3.84) GROUP BY 1, 2), ca AS (SELECT Id, sum(n) AS h FROM ht GROUP BY 1), al AS (SELECT DISTINCT Id FROM c), bs AS (SELECT Id, sentence_id FROM ht QUALIFY row_number() OVER (PARTITION BY Id ORDER BY n DESC, sentence_id) <= 6), ex AS (SELECT Id, substring(string_agg(text, ' ' ORDER BY sentence_id), 1, 800) AS excerpt FROM bs JOIN s USING (Id, sentence_id) GROUP BY 1) SELECT al.Id, coalesce(h, 0)::BIGINT AS h, CASE WHEN coalesce(h, 0) >= 2 THEN 1 WHEN coalesce(h, 0) = 0 THEN 0 END AS geo, md5(excerpt) AS text_md5 FROM al LEFT JOIN ca USING (Id) LEFT JOIN ex USING (Id)"
+)
+def call_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """V1: calls with and without hits, and the excerpt of six sentences that a rater is shown."""
+    c = hub(spark, d)
+    dic = discovery.locked_dictionary(key_table(spark, d, c), seeds(spark), DICTIONARY_TOP).filter("G2 > 3.84")
+    hits = stored(tokens.match(c, dic).groupBy(*KEYS).agg(F.sum("n").alias("n")))
+    calls = validate.call_strata(hits, c, "Id")
+    return calls.join(validate.excerpts(hits, sentences(spark, d), KEYS, "text"), "Id", "left").select("Id", F.col("h").cast("bigint").alias("h"), "geo", F.md5("excerpt").alias("text_md5"))
