@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textpanel.functions.numeric import is_finite
+from textpanel.functions.numeric import finite, is_finite
 from textpanel.functions.text import clean_ric, clean_ticker, fold_accents, fold_nfkd, parse_date, parse_flag
 from textpanel.operators import corpus, discovery, events, identity, joins, panel, regress, scoring, series, sorts, tokens, validate
 
@@ -217,7 +219,10 @@ def test_reply_and_snippet(spark):
     s = spark.createDataFrame([("a", i, f"s{i}") for i in range(1, 31)], "Id string, k int, text string")
     h = spark.createDataFrame([("a", 2, "x y", 1), ("a", 20, "x y", 2), ("a", 22, "x y", 1)], "Id string, k int, bigram string, n long")
     got = validate.snippets(s, h, "Id", "k", "text").first()
-    assert got.start == 15 and got.snippet == " ".join(f"s{i}" for i in range(15, 25))
+    assert got.start == 16 and got.snippet == " ".join(f"s{i}" for i in range(16, 26))  # four before the densest sentence, five after
+    for k, lo, hi in ((2, 1, 10), (29, 21, 30)):  # moved inside at either end
+        got = validate.snippets(s, spark.createDataFrame([("a", k, "x y", 1)], "Id string, k int, bigram string, n long"), "Id", "k", "text").first()
+        assert got.start == lo and got.snippet == " ".join(f"s{i}" for i in range(lo, hi + 1))
 
 
 def test_empty_tables(spark):
@@ -228,3 +233,85 @@ def test_empty_tables(spark):
     assert regress.grouped_ols(e, ["p"], "y", ["x", "id"]).count() == 0
     assert math.isnan(regress.two_way_fe(e, "id", "p", "y", ["x"])["x"]["b"])
     assert sorts.quantile_sort(e, ["p"], "x", "y", "id").count() == 0
+
+
+def test_bins_and_quantiles_match_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for g, n in (("a", 1), ("b", 3), ("c", 7), ("d", 900), (None, 50), ("e", 600)):
+        for i in range(n):
+            v = rng.choice([rng.gauss(0, 1), round(rng.gauss(0, 1), 1), 0.0, None, float("nan")]) if g != "e" else rng.choice([0.0, 0.0, 1.0, rng.random()])
+            rows.append((g, v, i * 7 % 100003))
+    df = spark.createDataFrame(rows, "g string, x double, id int").repartition(3)
+    known = {g: sorted((r[1], r[2]) for r in rows if r[0] == g and r[1] is not None and r[1] == r[1]) for g in {r[0] for r in rows}}
+    for few, n, ties in ((5000, 5, "first"), (2, 5, "first"), (5000, 10, "average")):  # broadcasts, and joins where groups are many
+        monkeypatch.setattr(panel, "GROUPS_MOST", few)
+        monkeypatch.setattr(panel, "TIES_MOST", 100_000 if few > 2 else 3)
+        got = {(r.g, r.id): r.bin for r in panel.bins(df, ["g"], "x", n, ties, "id").collect()}
+        for g, ok in known.items():
+            values = [v for v, _ in ok]
+            for i, (v, k) in enumerate(ok):
+                twice = 2 * (i + 1) if ties == "first" else bisect.bisect_left(values, v) + 1 + bisect.bisect_right(values, v)
+                assert got[g, k] == -(-twice * n // (2 * len(ok)))
+        assert all(got[r[0], r[2]] is None for r in rows if r[1] is None or r[1] != r[1])
+    for r in panel.with_quantiles(df, ["g"], finite("x"), [0.0, 0.005, 0.5, 0.995, 1.0], "q").select("g", "q").distinct().collect():
+        if known[r.g]:
+            assert np.allclose(r.q, np.quantile([v for v, _ in known[r.g]], [0, 0.005, 0.5, 0.995, 1]), atol=1e-12)
+        else:
+            assert r.q is None
+
+
+def test_downside_beta_and_time_effects(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=60)
+    rows = [(f, t, float((1 + f) * m[t] + (m[t] < 0) * f * m[t] + rng.normal() * 0.01), float(m[t])) for f in (0, 1) for t in range(60)]
+    df = spark.createDataFrame(rows, "f int, t int, r double, m double")
+    mean = np.mean([x[3] for x in rows])
+    for got in regress.downside_beta(df, ["f"], "r", "m", 12).collect():
+        x, y = np.array([r[3] for r in rows if r[0] == got.f]), np.array([r[2] for r in rows if r[0] == got.f])
+        low = x < mean
+        assert got.downside_beta == pytest.approx(np.cov(y[low], x[low])[0, 1] / np.var(x[low], ddof=1))
+        assert got.coskew == pytest.approx(np.mean((y - y.mean()) * (x - x.mean()) ** 2) / np.std(y, ddof=1) / np.var(x, ddof=1))
+    assert regress.downside_beta(df, ["f"], "r", "m", 12, 40).filter("downside_beta IS NOT NULL").isEmpty()
+    x = df.withColumn("x", F.col("r") * 2 + F.col("f"))
+    got = regress.time_fe(x, "f", "t", "x", ["r"]).first()
+    y, z = np.array([2 * r[2] + r[0] for r in rows]), np.array([r[2] for r in rows])
+    t = np.array([r[1] for r in rows])
+    dy, dz = (v - np.array([v[t == k].mean() for k in t]) for v in (y, z))
+    assert got.b == pytest.approx((dy @ dz) / (dz @ dz)) and got.n == 120
+    assert regress.time_fe(x.limit(0), "f", "t", "x", ["r"]).count() == 0
+
+
+def test_standardised_on_own_rows(spark):
+    """Each regressor is standardised over its own finite rows, before rows that lack another are dropped."""
+    rng = np.random.default_rng(5)
+    rows = [(t, float(rng.normal()), float(rng.normal()), None if i % 3 == 0 else float(rng.normal())) for t in range(6) for i in range(60)]
+    df = spark.createDataFrame(rows, "t int, y double, a double, b double")
+    slopes = []
+    for t in range(6):
+        d = np.array([[r[1], r[2], np.nan if r[3] is None else r[3]] for r in rows if r[0] == t])
+        z = (d - np.nanmean(d, axis=0)) / np.nanstd(d, axis=0, ddof=1)
+        ok = ~np.isnan(d[:, 2])
+        slopes.append(np.linalg.lstsq(np.column_stack([np.ones(ok.sum()), z[ok, 1], z[ok, 2]]), d[ok, 0], rcond=None)[0][1:])
+    got = {r.regressor: r["mean"] for r in regress.fama_macbeth(df, "t", "y", ["a", "b"], 1, 30).collect()}
+    assert [got["a"], got["b"]] == pytest.approx(np.mean(slopes, axis=0))
+
+
+def test_regions(spark):
+    df = spark.createDataFrame([("NorthAmerica", "US"), ("AsiaPacific_DM", "Japan"), ("AsiaPacific_DM", None), ("Africa", "ZA"), ("EM", "Brazil"), (None, "US")], "r string, c string")
+    assert [x[0] for x in df.select(identity.region("r", "c")).collect()] == ["NorthAmerica", "Japan", "AsiaPacExJapan", None, "Emerging", None]
+
+
+def test_ensemble_searches_and_calibrates(spark):
+    rng = random.Random(6)
+    docs = [(f"d{i}", [rng.choice(["good one", "good two", "plain"] if i % 2 else ["bad one", "bad two", "plain"]) for _ in range(4)]) for i in range(80)]
+    counts = spark.createDataFrame([(d, b, 1) for d, bs in docs for b in bs], "Id string, bigram string, n long").groupBy("Id", "bigram").agg(F.sum("n").alias("n"))
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(80)], "Id string, y int")
+    voc = counts.select("bigram").distinct()
+    folded = discovery.in_folds(labels, ["Id"], 4)
+    auc = {r.alpha: r.auc for r in discovery.nb_search(counts, folded, voc, ["Id"]).collect()}
+    assert set(auc) == {0.1, 0.5, 1.0} and min(auc.values()) > 0.95
+    for search in (True, False):
+        p = discovery.ensemble(counts, labels, voc, ["Id"], labels.select("Id"), trees=5, folds=2, search=search, costs=(1.0,), rounds=5).collect()
+        right = [((r.p_nb > 0.5) == (int(r.Id[1:]) % 2 == 1)) + ((r.p_c2 > 0.5) == (int(r.Id[1:]) % 2 == 1)) + ((r.p_rf > 0.5) == (int(r.Id[1:]) % 2 == 1)) for r in p]
+        assert len(p) == 80 and sum(right) > 0.9 * 240

@@ -1,4 +1,7 @@
-"""Quantile sorts, long-short series, double sorts, regional composites, costs and performance."""
+"""Quantile sorts, long-short series, double sorts, regional composites, costs and performance.
+
+`store` (a checkpoint) keeps what the bins are made of, as they read it several times; it is narrowed to the columns in use first.
+"""
 
 from __future__ import annotations
 
@@ -24,37 +27,48 @@ def long_short(returns: DataFrame, period: Sequence[str], n: int, bin: str = "bi
     return returns.groupBy(*period).agg(*cells).withColumn("LS", F.col(f"ret_{n}") - F.col("ret_1"))
 
 
-def quantile_sort(df: DataFrame, period: Sequence[str], measure: str, ret: str, by: str, n: int = 5, weight: str | None = None, ties: str = "first") -> DataFrame:
+Store = Callable[[DataFrame], DataFrame]
+
+
+def _narrow(df: DataFrame, columns: Sequence[str | None], store: Store | None) -> DataFrame:
+    d = df.select(*dict.fromkeys(c for c in columns if c))
+    return store(d) if store else d
+
+
+def quantile_sort(df: DataFrame, period: Sequence[str], measure: str, ret: str, by: str, n: int = 5, weight: str | None = None, ties: str = "first", store: Store | None = None) -> DataFrame:
     """Long-short series of a measure: rank among rows with a finite measure and return, then bin_returns and long_short."""
-    ok = df.filter(is_finite(measure) & is_finite(ret))
+    ok = _narrow(df.filter(is_finite(measure) & is_finite(ret)), [*period, measure, ret, by, weight], store)
     return long_short(bin_returns(bins(ok, period, measure, n, ties, by), period, ret, weight=weight), period, n)
 
 
-def size_neutral(df: DataFrame, period: Sequence[str], size: str, measure: str, ret: str, by: str, n: int = 5) -> DataFrame:
+def size_neutral(df: DataFrame, period: Sequence[str], size: str, measure: str, ret: str, by: str, n: int = 5, store: Store | None = None) -> DataFrame:
     """Bins of size, bins of the measure within them, and the mean over size bins of top minus bottom, by period."""
-    ok = df.filter(is_finite(measure) & is_finite(ret) & is_finite(size))
-    inner = bins(bins(ok, period, size, n, "first", by, out="size_bin"), [*period, "size_bin"], measure, n, "first", by)
+    ok = _narrow(df.filter(is_finite(measure) & is_finite(ret) & is_finite(size)), [*period, size, measure, ret, by], store)
+    outer = _narrow(bins(ok, period, size, n, "first", by, out="size_bin"), [*period, "size_bin", measure, ret, by], store)
+    inner = bins(outer, [*period, "size_bin"], measure, n, "first", by)
     ls = long_short(bin_returns(inner, [*period, "size_bin"], ret), [*period, "size_bin"], n)
     return ls.groupBy(*period).agg(F.avg("LS").alias("LS"), F.count("LS").alias("n_size_bins"))
 
 
-def double_sort(df: DataFrame, period: Sequence[str], char: str, measure: str, ret: str, by: str, n_char: int = 3, n: int = 5) -> DataFrame:
+def double_sort(df: DataFrame, period: Sequence[str], char: str, measure: str, ret: str, by: str, n_char: int = 3, n: int = 5, store: Store | None = None) -> DataFrame:
     """Independent bins of a characteristic and of the measure; long-short within each bin of the characteristic."""
-    ok = df.filter(is_finite(measure) & is_finite(ret) & is_finite(char))
-    both = bins(bins(ok, period, char, n_char, "first", by, out="char_bin"), period, measure, n, "first", by)
+    ok = _narrow(df.filter(is_finite(measure) & is_finite(ret) & is_finite(char)), [*period, char, measure, ret, by], store)
+    first = _narrow(bins(ok, period, char, n_char, "first", by, out="char_bin"), [*period, "char_bin", measure, ret, by], store)
+    both = bins(first, period, measure, n, "first", by)
     return long_short(bin_returns(both, [*period, "char_bin"], ret), [*period, "char_bin"], n).select(*period, "char_bin", "LS")
 
 
-def industry_neutral(df: DataFrame, period: Sequence[str], industry: str, measure: str, ret: str, by: str, n: int = 5) -> DataFrame:
+def industry_neutral(df: DataFrame, period: Sequence[str], industry: str, measure: str, ret: str, by: str, n: int = 5, store: Store | None = None) -> DataFrame:
     """The measure minus its industry's mean in the period, then a quantile sort. Rows without an industry are dropped."""
     d = demean(df.filter(F.col(industry).isNotNull() & is_finite(measure)), [*period, industry], measure, "_m")
-    return quantile_sort(d, period, "_m", ret, by, n)
+    return quantile_sort(d, period, "_m", ret, by, n, store=store)
 
 
-def split_sample(df: DataFrame, period: Sequence[str], by_column: str, measure: str, ret: str, by: str, n: int = 5) -> DataFrame:
+def split_sample(df: DataFrame, period: Sequence[str], by_column: str, measure: str, ret: str, by: str, n: int = 5, store: Store | None = None) -> DataFrame:
     """Long-short of the rows above and of those at or below the period's median of a column."""
-    d = median_split(df, period, by_column, "above").filter("above IS NOT NULL")
-    return quantile_sort(d, [*period, "above"], measure, ret, by, n).select(*period, "above", "LS")
+    ok = _narrow(df, [*period, by_column, measure, ret, by], store)
+    d = median_split(ok, period, by_column, "above").filter("above IS NOT NULL")
+    return quantile_sort(d, [*period, "above"], measure, ret, by, n, store=store).select(*period, "above", "LS")
 
 
 def seed_averaged(df: DataFrame, period: Sequence[str], measure: str, ret: str, by: str, n: int = 5, seeds: int = 25, order: Callable[[Column, str], Column] | None = None) -> DataFrame:
@@ -76,18 +90,18 @@ def seed_averaged(df: DataFrame, period: Sequence[str], measure: str, ret: str,
     return long_short(cells, [*period, "seed"], n).groupBy(*period).agg(F.avg("LS").alias("LS"))
 
 
-def reversal(df: DataFrame, key: str, period: str, ret: str, n: int = 5) -> DataFrame:
+def reversal(df: DataFrame, key: str, period: str, ret: str, n: int = 5, store: Store | None = None) -> DataFrame:
     """(period, REV): losers minus winners of the month before, equal weights; a gap in a key's months gives no last month. One row per key
     and month."""
     w = Window.partitionBy(key).orderBy(period)
     gap = F.months_between(F.trunc(F.col(period), "month"), F.trunc(F.lag(period).over(w), "month"))
     d = df.select(key, period, ret).withColumn("_prev", F.when(gap == 1, F.lag(ret).over(w)))
-    return quantile_sort(d, [period], "_prev", ret, key, n).select(period, (-F.col("LS")).alias("REV")).filter("REV IS NOT NULL")
+    return quantile_sort(d, [period], "_prev", ret, key, n, store=store).select(period, (-F.col("LS")).alias("REV")).filter("REV IS NOT NULL")
 
 
-def reconcile(df: DataFrame, period: str, measure: str, first: str, second: str, by: str, n: int = 5) -> DataFrame:
+def reconcile(df: DataFrame, period: str, measure: str, first: str, second: str, by: str, n: int = 5, store: Store | None = None) -> DataFrame:
     """(period, first, second, gap): long-short of the same rows by two sources of the same return; rows need a finite measure and both."""
-    ok = df.filter(is_finite(measure) & is_finite(first) & is_finite(second))
+    ok = _narrow(df.filter(is_finite(measure) & is_finite(first) & is_finite(second)), [period, measure, first, second, by], store)
     b = bins(ok, [period], measure, n, "first", by)
     ls = lambda c: F.avg(F.when(F.col("bin") == n, F.col(c))) - F.avg(F.when(F.col("bin") == 1, F.col(c)))
     both = b.groupBy(period).agg(ls(first).alias("first"), ls(second).alias("second"), F.count("*").alias("n"))
@@ -143,9 +157,9 @@ def summary(df: DataFrame, measures: Sequence[str], groups: Sequence[str] = ())
     return out
 
 
-def binscatter(df: DataFrame, period: Sequence[str], x: str, y: str, by: str, n: int = 20) -> DataFrame:
+def binscatter(df: DataFrame, period: Sequence[str], x: str, y: str, by: str, n: int = 20, store: Store | None = None) -> DataFrame:
     """Means of x and y by rank bin of x within the period, over all periods."""
-    ok = df.filter(is_finite(x) & is_finite(y))
+    ok = _narrow(df.filter(is_finite(x) & is_finite(y)), [*period, x, y, by], store)
     return bins(ok, period, x, n, "first", by).groupBy("bin").agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col, erfc, is_finite, safe_div
-from .panel import break_bins
+from .panel import break_bins, settled
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -33,14 +33,25 @@ def pairwise_agreement(df: DataFrame, item: str, rater: str, value: str, toleran
 
 
 def average_rank(df: DataFrame, column: str, out: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Mean ranks of a column, ties sharing theirs. Ranks come from counts of distinct values, so rows are never all in one task: the
-    running total goes over the distinct values, per group."""
-    per = df.groupBy(*groups, column).agg(F.count("*").alias("_n"))
-    w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    names = [*groups, column]
-    ranked = per.withColumn(out, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], out)
-    on = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(names)]
-    return df.join(ranked, on, "left").drop(*[f"_r{i}" for i in range(len(names))])
+    """Mean ranks of a column, ties sharing theirs. Ranks come from counts of distinct values, and these are added up within 256 stretches of
+    a group between approximate percentiles, each after what lies below it: neither rows nor values of a group are all in one task."""
+    keys = [f"_r{i}" for i in range(len(groups) + 1)]
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys[1:], strict=True)]
+    base = df.select(F.lit(0).alias("_r0"), *named, F.col(column).alias("_v"))
+    breaks, _ = settled(base.groupBy(*keys).agg(F.percentile_approx(F.col("_v").cast("double"), F.array(*[F.lit(i / 256) for i in range(1, 256)]), 2_000).alias("_p")))
+
+    def on(name: str) -> list[Column]:
+        return [F.col(k).eqNullSafe(F.col(f"{name}{i}")) for i, k in enumerate(keys)]
+
+    per = base.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).join(breaks.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)}), on("_h"))
+    per = per.select(*keys, "_v", "_n", F.coalesce(F.size(F.filter("_p", lambda p: p < F.col("_v"))), F.lit(0)).alias("_b"))
+    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = per.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).withColumn("_o", F.coalesce(F.sum("_m").over(below), F.lit(0)))
+    stretches = stretches.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_b").alias("_hb"), "_o")
+    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = per.withColumn("_u", F.sum("_n").over(w)).join(stretches, [*on("_h"), F.col("_b") == F.col("_hb")]).select(*keys[1:], "_v", (F.col("_o") + F.col("_u") - (F.col("_n") - 1) / 2.0).alias(out))
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys[1:], strict=True)] + [F.col(column).eqNullSafe(F.col("_v"))]
+    return df.join(ranked, same, "left").drop(*keys[1:], "_v")
 
 
 def correlations(df: DataFrame, a: str, b: str, groups: Sequence[str] = ()) -> DataFrame:

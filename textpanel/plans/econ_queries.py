@@ -9,6 +9,7 @@ from ..functions.numeric import finite, is_finite
 from ..operators import events, regress, series, sorts, validate
 from ..sources.tables import table
 from .panel_queries import EVM, FQ, HELD, MRET, SORT, _wide, daily, firm_quarters, held, monthly
+from .storage import stored
 from .registry import SQL, query, r6, rounded
 from .text_queries import _tail, detected_language
 
@@ -37,7 +38,7 @@ nw AS (SELECT {b}n, mean, CASE WHEN {total} > 0 AND n > 1 THEN mean / sqrt(({tot
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')}, {_nw('ls', 'Month', 'LS', 4)} SELECT n, round(mean, 6) + 0.0 AS mean, round(t, 4) + 0.0 AS t FROM nw")
 def mean_newey_west(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the long-short series with its HAC t."""
-    ls = sorts.quantile_sort(held(spark, d), ["Month"], "GeoRisk", "ret", "permno")
+    ls = sorts.quantile_sort(held(spark, d), ["Month"], "GeoRisk", "ret", "permno", store=stored)
     x = series.mean_newey_west(ls, [], "Month", "LS", 4)
     return x.select("n", r6("mean").alias("mean"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
 
@@ -115,10 +116,10 @@ def pead_control(spark: SparkSession, d: str) -> DataFrame:
 def factor_series(spark: SparkSession, d: str) -> DataFrame:
     """(Month, LS, mkt, smb): the long-short series, the mean return, small minus large."""
     h = held(spark, d)
-    ls = sorts.quantile_sort(h, ["Month"], "GeoRisk", "ret", "permno").select("Month", "LS")
+    ls = sorts.quantile_sort(h, ["Month"], "GeoRisk", "ret", "permno", store=stored).select("Month", "LS")
     m = monthly(spark, d)
     mk = m.groupBy("Month").agg(F.avg("ret").alias("mkt"))
-    smb = sorts.quantile_sort(m, ["Month"], "cap", "ret", "permno", n=3).select("Month", (-F.col("LS")).alias("smb"))
+    smb = sorts.quantile_sort(m, ["Month"], "cap", "ret", "permno", n=3, store=stored).select("Month", (-F.col("LS")).alias("smb"))
     return ls.join(mk, "Month").join(smb, "Month")
 
 
@@ -189,8 +190,6 @@ def expanding_alpha(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def panel_fe_twoway(spark: SparkSession, d: str) -> DataFrame:
     """Firm and month effects, errors clustered by both."""
-    from .storage import stored
-
     out = regress.two_way_fe(held(spark, d), "permno", "Month", "ret", ["GeoExposure", "GeoSentiment"], store=stored)
     return spark.createDataFrame([(x, v["b"], v["t"], v["n"]) for x, v in out.items()], "regressor string, b double, t double, n bigint")
 
@@ -207,7 +206,7 @@ def panel_fe_time(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MRET}, lg AS (SELECT *, CASE WHEN lag(Month) OVER w + INTERVAL 1 MONTH = Month THEN lag(ret) OVER w END AS prev FROM mr WINDOW w AS (PARTITION BY permno ORDER BY Month)), pb AS (SELECT Month, ret, (row_number() OVER (PARTITION BY Month ORDER BY prev, permno) * 5 + count(*) OVER (PARTITION BY Month) - 1) // count(*) OVER (PARTITION BY Month) AS bin FROM lg WHERE prev IS NOT NULL) SELECT Month, round(avg(ret) FILTER (bin = 1) - avg(ret) FILTER (bin = 5), 12) + 0.0 AS REV FROM pb GROUP BY 1 HAVING avg(ret) FILTER (bin = 1) - avg(ret) FILTER (bin = 5) IS NOT NULL")
 def reversal_factor(spark: SparkSession, d: str) -> DataFrame:
     """Losers minus winners of the month before."""
-    return rounded(sorts.reversal(monthly(spark, d), "permno", "Month", "ret"), "REV", digits=12)
+    return rounded(sorts.reversal(monthly(spark, d), "permno", "Month", "ret", store=stored), "REV", digits=12)
 
 
 NAMED = f"""nq AS (SELECT permno, CAST(date_trunc('quarter', Month) AS DATE) AS Quarter, product(1 + ret) - 1 AS r1 FROM mr GROUP BY 1, 2 HAVING count(ret) >= 3), nm AS (SELECT upper(trim(comnam)) AS name, min(permno) AS permno FROM crsp_names WHERE permno IS NOT NULL AND comnam IS NOT NULL GROUP BY 1 HAVING count(DISTINCT permno) = 1),
@@ -226,7 +225,7 @@ def source_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "panel_ric", "companyName", "Quarter", "QuarterlyRet", "MCap_QEnd").filter(F.col("companyName").isNotNull() & is_finite("QuarterlyRet"))
     pn = p.groupBy(F.upper(F.trim("companyName")).alias("name"), F.col("Quarter").cast("date").alias("Quarter")).agg(F.min("QuarterlyRet").alias("r2"), F.min(finite("MCap_QEnd")).alias("size"))
     both = pn.join(nm, "name").join(nq, ["permno", "Quarter"]).groupBy("permno", "Quarter").agg(F.min("r1").alias("r1"), F.min("r2").alias("r2"), F.min("size").alias("size"))
-    return rounded(sorts.reconcile(both, "Quarter", "size", "r1", "r2", "permno", 3).select("Quarter", "first", "second", "n", "gap"), "first", "second", "gap", digits=9)
+    return rounded(sorts.reconcile(both, "Quarter", "size", "r1", "r2", "permno", 3, store=stored).select("Quarter", "first", "second", "n", "gap"), "first", "second", "gap", digits=9)
 
 
 MK = f"{MRET}, mk AS (SELECT Month, avg(ret) AS mkt FROM mr GROUP BY 1), jm AS (SELECT mr.*, mkt FROM mr JOIN mk USING (Month))"
@@ -392,7 +391,7 @@ def results_compare(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')}, {_nw('ls', 'Month', 'LS', 6)}, w AS (SELECT round(mean, 6) + 0.0 AS value, round(t, 4) + 0.0 AS t, n FROM nw) SELECT 'price' AS question, 'GeoRisk' AS measure, 'all' AS sample, 'monthly' AS freq, 'ls_mean' AS stat, value, t, n::DOUBLE AS n FROM w")
 def tidy_results(spark: SparkSession, d: str) -> DataFrame:
     """The results table's form: one row per statistic."""
-    ls = sorts.quantile_sort(held(spark, d), ["Month"], "GeoRisk", "ret", "permno")
+    ls = sorts.quantile_sort(held(spark, d), ["Month"], "GeoRisk", "ret", "permno", store=stored)
     x = series.mean_newey_west(ls, [], "Month", "LS", 6).select("n", r6("mean").alias("mean"), (F.round("t", 4) + F.lit(0.0)).alias("t"))
     return validate.tidy(x, "price", "GeoRisk", "all", "monthly", {"ls_mean": ("mean", "t")}, "n")
 
@@ -400,7 +399,7 @@ def tidy_results(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')}, {_nw('ls', 'Month', 'LS', 6)} SELECT round(mean - 1.96 * abs(mean / t), 6) + 0.0 AS lo, round(mean + 1.96 * abs(mean / t), 6) + 0.0 AS hi, (mean - 1.96 * abs(mean / t)) * (mean + 1.96 * abs(mean / t)) > 0 AS clears, CASE WHEN abs(t) >= 2.576 THEN '***' WHEN abs(t) >= 1.96 THEN '**' WHEN abs(t) >= 1.645 THEN '*' ELSE '' END AS stars FROM nw")
 def interval_stars(spark: SparkSession, d: str) -> DataFrame:
     """Interval and stars from a value and its t."""
-    ls = sorts.quantile_sort(held(spark, d), ["Month"], "GeoRisk", "ret", "permno")
+    ls = sorts.quantile_sort(held(spark, d), ["Month"], "GeoRisk", "ret", "permno", store=stored)
     x = series.mean_newey_west(ls, [], "Month", "LS", 6)
     i = sorts.interval("mean", "t")
     return x.select(r6(i["lo"]).alias("lo"), r6(i["hi"]).alias("hi"), i["clears"].alias("clears"), i["stars"].alias("stars"))

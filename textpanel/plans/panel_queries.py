@@ -12,6 +12,7 @@ from ..operators.identity import sic_division
 from ..sources.tables import table
 from .identity_queries import FORM, RIC
 from .panel import formation_date
+from .storage import stored
 from .registry import query, r6, rounded
 
 RET_MOST = 3.0  # months with wilder returns are left out of the panels: their statistics would be the dirt's
@@ -69,9 +70,7 @@ def zscore_period(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {MRET}, q AS (SELECT quantile_cont(ret, 0.99) AS p FROM mr) SELECT permno, Month, round(least(ret, p), 6) + 0.0 AS ret_u FROM mr, q")
 def winsorize_upper(spark: SparkSession, d: str) -> DataFrame:
     """Held below the 99th percentile of all rows."""
-    m = monthly(spark, d)
-    top = m.agg(F.percentile("ret", F.lit(0.99)).alias("p")).first()[0]
-    return m.select("permno", "Month", r6(F.least("ret", F.lit(top).cast("double"))).alias("ret_u"))
+    return rounded(panel.winsorize_upper(monthly(spark, d), "ret", 0.99, "ret_u").select("permno", "Month", "ret_u"), "ret_u")
 
 
 @query(f"WITH {FQ}, q AS (SELECT form, siccd, avg({FIN('GeoRisk')}) AS m FROM fq GROUP BY 1, 2) SELECT permno, fq.form, round({FIN('GeoRisk')} - m, 11) + 0.0 AS x FROM fq JOIN q ON fq.form = q.form AND fq.siccd IS NOT DISTINCT FROM q.siccd")
@@ -223,19 +222,19 @@ VW = "sum(ret * cap) FILTER (cap > 0) / sum(cap) FILTER (cap > 0)"
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')} SELECT Month, {_CELLS}, round(LS, 12) + 0.0 AS LS FROM ls")
 def ls_equal_weight(spark: SparkSession, d: str) -> DataFrame:
     """Quintile returns and long-short, equal weights."""
-    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno"), *[f"ret_{i}" for i in range(1, 6)], "LS", digits=12)
+    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", store=stored), *[f"ret_{i}" for i in range(1, 6)], "LS", digits=12)
 
 
 @query(f"WITH {SORT}, {_wide('bn', 'Month', VW)} SELECT Month, round(LS, 12) + 0.0 AS LS FROM ls")
 def ls_value_weight(spark: SparkSession, d: str) -> DataFrame:
     """The same, value weights."""
-    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", weight="cap").select("Month", "LS"), "LS", digits=12)
+    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", weight="cap", store=stored).select("Month", "LS"), "LS", digits=12)
 
 
 @query(f"WITH {SORT.replace('* 5 +', '* 10 +')}, {_wide('bn', 'Month', 'avg(ret)', 10)} SELECT Month, round(LS, 12) + 0.0 AS LS FROM ls")
 def ls_decile(spark: SparkSession, d: str) -> DataFrame:
     """Deciles."""
-    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", n=10).select("Month", "LS"), "LS", digits=12)
+    return rounded(sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", n=10, store=stored).select("Month", "LS"), "LS", digits=12)
 
 
 def _bin(n: int, part: str, col: str) -> str:
@@ -247,7 +246,7 @@ def _bin(n: int, part: str, col: str) -> str:
 )
 def size_neutral_double_sort(spark: SparkSession, d: str) -> DataFrame:
     """Bins within size bins."""
-    return rounded(sorts.size_neutral(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
+    return rounded(sorts.size_neutral(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno", store=stored), "LS", digits=12)
 
 
 @query(
@@ -255,7 +254,7 @@ def size_neutral_double_sort(spark: SparkSession, d: str) -> DataFrame:
 )
 def tercile_quintile_double_sort(spark: SparkSession, d: str) -> DataFrame:
     """Independent double sort."""
-    return rounded(sorts.double_sort(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
+    return rounded(sorts.double_sort(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno", store=stored), "LS", digits=12)
 
 
 @query(
@@ -265,7 +264,7 @@ def industry_neutral_ls(spark: SparkSession, d: str) -> DataFrame:
     """The measure net of its industry. Rounded before ranking, so that sums in another order make the same ties."""
     h = held(spark, d).filter(F.col("siccd").isNotNull() & is_finite(MEAS))
     x = panel.demean(h, ["Month", "siccd"], MEAS, "m2").withColumn("m2", F.round("m2", 9) + F.lit(0.0))
-    return rounded(sorts.quantile_sort(x, ["Month"], "m2", "ret", "permno").select("Month", "LS"), "LS", digits=12)
+    return rounded(sorts.quantile_sort(x, ["Month"], "m2", "ret", "permno", store=stored).select("Month", "LS"), "LS", digits=12)
 
 
 @query(
@@ -273,7 +272,7 @@ def industry_neutral_ls(spark: SparkSession, d: str) -> DataFrame:
 )
 def split_sample(spark: SparkSession, d: str) -> DataFrame:
     """Long-short of large and of small securities."""
-    return rounded(sorts.split_sample(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno"), "LS", digits=12)
+    return rounded(sorts.split_sample(held(spark, d), ["Month"], "cap", MEAS, "ret", "permno", store=stored), "LS", digits=12)
 
 
 @query(
@@ -308,7 +307,7 @@ TURN = f"{SORT}, me AS (SELECT DISTINCT Month, permno FROM bn WHERE bin = 5), pm
 @query(f"WITH {TURN} SELECT Month, n, n_new, CASE WHEN prev IS NOT NULL THEN round(n_new / n, 6) + 0.0 END AS turnover FROM tu")
 def turnover_prev_month(spark: SparkSession, d: str) -> DataFrame:
     """New names of the top quintile."""
-    b = panel.bins(held(spark, d).filter(is_finite(MEAS)), ["Month"], MEAS, 5, "first", "permno").filter("bin = 5")
+    b = panel.bins(stored(held(spark, d).filter(is_finite(MEAS)).select("Month", "permno", MEAS)), ["Month"], MEAS, 5, "first", "permno").filter("bin = 5")
     return rounded(panel.turnover(b, "Month", "permno"), "turnover")
 
 
@@ -316,8 +315,8 @@ def turnover_prev_month(spark: SparkSession, d: str) -> DataFrame:
 def cost_net_returns(spark: SparkSession, d: str) -> DataFrame:
     """Returns after a grid of costs, and the break-even cost."""
     h = held(spark, d)
-    ls = sorts.quantile_sort(h, ["Month"], MEAS, "ret", "permno").select("Month", "LS")
-    b = panel.bins(h.filter(is_finite(MEAS)), ["Month"], MEAS, 5, "first", "permno").filter("bin = 5")
+    ls = sorts.quantile_sort(h, ["Month"], MEAS, "ret", "permno", store=stored).select("Month", "LS")
+    b = panel.bins(stored(h.filter(is_finite(MEAS)).select("Month", "permno", MEAS)), ["Month"], MEAS, 5, "first", "permno").filter("bin = 5")
     x = sorts.net_of_costs(ls.join(panel.turnover(b, "Month", "permno").filter("turnover IS NOT NULL"), "Month"), "LS", "turnover")
     return rounded(x.select("Month", "net_10", "net_25", "net_50", "breakeven_bps"), "net_10", "net_25", "net_50", digits=12).withColumn("breakeven_bps", F.round("breakeven_bps", 8) + F.lit(0.0))
 
@@ -332,14 +331,14 @@ def cap_costs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')} SELECT count(LS) AS n, round(avg(LS) * 12, 6) + 0.0 AS mean_year, round(stddev_samp(LS) * sqrt(12), 6) + 0.0 AS vol_year, round(avg(LS) / stddev_samp(LS) * sqrt(12), 6) + 0.0 AS sharpe, round(avg((LS > 0)::INTEGER), 6) + 0.0 AS share_positive FROM ls")
 def sharpe(spark: SparkSession, d: str) -> DataFrame:
     """Performance of the long-short series."""
-    ls = sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno")
+    ls = sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", store=stored)
     return rounded(sorts.performance(ls, "LS"), "mean_year", "vol_year", "sharpe", "share_positive")
 
 
 @query(f"WITH {SORT}, {_wide('bn', 'Month', 'avg(ret)')}, mk AS (SELECT Month, avg(ret) AS mkt FROM mr GROUP BY 1), b AS (SELECT Month, LS, mkt FROM ls JOIN mk USING (Month) WHERE LS IS NOT NULL), g AS (SELECT Month, exp(sum(ln(1 + LS)) OVER w) AS LS, exp(sum(ln(1 + mkt)) OVER w) AS mkt FROM b WINDOW w AS (ORDER BY Month)) SELECT Month, round(LS, 6) + 0.0 AS LS, round(mkt, 6) + 0.0 AS mkt FROM g UNION ALL SELECT CAST(min(Month) - INTERVAL 1 MONTH AS DATE), 1.0::DOUBLE, 1.0::DOUBLE FROM b")
 def growth_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Growth of the strategy and of the market on common months."""
-    ls = sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno")
+    ls = sorts.quantile_sort(held(spark, d), ["Month"], MEAS, "ret", "permno", store=stored)
     mk = monthly(spark, d).groupBy("Month").agg(F.avg("ret").alias("mkt"))
     return rounded(sorts.growth_comparison(ls, mk, "Month", "LS", "mkt"), "LS", "mkt")
 
@@ -356,7 +355,7 @@ def summary_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {HELD}, ok AS (SELECT * FROM he WHERE isfinite(GeoExposure)), b2 AS (SELECT *, {_bin(20, 'Month', 'GeoExposure')}::INTEGER AS bin FROM ok) SELECT bin, round(avg(GeoExposure), 6) + 0.0 AS x, round(avg(ret), 6) + 0.0 AS y, count(*) AS n FROM b2 GROUP BY 1")
 def binscatter(spark: SparkSession, d: str) -> DataFrame:
     """Twenty-bin scatter."""
-    return rounded(sorts.binscatter(held(spark, d), ["Month"], "GeoExposure", "ret", "permno"), "x", "y")
+    return rounded(sorts.binscatter(held(spark, d), ["Month"], "GeoExposure", "ret", "permno", store=stored), "x", "y")
 
 
 @query(f"WITH {FQ}, x AS (SELECT *, year(form)::INTEGER AS yr FROM fq) SELECT CASE WHEN siccd < 1000 THEN 'Agriculture' WHEN siccd < 1500 THEN 'Mining' WHEN siccd < 1800 THEN 'Construction' WHEN siccd < 4000 THEN 'Manufacturing' WHEN siccd < 5000 THEN 'Transport/Utilities' WHEN siccd < 5200 THEN 'Wholesale' WHEN siccd < 6000 THEN 'Retail' WHEN siccd < 6800 THEN 'Finance' WHEN siccd < 9000 THEN 'Services' WHEN siccd IS NOT NULL THEN 'Public Admin.' END AS row, yr AS column, round(avg({FIN('GeoExposure')}) * 1000, 6) + 0.0 AS value, count({FIN('GeoExposure')}) AS n FROM x GROUP BY 1, 2")
