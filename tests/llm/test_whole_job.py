@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from textpanel.llm import linkage
@@ -42,3 +44,24 @@ def test_a_run_of_values_pairs_named_lines(spark):
     a = [(t, q, n, 0.11 * q, 2.0 + q) for q in (1, 2, 3) for t, n in (("X", "OTHER Inc"),)]
     b = [(p, q, 0.11 * q * s, 2.0 + q) for q in (1, 2, 3) for p, s in ((1, 1), (2, -1))]
     assert pairs(spark, a, b, [(1, "KACOR"), (2, "TRILO")]) == {("X", 1)}
+
+
+def test_blocking_finds_planted_pairs(spark):
+    """Lines with misspelt names, market values off by some percent and returns off by some thousandths: the share that become candidates."""
+    rng = random.Random(11)
+    a, b, names = [], [], []
+    for k in range(150):
+        name = "".join(rng.choice("BDKLMNRST") + rng.choice("AEIOU") for _ in range(3)) + " Energy Inc"
+        quarters = range(8000, 8000 + rng.choice((3, 4, 6, 10, 20)))
+        cap = rng.uniform(2, 9)
+        for q in quarters:
+            r = rng.gauss(0, 0.15)
+            cap += r
+            spelt = name if rng.random() < 0.8 else name[:2] + name[3:]
+            a.append((f"T{k}", q, spelt, None if rng.random() < 0.1 else r + rng.gauss(0, 0.003), None if rng.random() < 0.05 else cap + rng.gauss(0, 0.01)))
+            b.append((k, q, None if rng.random() < 0.08 else r, cap))
+        names.append((k, name))
+    got = pairs(spark, a, b, names)
+    planted = {(f"T{k}", k) for k in range(150)}
+    assert len(got & planted) >= 0.99 * len(planted)
+    assert len(got) < 2 * len(planted)
