@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from textpanel.sources import connectors
@@ -41,3 +42,16 @@ def test_stream(spark, tmp_path):
     q.stop()
     r = spark.table("scored").select(F.sum("B").alias("b"), F.sum("h").alias("h")).first()
     assert (r.b, r.h) == (4, 1)
+
+
+def test_nested_and_inline_lists(spark, tmp_path):
+    p = tmp_path / "w.yml"
+    p.write_text("top: [on, 'two words']\nouter:\n  inner:\n    - a\n    - no  # a word\n  other:\n    - b\n")
+    assert connectors.word_list(str(p), "top") == ["on", "two words"]
+    assert connectors.word_list(str(p), "outer.inner") == ["a", "no"] and connectors.word_list(str(p), "outer.other") == ["b"]
+    assert connectors.word_list(str(p), "none") == []
+    (tmp_path / "d.csv").write_text("bigram\nTrade War\n\n")
+    got = connectors.dictionary_variant(spark, {"primary": str(tmp_path / "d.csv")})
+    assert [tuple(r) for r in got.collect()] == [("primary", "trade war")]
+    with pytest.raises(ValueError):
+        connectors.dictionary_variant(spark, {"primary": "x"}, "small")

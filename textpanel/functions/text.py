@@ -18,22 +18,33 @@ def squish(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_col(c), r"[\s\u0085\p{Z}]+", " "))
 
 
+def _decomposed(code: int) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+
+
 @cache
-def _accent_table(top: int = 0x250) -> tuple[str, str]:
-    """Letters below `top` that decompose into one base letter and combining marks, and those base letters."""
-    pairs = []
-    for code in range(0x80, top):
-        d = [x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x)]
-        if len(d) == 1 and d[0] != chr(code):
-            pairs.append((chr(code), d[0]))
+def _accent_table(top: int = 0x10000) -> tuple[str, str]:
+    """Characters below `top` that decompose into one character and combining marks, and those characters."""
+    pairs = [(chr(code), d) for code in range(0x80, top) if not 0xD800 <= code < 0xE000 and len(d := _decomposed(code)) == 1 and d != chr(code)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@cache
+def _ligatures() -> dict[str, str]:
+    """Latin characters that decompose into several letters."""
+    codes = [*range(0x130, 0x250), *range(0xFB00, 0xFB07)]
+    return {chr(c): d for c in codes if len(d := _decomposed(c)) > 1 and d.isalpha()}
+
+
 def fold_accents(c: Column | str) -> Column:
-    """Accents off Latin letters, and combining marks off anything, inside the JVM. Letters without a decomposition (ß, ł) and
-    ligatures stay as they are; fold_nfkd is exact for all of Unicode."""
+    """NFKD without combining marks, inside the JVM: accents off, wide and other forms of a character to its plain one, Latin ligatures to
+    their letters. Characters beyond the basic plane, and others that decompose into several ones, stay: fold_nfkd does all of Unicode."""
     src, dst = _accent_table()
-    return F.regexp_replace(F.translate(as_col(c), src, dst), r"\p{Mn}", "")
+    one = F.regexp_replace(F.translate(as_col(c), src, dst), r"\p{Mn}", "")
+    many = one
+    for whole, letters in _ligatures().items():
+        many = F.replace(many, F.lit(whole), F.lit(letters))
+    return F.when(one.rlike("[" + "".join(_ligatures()) + "]"), many).otherwise(one)
 
 
 @F.pandas_udf(StringType())

@@ -309,3 +309,15 @@ def classify(terms: DataFrame, themes: Mapping[str, Sequence[str]], generic: Seq
     return terms.select("bigram", named.alias("themes"), gen.alias("_g"), (fill | lead).alias("_f")).select(
         "bigram", F.when(F.col("_f"), F.when(th & ~F.col("_g"), "domain").otherwise("noise")).when(th & ~F.col("_g"), "domain").when(th, "domain+generic").when(F.col("_g"), "generic").otherwise("noise").alias("class"), F.array_join("themes", ",").alias("themes")
     )
+
+
+def propose(classified: DataFrame) -> DataFrame:
+    """Adds `decision`: keep for domain, review where a generic word comes with a theme, drop for the rest."""
+    return classified.withColumn("decision", F.when(F.col("class") == "domain", "keep").when(F.col("class") == "domain+generic", "review").otherwise("drop"))
+
+
+def finalise(proposed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(bigram, decision): proposals after people's decisions (bigram, decision) on some of them; what is still under review is dropped."""
+    said = decisions.filter("bigram IS NOT NULL AND decision IS NOT NULL").groupBy("bigram").agg(F.max("decision").alias("_d"))
+    out = proposed.join(said, "bigram", "left").withColumn("decision", F.coalesce("_d", "decision"))
+    return out.select("bigram", F.when(F.col("decision") == "keep", "keep").otherwise("drop").alias("decision"))

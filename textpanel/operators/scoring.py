@@ -49,6 +49,20 @@ def tfidf(counts: DataFrame, weights: DataFrame, dictionaries: DataFrame, docume
     return hits.join(b, document).select(document, "dictionary", safe_div("s", "B").alias("tfidf"), safe_div("h", "B").alias("exposure"))
 
 
+def variants(dictionary: DataFrame, classes: DataFrame, without: Sequence[str] = (), small: int = 0) -> DataFrame:
+    """(dictionary, bigram): full; pruned, of class domain only; ex_<theme> for each theme in `without`; small, the `small` highest G2 (ties by
+    bigram). dictionary: (bigram, origin, G2); classes: (bigram, class, themes). Seeds are in all of them."""
+    d = dictionary.select("bigram", "origin", "G2").join(classes.select("bigram", "class", "themes"), "bigram", "left")
+    seed = F.col("origin") == "seed"
+    themes = F.split(F.coalesce("themes", F.lit("")), ",")
+    names = [F.lit("full"), F.when(seed | (F.col("class") == "domain"), "pruned"), *[F.when(seed | ~F.array_contains(themes, t), f"ex_{t}") for t in without]]
+    out = d.select("bigram", F.explode(F.array_compact(F.array(*names))).alias("dictionary")).select("dictionary", "bigram")
+    if small:
+        best = dictionary.filter("origin <> 'seed'").orderBy(F.col("G2").desc_nulls_last(), "bigram").limit(small).select("bigram").unionByName(dictionary.filter("origin = 'seed'").select("bigram"))
+        out = out.unionByName(best.select(F.lit("small").alias("dictionary"), "bigram"))
+    return out
+
+
 def period_mean(scores: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Means over finite values by firm and period, and n_calls; rows with a null first group are dropped."""
     return scores.filter(F.col(groups[0]).isNotNull()).groupBy(*groups).agg(*[F.avg(finite(m)).alias(m) for m in measures], F.count("*").alias("n_calls"))

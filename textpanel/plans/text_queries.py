@@ -528,6 +528,22 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     return discovery.classify(dic.select("bigram"), THEMES, GENERIC, leads=LEADS).groupBy("class").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {LOCK}, {CLASS.replace('FROM c)', 'FROM dic)')}, pr AS (SELECT bigram, class, CASE class WHEN 'domain' THEN 'keep' WHEN 'domain+generic' THEN 'review' ELSE 'drop' END AS decision FROM cl) SELECT bigram, class, decision, CASE WHEN bigram IN (SELECT bigram FROM seed) OR decision = 'keep' THEN 'keep' ELSE 'drop' END AS final FROM pr")
+def curation(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals, and what stays after the decision that all seeds are kept."""
+    dic = discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP)
+    p = discovery.propose(discovery.classify(dic.select("bigram"), THEMES, GENERIC, leads=LEADS))
+    f = discovery.finalise(p, seeds(spark).withColumn("decision", F.lit("keep"))).withColumnRenamed("decision", "final")
+    return p.select("bigram", "class", "decision").join(f, "bigram")
+
+
+@query(f"WITH {LOCK}, {CLASS.replace('FROM c)', 'FROM dic)')}, dc AS (SELECT dic.bigram, origin, G2, class, themes FROM dic LEFT JOIN cl USING (bigram)) SELECT 'full' AS dictionary, bigram FROM dc UNION ALL SELECT 'pruned', bigram FROM dc WHERE origin = 'seed' OR class = 'domain' UNION ALL SELECT 'ex_energy', bigram FROM dc WHERE origin = 'seed' OR NOT list_contains(string_split(coalesce(themes, ''), ','), 'energy') UNION ALL SELECT 'small', bigram FROM dc WHERE origin = 'seed' UNION ALL SELECT 'small', bigram FROM (SELECT bigram FROM dc WHERE origin <> 'seed' ORDER BY G2 DESC NULLS LAST, bigram LIMIT 100)")
+def dictionary_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary whole, pruned, without a theme, and small."""
+    dic = stored(discovery.locked_dictionary(key_table(spark, d), seeds(spark), DICTIONARY_TOP))
+    return scoring.variants(dic, discovery.classify(dic.select("bigram"), THEMES, GENERIC, leads=LEADS), ["energy"], 100)
+
+
 FLAG = f"fl AS (SELECT Id, sentence_id, list_has_any(t, {_in(RISK_WORDS)})::INTEGER AS risk, list_has_any(t, {_in(POSITIVE)})::INTEGER AS pos, list_has_any(t, {_in(NEGATIVE)})::INTEGER AS neg FROM w)"
 SCORE = f"""{LOCK}, {FLAG}, h AS (SELECT Id, sentence_id, sum(n) AS B, coalesce(sum(n) FILTER (bigram IN (SELECT bigram FROM dic)), 0) AS h FROM c GROUP BY 1, 2),
 sc AS (SELECT Id, sum(B) AS B, sum(h) AS h, sum(h * risk) AS hr, sum(h * pos) AS hp, sum(h * neg) AS hn FROM h JOIN fl USING (Id, sentence_id) GROUP BY 1)"""

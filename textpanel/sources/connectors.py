@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WORDS_MOST = 100_000
+
 
 def factor_csv(spark: SparkSession, path: str, names: Sequence[str], key: str = "ym", pattern: str = r"^\s*[0-9]{6}\s*,", scale: float = 100.0) -> DataFrame:
     """Rows of a text file that begin with a period and a comma: (key, names) with values divided by `scale`. Headers, footers and
@@ -19,26 +21,48 @@ def factor_csv(spark: SparkSession, path: str, names: Sequence[str], key: str =
 
 def tone_lists(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """Positive and negative words, lower case, of a CSV with Word, Positive and Negative (a member where above 0); a missing file gives
-    two empty lists, and sentiment is 0. Word lists have some thousand entries."""
+    two empty lists, and sentiment is 0. A list goes to the driver: more than WORDS_MOST words are an error."""
     try:
         df = spark.read.csv(path, header=True)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
             return [], []
         raise
-    pick = lambda c: sorted(r[0] for r in df.filter(F.expr(f"try_cast({c} AS double) > 0")).select(F.lower("Word")).distinct().limit(100_000).collect())
+
+    def pick(c: str) -> list[str]:
+        rows = df.filter(F.expr(f"try_cast({c} AS double) > 0")).select(F.lower("Word")).distinct().limit(WORDS_MOST + 1).collect()
+        if len(rows) > WORDS_MOST:
+            raise ValueError(f"more than {WORDS_MOST} words: not a word list")
+        return sorted(r[0] for r in rows)
+
     return pick("Positive"), pick("Negative")
 
 
 def word_list(path: str, key: str | None = None) -> list[str]:
-    """Strings of a YAML list: the top one, or the one under `key`. Unquoted on, off, yes and no are words here, not booleans."""
-    out, inside = [], key is None
+    """Strings of a YAML list: the top one, or the one under `key`, which may be a path of nested keys with dots between. A list may be in
+    lines or in brackets. Unquoted on, off, yes and no are words here, not booleans."""
+    plain = lambda x: x.strip().strip("\"'")
+    out: list[str] = []
+    above: list[tuple[int, str]] = []  # keys that the line lies under, with their indentation
     for line in open(path, encoding="utf-8"):
-        text = line.split(" #")[0].rstrip()
-        if re.match(r"^\S.*:\s*$", text):
-            inside = key is None or text.rstrip(": ") == key
-        elif inside and (m := re.match(r"^\s*-\s+(.*)$", text)) and m[1]:
-            out.append(m[1].strip().strip("\"'"))
+        text = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not text.strip():
+            continue
+        deep = len(text) - len(text.lstrip())
+        item = re.match(r"^\s*-\s+(.+)$", text)
+        if item:
+            while above and above[-1][0] > deep:
+                above.pop()
+            if (key or "") == ".".join(k for _, k in above):
+                out.append(plain(item[1]))
+            continue
+        pair = re.match(r"^\s*([^:]+):\s*(.*)$", text)
+        if pair:
+            while above and above[-1][0] >= deep:
+                above.pop()
+            above.append((deep, plain(pair[1])))
+            if pair[2].startswith("[") and (key or "") == ".".join(k for _, k in above):
+                out += [plain(x) for x in pair[2].strip("[] ").split(",") if x.strip()]
     return out
 
 
@@ -51,6 +75,14 @@ def dictionary(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def dictionary_variant(spark: SparkSession, files: dict[str, str], variant: str = "primary", override: str | None = None) -> DataFrame:
+    """The dictionary of one variant: the file that `files` gives its name, or the file `override` whatever the variant. An unknown name is an
+    error."""
+    if override is None and variant not in files:
+        raise ValueError(f"no variant {variant}; there are {', '.join(sorted(files))}")
+    return dictionary(spark, {variant: override or files[variant]})
+
+
 def yearly(spark: SparkSession, pattern: str) -> DataFrame:
     """All files of a glob, columns united by name, with file_year from the four digits before the extension."""
     return spark.read.option("mergeSchema", True).parquet(pattern).withColumn("file_year", F.regexp_extract(F.input_file_name(), r"(\d{4})[^/]*$", 1).cast("int"))
