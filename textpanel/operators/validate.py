@@ -153,10 +153,17 @@ def compare(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str, tol
     return j.select(*keys, "old", "new", d.alias("diff"), status.alias("status"))
 
 
-def blind(df: DataFrame, key: str, hidden: Sequence[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def blind(df: DataFrame, key: str, hidden: Sequence[str], seed: int = 42, store: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(sheet, answers): the rows in a pseudo-random order under a number rater_id, without the `hidden` columns; and (rater_id, key, hidden) to
-    join them back. A sheet is what people read, so it is short: its numbering is one window."""
-    numbered = df.withColumn("rater_id", F.row_number().over(Window.orderBy(hash_order(key, seed), key)))
+    join them back. Keys are unique. Rows are numbered within 256 stretches of the order, each after what lies before it, so no task holds
+    them all. `store` (a checkpoint) keeps the rows, which are read for the stretches, the sheet and the answers."""
+    order = hash_order(key, seed)
+    rows = df.withColumns({"_h": order, "_b": F.coalesce(F.shiftright(order, 23), F.lit(-1).cast("bigint"))})
+    rows = store(rows) if store else rows
+    below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = rows.groupBy("_b").agg(F.count("*").alias("_m")).select("_b", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    numbered = rows.join(F.broadcast(stretches), "_b").withColumn("rater_id", F.col("_o") + within).drop("_h", "_b", "_o")
     return numbered.drop(key, *hidden), numbered.select("rater_id", key, *hidden)
 
 

@@ -426,7 +426,7 @@ AUD = f"{FQ}, q AS (SELECT form, quantile_cont(GeoExposure, [0.1, 0.2, 0.3, 0.4,
 def audit_rates(spark: SparkSession, d: str) -> DataFrame:
     """V7: rows shuffled and numbered without their score, coded (here by a rule), joined back to the key, share of positives by decile."""
     x = validate.deciles_with_zero(firm_quarters(spark, d), "GeoExposure", 10, ["form"]).filter(F.col("decile").isNotNull() & is_finite("GeoRisk"))
-    sheet, key = validate.blind(x.withColumn("key", F.col("permno") * 1000 + F.year("form") * 4 + F.quarter("form")).select("key", "decile", "GeoExposure", "GeoRisk"), "key", ["decile", "GeoExposure"])
+    sheet, key = validate.blind(x.withColumn("key", F.col("permno").cast("bigint") * 10_000_000 + F.unix_date("form")).select("key", "decile", "GeoExposure", "GeoRisk"), "key", ["decile", "GeoExposure"], store=stored)
     coded = sheet.select("rater_id", (F.col("GeoRisk") > 0.0005).cast("int").alias("code")).join(key, "rater_id")
     out = validate.rate_by_bin(coded, "decile", "code", "GeoExposure")
     return out.select(F.col("decile").cast("int").alias("decile"), "n", "n_pos", r6("pos_rate").alias("pos_rate"), (F.round("mean_score", 9) + F.lit(0.0)).alias("mean_score"), F.col("percentile").cast("int").alias("percentile"))
